@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, substrings, toxicity
+from . import mixing, near_duplicates, quality, substrings, toxicity
 from .common import held_out, read
 
 
@@ -24,6 +24,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
@@ -32,8 +36,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op6_substring_dedup, op7_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op6_substring_dedup, op7_mixing, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL}
+    return {"op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op9_near_duplicates": near_duplicates.SQL}
