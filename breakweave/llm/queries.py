@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, quality, substrings, toxicity
+from . import fingerprints, mixing, near_duplicates, quality, substrings, toxicity
 from .common import held_out, read
 
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "saving")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op6_substring_dedup, op7_mixing, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op6_substring_dedup, op7_mixing, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
