@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_duplicates, quality, substrings, toxicity
+from . import fingerprints, licenses, mixing, near_duplicates, quality, substrings, toxicity
 from .common import held_out, read
 
 
@@ -20,6 +20,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("spans").cast("long").alias("n_matches"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -40,8 +45,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op6_substring_dedup, op7_mixing, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op6_substring_dedup, op7_mixing, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op9_near_duplicates": near_duplicates.SQL}
+    return {"op3_licenses": licenses.SQL, "op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op9_near_duplicates": near_duplicates.SQL}
