@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, near_duplicates, quality, substrings, toxicity
+from . import decontamination, fingerprints, licenses, mixing, near_duplicates, quality, substrings, toxicity
 from .common import held_out, read
 
 
@@ -33,6 +33,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -45,8 +49,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op6_substring_dedup, op7_mixing, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op6_substring_dedup, op7_mixing, op8_decontamination, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.SQL, "op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op9_near_duplicates": near_duplicates.SQL}
+    return {"op3_licenses": licenses.SQL, "op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op8_decontamination": decontamination.SQL, "op9_near_duplicates": near_duplicates.SQL}
