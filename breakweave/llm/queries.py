@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, licenses, mixing, near_duplicates, packing, quality, substrings, toxicity
+from . import decontamination, fingerprints, licenses, mixing, near_duplicates, packing, pii, quality, substrings, toxicity
 from .common import held_out, read
 
 
@@ -25,6 +25,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("spans").cast("long").alias("n_matches"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op5_packing, op6_substring_dedup, op7_mixing, op8_decontamination, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_pii, op5_packing, op6_substring_dedup, op7_mixing, op8_decontamination, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
