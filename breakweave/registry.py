@@ -1,11 +1,213 @@
-"""Every registered query of the library, with its SQL."""
+"""Every registered query of the library, with its SQL.
+
+Logs are rendered from lineitem, a log for each order and a diagnostic for each lineitem, in the tools' public formats; so the SQL can say from the
+table what reading the logs must give back.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import capture, clusters, history, ownership, parsing
+from .operators.readers import READERS, Reader
+from .operators.status import CODES, SIGNALS, status
+from .plans import report
+from .sources.logs import ITEMS, items, rendered
+
+BY_NAME = {r.name: r for r in READERS}
+#: Tools whose formats no earlier reader also reads, for queries over logs of several tools.
+MIXED = tuple(BY_NAME[n] for n in ("tsc", "pyright", "shellcheck", "cargo", "rspec"))
+
+
+def _key(name: str) -> str:
+    return "reader_" + re.sub(r"\W+", "_", name).strip("_")
+
+
+def _reader_query(r: Reader):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = parsing.parsed(rendered(spark, sf_dir, (r,)), (r,))
+        return found.select("log_id", "tool", "category", "file", "line", "col", "code", "subject", "label", "message")
+
+    query.__name__ = _key(r.name)
+    return query
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _field_sql(r: Reader, name: str) -> str:
+    """What a field of the reader must be, as SQL over the facts: by running the pattern over the sample's line in DuckDB."""
+    sources = [(r.pattern, r.groups)] + ([(r.heading, ("file",))] if r.heading else []) + ([(r.at, r.at_groups)] if r.at else [])
+    tries = []
+    for pattern, groups in sources:
+        for i, g in enumerate(groups):
+            if g == name:
+                for line in r.sample:
+                    text = " || ".join(_quoted(x) if k % 2 == 0 else f"{x}" for k, x in enumerate(re.split(r"\{(\w+)\}", line)) if x)
+                    tries.append(f"nullif(regexp_extract({text}, {_quoted(pattern)}, {i + 1}), '')")
+    constant = r.constants.get(name)
+    if constant is not None:
+        tries.append(_quoted(str(constant)))
+    return f"coalesce({', '.join(tries)})" if len(tries) > 1 else tries[0] if tries else "cast(null as varchar)"
+
+
+def _reader_sql(r: Reader) -> str:
+    f = {n: _field_sql(r, n) for n in ("file", "line", "col", "code", "subject", "label", "message")}
+    return f"""with i as ({ITEMS})
+select distinct cast(l_orderkey as varchar) as log_id, {_quoted(r.tool)} as tool, {_quoted(r.category)} as category, {f['file']} as file, cast({f['line']} as int) as line,
+ case when {f['line']} is not null then cast({f['col']} as int) end as col, {f['code']} as code, {f['subject']} as subject, {f['label']} as label, coalesce({f['message']}, '') as message from i"""
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(spark, sf_dir, MIXED, len(MIXED))
+
+
+_TOOL = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_quoted(r.tool)}" for i, r in enumerate(MIXED)) + " end"
+_CODE = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'code')}" for i, r in enumerate(MIXED)) + " end"
+_SUBJECT = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'subject')}" for i, r in enumerate(MIXED)) + " end"
+_FILE = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'file')}" for i, r in enumerate(MIXED)) + " end"
+_COL = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'col')}" for i, r in enumerate(MIXED)) + " end"
+_MESSAGE = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'message')}" for i, r in enumerate(MIXED)) + " end"
+_CATEGORY = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_quoted(r.category)}" for i, r in enumerate(MIXED)) + " end"
+#: The failures that the mixed logs must give.
+OWN = f"(select distinct cast(l_orderkey as varchar) as log_id, {_TOOL} as tool, {_CATEGORY} as category, {_FILE} as file, cast(line as int) as line, cast({_COL} as int) as col, {_CODE} as code, {_SUBJECT} as subject, {_MESSAGE} as message from ({ITEMS}))"
+_SHAPE = r"regexp_replace(message, '\d+(\.\d+)?', '<num>', 'g')"
+_CAUSE = f"""substr(sha256('["' || coalesce(code, '') || '","' || {_SHAPE} || '"]'), 1, 24)"""
+
+
+def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.analysed(mixed(spark, sf_dir), MIXED).where("role = 'own'")
+
+
+def failures(spark, sf_dir):
+    """Winner of each log and its failures."""
+    return _own(spark, sf_dir).select("log_id", "tool", "category", "file", "line", "col", "code", "subject", "message")
+
+
+def flagship(spark, sf_dir):
+    """The report's headline of each log."""
+    rows = report.reports(mixed(spark, sf_dir))
+    return rows.select("log_id", "version", "tool", "summary", "guessed", "exit_code", "fallback", F.size("failures").alias("n_failures"))
+
+
+def json_report(spark, sf_dir):
+    """The report as JSON: tool and count of failures read back from it."""
+    rows = report.to_json(report.reports(mixed(spark, sf_dir), MIXED))
+    return rows.select("log_id", F.get_json_object("json", "$.tool").alias("tool"), F.size(F.from_json(F.get_json_object("json", "$.failures"), "array<struct<ord int>>")).alias("n_failures"))
+
+
+def annotations(spark, sf_dir):
+    return report.annotations(_own(spark, sf_dir)).select("log_id", "annotation")
+
+
+def cluster_sizes(spark, sf_dir):
+    """Reported clusters of each log: cause, shape and size."""
+    rows = report.cause_report(mixed(spark, sf_dir), MIXED).where("reported")
+    return rows.select("log_id", "tool", "id", "signature", "size")
+
+
+def causes(spark, sf_dir):
+    return clusters.causes(_own(spark, sf_dir)).select("tool", "cause", "signature", "failures", "logs")
+
+
+def rollup(spark, sf_dir):
+    return clusters.rollup(_own(spark, sf_dir))
+
+
+def history_compare(spark, sf_dir):
+    """Causes of this run that are new, still there or gone, an identity for each tool: even orders are the previous run, odd ones this."""
+    rows = clusters.keyed(_own(spark, sf_dir)).select(F.col("tool").alias("identity"), "cause", "log_id")
+    even = F.col("log_id").cast("long") % 2 == 0
+    return history.compared(rows.where(~even), rows.where(even))
+
+
+def command_hints(spark, sf_dir):
+    """The command moves its readers to the front: the hinted readers of each argv."""
+    logs = items(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("log_id"), F.when(F.col("l_orderkey") % 2 == 0, F.array(F.lit("python"), F.lit("-m"), F.lit("pytest"))).otherwise(F.array(F.lit("/usr/bin/tsc"))).alias("argv")).distinct()
+    return ownership.hinted(logs).select("log_id", F.get(F.array(*(F.lit(r.name) for r in READERS)), F.col("reader")).alias("reader"), "hint")
+
+
+def secondaries(spark, sf_dir):
+    """Logs in which a second tool speaks: its failures that the first did not report."""
+    two = rendered(spark, sf_dir, (BY_NAME["shellcheck"],)).alias("a").join(rendered(spark, sf_dir, (BY_NAME["tsc"],)).select("log_id", F.col("raw").alias("more")), "log_id")
+    ranked = report.analysed(two.withColumn("raw", F.concat_ws("\n", "raw", "more")), MIXED)
+    return ownership.secondaries(ranked).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalise(spark, sf_dir):
+    """Colour, CR and CI stamps around the lines go; the failures stay."""
+    logs = rendered(spark, sf_dir, (BY_NAME["tsc"],))
+    dressed = F.concat(F.lit("﻿2024-01-02T03:04:05.678Z \u001b[31m"), F.regexp_replace("raw", "\n", "\u001b[0m\r\n2024-01-02T03:04:05.678Z \u001b[31m"), F.lit("\u001b[0m"))
+    return parsing.parsed(logs.withColumn("raw", dressed), (BY_NAME["tsc"],)).select("log_id", "file", "line", "col", "code", "message")
+
+
+def exact_retry(spark, sf_dir):
+    """A log that is the same output twice counts once."""
+    logs = rendered(spark, sf_dir, (BY_NAME["tsc"],))
+    return parsing.normalised(logs.withColumn("raw", F.concat("raw", F.lit("\n\n"), "raw"))).select("log_id", F.md5("raw").alias("raw_md5"))
+
+
+def router(spark, sf_dir):
+    """How many logs each reader would be asked for."""
+    rows = parsing.routed(mixed(spark, sf_dir)).select(F.explode("asked").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("logs"))
+    names = F.get(F.array(*(F.lit(r.name) for r in READERS)), F.col("r"))
+    return rows.where(names.isin("tsc", "shellcheck", "cargo", "flake8")).select(names.alias("reader"), "logs")
+
+
+def bounded_capture(spark, sf_dir):
+    """Lines kept of each order's log under a budget of 400 characters."""
+    lined = parsing.lines(rendered(spark, sf_dir, (BY_NAME["tsc"],)).withColumn("raw", F.concat_ws("\n", *["raw"] * 4)))
+    return capture.captured(lined.withColumn("text", F.regexp_replace("text", "error", "note")), 400, 2).groupBy("log_id").agg(F.count(F.lit(1)).alias("kept"), F.max("truncated").alias("truncated"))
+
+
+def exit_status(spark, sf_dir):
+    """Exit codes in words, the codes from order keys."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").select((F.col("o_orderkey") % 160).cast("int").alias("code")).distinct()
+    return rows.select("code", status(F.col("code"), F.lit(None).cast("string"))["says"].alias("says"))
+
+
+def skeletons(spark, sf_dir):
+    """Shapes of messages and how often they come."""
+    return items(spark, sf_dir).select(T.skeleton(F.col("message")).alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeats(spark, sf_dir):
+    """Runs of equal lines collapse."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 6 + 1).cast("int").alias("k"))
+    return rows.select("o_orderkey", T.collapse_repeats(F.concat(F.lit("a\n"), F.expr("array_join(array_repeat('same', k), '\n')"), F.lit("\nb"))).alias("message"))
+
+
+_STATUS = " ".join([*(f"when code = {n + 128} then 'killed by {s}'" for n, s in SIGNALS.items()), *(f"when code = {n} then {_quoted(s)}" for n, s in CODES.items())])
+_TSC = f"{ITEMS}"
+_ENTRIES = {
+    "report": (flagship, f"select log_id, 1 as version, tool, count(*) || ' failure' || case when count(*) = 1 then '' else 's' end as summary, false as guessed, 1 as exit_code, cast(null as varchar) as fallback, cast(count(*) as int) as n_failures from {OWN} group by log_id, tool"),
+    "failures": (failures, f"select * from {OWN}"),
+    "json_report": (json_report, f"select log_id, tool, cast(count(*) as int) as n_failures from {OWN} group by all"),
+    "annotations": (annotations, f"select log_id, '::error file=' || file || ',line=' || line || coalesce(',col=' || col, '') || ',title=' || coalesce(code, subject) || '::' || message as annotation from {OWN}"),
+    "cluster_sizes": (cluster_sizes, f"select log_id, tool, {_CAUSE} as id, {_SHAPE} as signature, cast(count(*) as int) as size from {OWN} group by all having count(*) >= 3"),
+    "causes": (causes, f"select tool, {_CAUSE} as cause, {_SHAPE} as signature, count(*) as failures, count(distinct log_id) as logs from {OWN} group by all"),
+    "rollup": (rollup, f"select category, tool, count(*) as failures from {OWN} group by rollup(category, tool)"),
+    "history_compare": (history_compare, f"with k as (select distinct tool as identity, {_CAUSE} as cause, cast(log_id as bigint) % 2 = 1 as now from {OWN}), g as (select identity, cause, bool_or(now) as n, bool_or(not now) as t from k group by 1, 2) select identity, count(*) filter (n and not t) as fresh, count(*) filter (n and t) as same, count(*) filter (t and not n) as gone from g group by 1"),
+    "command_hints": (command_hints, "with k as (select distinct l_orderkey from lineitem) select cast(l_orderkey as varchar) as log_id, r as reader, h as hint from k join (values (0, 'pytest', 2), (0, 'python', 0), (1, 'tsc', 0)) v(m, r, h) on l_orderkey % 2 = m"),
+    "secondaries": (secondaries, None),
+    "normalise": (normalise, f"select distinct cast(l_orderkey as varchar) as log_id, file || '.ts' as file, cast(line as int) as line, cast(col as int) as col, 'TS' || line as code, message from ({_TSC})"),
+    "exact_retry": (exact_retry, f"select cast(l_orderkey as varchar) as log_id, md5(string_agg(file || '.ts(' || line || ',' || col || '): error TS' || line || ': ' || message, chr(10) order by line, file, col, message, code)) as raw_md5 from ({_TSC}) group by l_orderkey"),
+    "router": (router, f"with t as (select distinct l_orderkey % {len(MIXED)} as m, l_orderkey from lineitem) select reader, count(*) as logs from t join (values ('tsc', 0), ('shellcheck', 2), ('cargo', 3), ('cargo', 1), ('flake8', 0), ('flake8', 1), ('flake8', 2), ('flake8', 3), ('flake8', 4), ('cargo', 2)) v(reader, m) on t.m = v.m group by 1"),
+    "bounded_capture": (bounded_capture, None),
+    "exit_status": (exit_status, f"select code, case {_STATUS} end as says from (select distinct cast(o_orderkey % 160 as int) as code from orders)"),
+    "skeletons": (skeletons, f"select {_SHAPE} as signature, count(*) as n from ({ITEMS}) group by 1"),
+    "repeats": (repeats, "select o_orderkey, 'a' || chr(10) || case when o_orderkey % 6 + 1 >= 3 then 'same (x' || (o_orderkey % 6 + 1) || ')' when o_orderkey % 6 = 1 then 'same' || chr(10) || 'same' else 'same' end || chr(10) || 'b' as message from orders"),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _ENTRIES.items()} | {_key(r.name): _reader_query(r) for r in READERS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ENTRIES.items() if sql} | {_key(r.name): _reader_sql(r) for r in READERS}
