@@ -71,7 +71,7 @@ READERS = (
     _r("biome", "lint", ["lint/", "biome"], r"^([^\s:]+):(\d+):(\d+) (lint/\w+/\w+|parse|format)\b.*$", "file line col code", ["{file}:{line}:{col} lint/style/{code} ━━━"], constants={"message": "lint"}, commands=("biome",)),
     _r("oxlint", "lint", ["[Error/"], r"^" + LOC + r": (.+) \[(Error|Warning)/([\w()/-]+)\]$", "file line col message severity code", ["{file}:{line}:{col}: {message} [Error/{code}]"], commands=("oxlint",)),
     _r("black", "lint", ["would reformat", "cannot format"], r"^(?:would reformat|error: cannot format) ([^\s:]+)(?::.*)?$", "file", ["would reformat {file}"], constants={"label": "format", "message": "would reformat"}, commands=("black",)),
-    _r("prettier", "lint", ["[warn]", "[error]"], r"^\[(?:warn|error)\] (\S+\.\w+)(?:: (.+?) \((\d+):(\d+)\))?$", "file message line col", ["[error] {file}: {message} ({line}:{col})"], constants={"label": "format"}, commands=("prettier",)),
+    _r("prettier", "lint", ["[warn]", "[error]"], r"^\[(?:warn|error)\] (\S+\.\w+)(?:: (.+?) \((\d+):(\d+)\))?$", "file message line col", ["[error] {file}.js: {message} ({line}:{col})"], constants={"label": "format"}, commands=("prettier",)),
     _r("sass", "compile", ["root stylesheet"], r"^Error: (.+)$", "message", ["Error: {message}", "  {file} {line}:{col}  root stylesheet"], at=r"^\s+(\S+) (\d+):(\d+)\s+root stylesheet", reach=40, constants={"label": "sass"}, commands=("sass",)),
     _r("less", "compile", [" on line "], r"^(\w+Error): (.+) in (\S+) on line (\d+), column (\d+):?$", "code message file line col", ["{code}Error: {message} in {file} on line {line}, column {col}:"], commands=("lessc",)),
     _r("webpack", "compile", ["ERROR in "], r"^ERROR in (\S+) (\d+):(\d+)(?:-\d+)?$", "file line col", ["ERROR in {file} {line}:{col}"], constants={"label": "webpack", "message": "module error"}, commands=("webpack",)),
