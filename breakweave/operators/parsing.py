@@ -1,4 +1,4 @@
-"""From raw logs to failures: normalise, route, read, locate and deduplicate, in one shuffle by log."""
+"""From raw logs to failures: normalise, route, read, locate and deduplicate; lines are read where they lie, and only hits are shuffled, by log."""
 
 from __future__ import annotations
 
@@ -40,20 +40,22 @@ def lines(logs: DataFrame, *keep: str) -> DataFrame:
     return logs.select("log_id", *keep, F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text"))
 
 
-def unwrapped(lined: DataFrame, share: float = 0.4, sample: int = 200) -> DataFrame:
-    """Removes a CI stamp that 80 % of a log's first lines carry, and the first wrapper shape that share of them carry.
+def gated(logs: DataFrame, share: float = 0.4, sample: int = 200) -> DataFrame:
+    """Adds prefix, the pattern that each line of the log is to lose: a CI stamp that 80 % of its first lines carry, then the first wrapper that a share of them carry.
 
-    The gate is a mean over at most sample lines of each log, so it costs one grouped aggregation and no window over whole logs.
+    The gates look at the first sample non-blank lines inside the row, so nothing is shuffled.
     """
-    head = lined.where((F.col("line_no") < sample) & (F.trim("text") != ""))
-    rate = lambda p: F.avg(F.col("text").rlike(p).cast("int"))
-    gates = head.groupBy("log_id").agg(rate(CI_STAMP).alias("stamp"), *(rate(p).alias(f"w{i}") for i, (_, p) in enumerate(WRAPPERS)))
-    wrapper = F.coalesce(*(F.when(F.col(f"w{i}") >= share, F.lit(p[1:])) for i, (_, p) in enumerate(WRAPPERS)), F.lit(""))
-    stamp = F.when(F.col("stamp") >= 0.8, F.lit(CI_STAMP[1:])).otherwise("")
-    gates = gates.select("log_id", F.concat(stamp, wrapper).alias("p")).where("p <> ''").select("log_id", F.concat(F.lit("^"), "p").alias("prefix"))
-    out = lined.join(gates, "log_id", "left")
-    # the lines of a log follow each other, so its pattern is compiled once
-    return out.withColumn("text", F.when(F.col("prefix").isNull(), F.col("text")).otherwise(F.regexp_replace("text", F.col("prefix"), F.lit("")))).drop("prefix")
+    rows = logs.withColumn("head", F.slice(F.filter(F.slice(F.split("raw", "\n", -1), 1, 2 * sample), lambda x: F.trim(x) != ""), 1, sample))
+    rate = lambda p: F.size(F.filter("head", lambda x: x.rlike(p))) / F.greatest(F.size("head"), F.lit(1))
+    wrapper = F.coalesce(*(F.when(rate(p) >= share, F.lit(p[1:])) for _, p in WRAPPERS), F.lit(""))
+    stamp = F.when(rate(CI_STAMP) >= 0.8, F.lit(CI_STAMP[1:])).otherwise("")
+    return rows.withColumn("prefix", F.nullif(F.concat(stamp, wrapper), F.lit(""))).drop("head")
+
+
+def unwrapped(lined: DataFrame) -> DataFrame:
+    """The lines without their log's prefix; the lines of a log follow each other, so its pattern is compiled once."""
+    bare = F.regexp_replace("text", F.concat(F.lit("^"), "prefix"), F.lit(""))
+    return lined.withColumn("text", F.when(F.col("prefix").isNull(), F.col("text")).otherwise(bare)).drop("prefix")
 
 
 def _found(text: Column, pattern: str, groups: tuple[str, ...], name: str) -> Column:
@@ -129,4 +131,6 @@ def deduplicated(failures: DataFrame) -> DataFrame:
 
 def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """Failures of all readers of all logs. logs: log_id, raw and, for command hints, argv."""
-    return deduplicated(located(hits(unwrapped(lines(routed(normalised(logs), readers), "asked")), readers), readers))
+    found = hits(unwrapped(lines(gated(routed(normalised(logs), readers)), "asked", "prefix")), readers)
+    # only hits are shuffled, once: all that follows groups by log
+    return deduplicated(located(found.repartition("log_id"), readers))
