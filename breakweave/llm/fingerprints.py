@@ -53,9 +53,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     top, home = (F.array(*(F.lit(x.get(b)).cast(kind) for b in range(size))) for x, kind in ((tops, "long"), (before, "int")))
     rows = rows.withColumn("bucket", bucket.cast("int"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost"))
-    again = F.struct(F.get(home, F.col("bucket")).alias("bucket"), F.lit(True).alias("ghost"))
+    again = F.struct(F.coalesce(F.get(home, F.col("bucket")), F.lit(0)).alias("bucket"), F.lit(True).alias("ghost"))
     rows = rows.withColumn("at", F.explode(F.when(F.get(top, F.col("bucket")) == F.col("doc_id"), F.array(own, again)).otherwise(F.array(own))))
     rows = rows.select("doc_id", "text", F.col("at.bucket").alias("bucket"), F.col("at.ghost").alias("ghost"))
+    # tasks of a quarter of the usual size: each text becomes about twenty times its size in k-mer rows
+    rows = rows.repartition(4 * partitions, "bucket")
     w = Window.partitionBy("bucket").orderBy("ghost", F.desc("doc_id"), F.xxhash64("text"))
     return rows.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
 
