@@ -78,7 +78,7 @@ def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.nda
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int, least: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 5- and 10-word windows that stand for over a share of all segments; none above twice the share is missed.
 
     A window above the share overall is above it in some block. At most 1 / share windows of a level are returned.
@@ -89,17 +89,19 @@ def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int) -> tupl
             yield pd.DataFrame({"level": [0], "h": [0], "n": [len(h5)]})
             for level, h in ((LEVELS[0], h5), (LEVELS[1], h10)):
                 keys, n = np.unique(h.view(np.int64), return_counts=True)
-                big = n >= max(4, share * len(h))
+                big = n >= max(min(4, least), share * len(h))
                 yield pd.DataFrame({"level": level, "h": keys[big], "n": n[big]})
 
     found = scratch.save(docs.mapInPandas(count, "level int, h long, n long").groupBy("level", "h").agg(F.sum("n").alias("n")), "frequent")
     total = found.where("level = 0").agg(F.sum("n")).first()[0] or 0
-    kept = found.where((F.col("level") > 0) & (F.col("n") >= max(64.0, share * total))).collect()
+    kept = found.where((F.col("level") > 0) & (F.col("n") >= max(float(least), share * total))).collect()
     return tuple(np.sort(np.array([r.h for r in kept if r.level == level], dtype=np.int64)) for level in LEVELS[:2])
 
 
 def merged_segments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
-    """Segments of all documents: (doc_id, lo, hi, key, h10, whole, kind).
+    """Segments of all documents: (doc_id, lo, more, key, h10, whole, kind); more is the distance of the last window from lo.
+
+    key and whole decide what is equal. h10 only sorts out what can't be, so 31 bits of it are enough.
 
     kind 0: to be counted at level 5; 1: its 5-word window is known as repeated; 2: its 10-word window as well;
     3: an equal segment came before it in its block, so it is settled.
@@ -119,9 +121,9 @@ def merged_segments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], most:
             key = np.where(kind == 0, h5, np.where(kind == 1, W.join(h5, h10), W.join(W.join(h5, h10), whole)))
             kind[again] = 3
             key = np.where(again, W.mix(doc.view(np.uint64) + W.mix(lo.astype(np.uint64))), key)
-            yield pd.DataFrame({"doc_id": doc, "lo": lo, "hi": hi, "key": key.view(np.int64), "h10": h10.view(np.int64), "whole": whole.view(np.int64), "kind": kind})
+            yield pd.DataFrame({"doc_id": doc, "lo": lo, "more": hi - lo, "key": key.view(np.int64), "h10": (h10 >> np.uint64(33)).astype(np.int32), "whole": whole.view(np.int64), "kind": kind})
 
-    return docs.mapInPandas(run, "doc_id long, lo int, hi int, key long, h10 long, whole long, kind int")
+    return docs.mapInPandas(run, "doc_id long, lo int, more int, key long, h10 int, whole long, kind int")
 
 
 def settle(segs: DataFrame) -> DataFrame:
@@ -135,10 +137,10 @@ def settle(segs: DataFrame) -> DataFrame:
     survive10 = survive10.withColumn("kinds", F.when(F.first("whole").over(everything) == F.last("whole").over(everything), 1).otherwise(2))
     rows = survive10.withColumn("d0", F.first("doc_id").over(same)).withColumn("l0", F.first("lo").over(same))
     rows = rows.withColumn("covered", F.expr("kind = 3 or doc_id <> d0 or lo <> l0"))
-    return rows.where("covered or kinds > 1 or kind = 2").select("doc_id", "lo", "hi", "covered")
+    return rows.where("covered or kinds > 1 or kind = 2").select("doc_id", "lo", (F.col("lo") + F.col("more")).alias("hi"), "covered")
 
 
-def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_000) -> DataFrame:
+def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_000, least: int = 64) -> DataFrame:
     """(doc_id, text, n_words, spans, whole_sha256): spans are [from, upto) runs of covered words, in order.
 
     text is kept only where there are spans; whole_sha256 is that of all words joined by one space.
@@ -147,7 +149,7 @@ def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_
     scratch = Scratch(spark, "substrings")
     share = share or 1 / max(2000, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST)))
-    work = settle(merged_segments(rows, frequent(rows, scratch, share, most), most))
+    work = settle(merged_segments(rows, frequent(rows, scratch, share, most, least), most))
     work = work.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "covered"))).alias("work"))
     full = LEVELS[2]
 
@@ -205,7 +207,7 @@ def kept_sha256(text: str, runs: list[tuple[int, int]]) -> str:
     return hashlib.sha256(b" ".join(ws)).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, share: float | None = None, most: int = 400_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, share: float | None = None, most: int = 400_000, least: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +219,7 @@ def remove_repeats(docs: DataFrame, share: float | None = None, most: int = 400_
                 sha.append(whole if isinstance(whole, str) else kept_sha256(text, runs))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "n_removed": removed, "kept_sha256": sha})
 
-    return repeated_words(docs, share, most).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeated_words(docs, share, most, least).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 SQL = r"""
