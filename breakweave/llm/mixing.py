@@ -89,7 +89,8 @@ def placed(sizes: DataFrame) -> DataFrame:
     bases = bases.select(F.col("source").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("words").over(w), F.lit(0)).alias("base"))
     inner = Window.partitionBy("source", "span").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     local = spans.withColumn("local", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return local.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p"))).withColumn("at", F.col("base") + F.col("local")).drop("s", "p", "base", "local", "span")
+    # grows with the table, so it is never to be broadcast, however small it comes out of a shuffle
+    return local.join(bases.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p"))).withColumn("at", F.col("base") + F.col("local")).drop("s", "p", "base", "local", "span")
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -105,7 +106,7 @@ def mix_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     uses = draw_slots(targets, block).groupBy("source", "block").agg(F.sum(F.expr(f"if(take = {block}, 1, 0)")).alias("whole"), F.max(F.expr(f"if(take = {block}, 0, take)")).alias("cut"))
     parts = pieces(placed(sizes), block)
     uses = uses.select(F.col("source").alias("s"), F.col("block").alias("b"), "whole", "cut")
-    got = parts.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").withColumn("n", F.expr("coalesce(whole * (upto - from) + greatest(0, least(upto, cut) - from), 0)"))
+    got = parts.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").withColumn("n", F.expr("coalesce(whole * (upto - from) + greatest(0, least(upto, cut) - from), 0)"))
     rows = got.groupBy("source", "doc_id", "at", "size", "tie").agg(F.sum("n").alias("taken"), F.count(F.lit(1)).alias("parts"))
     # rows without words that are alike in all columns fell together above; each of them has one part
     rows = rows.withColumn("again", F.explode(F.expr("if(size = 0, sequence(1L, parts), array(1L))")))
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int
     )
     rows = rows.withColumn("size", F.regexp_count("text", F.lit(WORDS)).cast("long")).withColumn("tie", F.xxhash64("text")).where("size > 0")
     at = placed(sizes.where("size > 0")).select(*(F.col(c).alias(f"p_{c}") for c in ("source", "doc_id", "size", "tie", "at"))).distinct()
-    joined = rows.join(at, F.col("source").eqNullSafe(F.col("p_source")) & F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("size") == F.col("p_size")) & (F.col("tie") == F.col("p_tie")))
+    joined = rows.join(at.hint("merge"), F.col("source").eqNullSafe(F.col("p_source")) & F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("size") == F.col("p_size")) & (F.col("tie") == F.col("p_tie")))
     # rows that are alike in id, source and text take one another's places
     joined = joined.withColumn("at", F.col("p_at")).dropDuplicates(["source", "doc_id", "at", "tie"]).select("doc_id", "source", "lang", "text", "at", "size")
 
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int
 
     parts = joined.mapInPandas(cut, "doc_id long, source string, lang string, text string, block long, from long, n long")
     slots = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "slot", "shard", "take")
-    taken = parts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).where("take > from")
+    taken = parts.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).where("take > from")
     # the last slot of a source may end inside a part
     short = F.expr(f"regexp_substr(text, concat('^[\\\\x20\\\\x09-\\\\x0D]*([^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*){{', take - from, '}}'))")
     taken = taken.withColumn("text", F.when(F.col("take") - F.col("from") < F.col("n"), short).otherwise(F.col("text")))
