@@ -72,20 +72,22 @@ def featurise(text: str, n_chars, words_of: WordBuckets) -> tuple[np.ndarray, np
 @dataclass
 class QualityModel:
     buckets: int
+    bins: int = 8
     edges: list = field(default_factory=list)
     w0: float = 0.0
     w: np.ndarray = None
     v: np.ndarray = None
     prior: float = 1.0
 
-    def design(self, stats: np.ndarray, vecs: np.ndarray) -> np.ndarray:
-        """Word buckets, then a one-hot block for each statistic."""
-        parts = [vecs.astype(np.float32)]
+    def fill(self, x: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        """Puts a one-hot block for each statistic after the word buckets of x."""
+        rows = np.arange(len(stats))
         for j, edges in enumerate(self.edges):
-            hot = np.zeros((len(stats), len(edges) + 1), dtype=np.float32)
-            hot[np.arange(len(stats)), np.searchsorted(edges, stats[:, j], side="right")] = 1
-            parts.append(hot)
-        return np.concatenate(parts, axis=1)
+            x[rows, self.buckets + j * self.bins + np.searchsorted(edges, stats[:, j], side="right")] = 1
+        return x
+
+    def empty(self, n: int) -> np.ndarray:
+        return np.zeros((n, self.buckets + len(STATS) * self.bins), dtype=np.float32)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         s = x @ self.v
@@ -95,18 +97,17 @@ class QualityModel:
 def train(rows: list[tuple[str, object, int]], buckets: int = 4096, rank: int = 8, epochs: int = 30, bins: int = 8, seed: int = 7) -> QualityModel:
     """Fits the machine on (text, n_chars, label) rows with Adam on the logistic loss."""
     y = np.array([r[2] for r in rows], dtype=np.float32)
-    model = QualityModel(buckets, prior=float(y.mean()) if len(y) else 1.0)
+    model = QualityModel(buckets, bins, prior=float(y.mean()) if len(y) else 1.0)
     if not len(y) or model.prior in (0.0, 1.0):
         return model
     cache = WordBuckets(buckets)
-    stats, vecs = np.empty((len(rows), len(STATS))), np.empty((len(rows), buckets), dtype=np.float32)
+    stats, x = np.empty((len(rows), len(STATS))), model.empty(len(rows))
     for i, (text, n, _) in enumerate(rows):
-        stats[i], vecs[i] = featurise(text or "", n, cache)
+        stats[i], x[i, :buckets] = featurise(text or "", n, cache)
     model.edges = [np.unique(np.quantile(stats[:, j], np.arange(1, bins) / bins)) for j in range(stats.shape[1])]
-    x = model.design(stats, vecs)
-    del vecs
+    model.fill(x, stats)
     rng = np.random.default_rng(seed)
-    params = [np.zeros(1, np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.02, (x.shape[1], rank)).astype(np.float32)]
+    params = [np.zeros(1, np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.005, (x.shape[1], rank)).astype(np.float32)]
     params[0][:] = np.log(model.prior / (1 - model.prior))
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -144,8 +145,10 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] =
                 if model.w is None:
                     score = np.full(len(part), model.prior)
                 else:
-                    pairs = [featurise(t if isinstance(t, str) else "", n, cache) for t, n in zip(part["text"], part["n_chars"], strict=True)]
-                    x = model.design(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+                    stats, x = np.empty((len(part), len(STATS))), model.empty(len(part))
+                    for i, (t, n) in enumerate(zip(part["text"], part["n_chars"], strict=True)):
+                        stats[i], x[i, : model.buckets] = featurise(t if isinstance(t, str) else "", n, cache)
+                    model.fill(x, stats)
                     score = 1 / (1 + np.exp(-np.clip(model.logit(x), -30, 30)))
                 yield part[[*out]].assign(score=np.asarray(score, dtype=np.float64))
 
