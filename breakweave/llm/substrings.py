@@ -11,8 +11,9 @@ Every level groups by a hash, after equal segments of one input block have been
 so frequent that they would outgrow a task (at most 1 / share of them exist) are known to be
 repeated, and are dealt out by their 10-word extension, or by segment if that is as frequent.
 
-Null, empty or blank text: no words. Fewer words than a window: nothing is removed. Rows with the same
-doc_id at the same position count as one occurrence and are cut alike; a null doc_id comes before all others.
+Null, empty or blank text: no words. Fewer words than a window: nothing is removed. Every row is an occurrence of its own,
+whatever its doc_id: rows that share one are told apart by a hash of their text, in whose order they come, and of rows alike in both all but
+one are covered whole. A null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, texts
+from .common import Scratch, texts, told_apart
 
 LEVELS = (5, 10, 20)
 FIRST = -(2**63)
@@ -62,14 +63,14 @@ def segments(parts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Segments of some most rows at a time, with doc_id in place of the text index."""
+    """Segments of some most rows at a time, with doc_id and tie in place of the text index."""
     held, size = [], 0
     for pdf in batches:
-        ids = pdf["doc_id"].to_numpy(np.int64)
+        ids, ties = pdf["doc_id"].to_numpy(np.int64), pdf["tie"].to_numpy(np.int64)
         rows = pdf["text"].tolist()
         for at, parts in W.chunks(rows):
             text, *rest = segments(parts)
-            held.append((ids[at + text], *rest))
+            held.append((ids[at + text], ties[at + text], *rest))
             size += len(text)
             if size >= most:
                 yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
@@ -85,7 +86,7 @@ def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int, least:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, _, h5, h10, _ in _blocks(batches, most):
+        for *_, h5, h10, _ in _blocks(batches, most):
             yield pd.DataFrame({"level": [0], "h": [0], "n": [len(h5)]})
             for level, h in ((LEVELS[0], h5), (LEVELS[1], h10)):
                 keys, n = np.unique(h.view(np.int64), return_counts=True)
@@ -99,7 +100,7 @@ def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int, least:
 
 
 def merged_segments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
-    """Segments of all documents: (doc_id, lo, more, key, h10, whole, kind); more is the distance of the last window from lo.
+    """Segments of all documents: (doc_id, tie, lo, more, key, h10, whole, kind); more is the distance of the last window from lo.
 
     key and whole decide what is equal. h10 only sorts out what can't be, so 31 bits of it are enough.
 
@@ -109,35 +110,35 @@ def merged_segments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], most:
     often5, often10 = often
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for doc, lo, hi, h5, h10, whole in _blocks(batches, most):
-            order = np.lexsort((lo, doc, whole, h10, h5))
-            doc, lo, hi, h5, h10, whole = (x[order] for x in (doc, lo, hi, h5, h10, whole))
+        for doc, tie, lo, hi, h5, h10, whole in _blocks(batches, most):
+            order = np.lexsort((lo, tie, doc, whole, h10, h5))
+            doc, tie, lo, hi, h5, h10, whole = (x[order] for x in (doc, tie, lo, hi, h5, h10, whole))
             again = np.zeros(len(doc), bool)
             again[1:] = (h5[1:] == h5[:-1]) & (h10[1:] == h10[:-1]) & (whole[1:] == whole[:-1])
             head = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
-            again &= (doc != doc[head]) | (lo != lo[head])
+            again &= (doc != doc[head]) | (tie != tie[head]) | (lo != lo[head])
             kind = np.isin(h5.view(np.int64), often5).astype(np.int32)
             kind[(kind == 1) & np.isin(h10.view(np.int64), often10)] = 2
             key = np.where(kind == 0, h5, np.where(kind == 1, W.join(h5, h10), W.join(W.join(h5, h10), whole)))
             kind[again] = 3
-            key = np.where(again, W.mix(doc.view(np.uint64) + W.mix(lo.astype(np.uint64))), key)
-            yield pd.DataFrame({"doc_id": doc, "lo": lo, "more": hi - lo, "key": key.view(np.int64), "h10": (h10 >> np.uint64(33)).astype(np.int32), "whole": whole.view(np.int64), "kind": kind})
+            key = np.where(again, W.mix(doc.view(np.uint64) + W.mix(lo.astype(np.uint64) + W.mix(tie.view(np.uint64)))), key)
+            yield pd.DataFrame({"doc_id": doc, "tie": tie, "lo": lo, "more": hi - lo, "key": key.view(np.int64), "h10": (h10 >> np.uint64(33)).astype(np.int32), "whole": whole.view(np.int64), "kind": kind})
 
-    return docs.mapInPandas(run, "doc_id long, lo int, more int, key long, h10 int, whole long, kind int")
+    return docs.mapInPandas(run, "doc_id long, tie long, lo int, more int, key long, h10 int, whole long, kind int")
 
 
 def settle(segs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, covered) of the segments that stay candidates: covered ones, and those whose windows must be compared."""
+    """(doc_id, tie, lo, hi, covered) of the segments that stay candidates: covered ones, and those whose windows must be compared."""
     five = Window.partitionBy("key").orderBy("h10").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ten = Window.partitionBy("key", "h10").orderBy("whole", "doc_id", "lo")
+    ten = Window.partitionBy("key", "h10").orderBy("whole", "doc_id", "tie", "lo")
     everything = ten.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same = Window.partitionBy("key", "h10", "whole").orderBy("doc_id", "lo")
+    same = Window.partitionBy("key", "h10", "whole").orderBy("doc_id", "tie", "lo")
     survive5 = segs.withColumn("n", F.count(F.lit(1)).over(five)).where("kind > 0 or n > 1")
     survive10 = survive5.withColumn("n", F.count(F.lit(1)).over(everything)).where("kind > 1 or n > 1")
     survive10 = survive10.withColumn("kinds", F.when(F.first("whole").over(everything) == F.last("whole").over(everything), 1).otherwise(2))
-    rows = survive10.withColumn("d0", F.first("doc_id").over(same)).withColumn("l0", F.first("lo").over(same))
-    rows = rows.withColumn("covered", F.expr("kind = 3 or doc_id <> d0 or lo <> l0"))
-    return rows.where("covered or kinds > 1 or kind = 2").select("doc_id", "lo", (F.col("lo") + F.col("more")).alias("hi"), "covered")
+    rows = survive10.withColumn("d0", F.first("doc_id").over(same)).withColumn("t0", F.first("tie").over(same)).withColumn("l0", F.first("lo").over(same))
+    rows = rows.withColumn("covered", F.expr("kind = 3 or doc_id <> d0 or tie <> t0 or lo <> l0"))
+    return rows.where("covered or kinds > 1 or kind = 2").select("doc_id", "tie", "lo", (F.col("lo") + F.col("more")).alias("hi"), "covered")
 
 
 def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_000, least: int = 64) -> DataFrame:
@@ -148,21 +149,28 @@ def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     share = share or 1 / max(2000, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST)))
+    rows = told_apart(texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST))))
     work = settle(merged_segments(rows, frequent(rows, scratch, share, most, least), most))
-    work = work.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "covered"))).alias("work"))
+    work = work.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "covered"))).alias("work"))
+    # of rows alike in id and text the later ones are repeats from end to end; ties are 0 where an id is in one row alone
+    copies = rows.where("tie <> 0").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    todo = rows.join(work, ["doc_id", "tie"], "left").withColumn("copy", F.lit(1))
+    if not copies.isEmpty():
+        todo = todo.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("doc_id")))
     full = LEVELS[2]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                out = {k: [] for k in ("doc_id", "text", "n_words", "spans", "windows", "whole_sha256")}
-                for doc, text, todo in zip(part["doc_id"], part["text"], part["work"], strict=True):
+                out = {k: [] for k in ("doc_id", "tie", "text", "n_words", "spans", "windows", "whole_sha256")}
+                for doc, tie, text, todo, copy in zip(part["doc_id"], part["tie"], part["text"], part["work"], part["copy"], strict=True):
                     raw, starts, ends, _ = W.tokenise([text.encode("utf-8", "replace")])
                     has = todo is not None and len(todo) > 0
                     spans = [(int(w["lo"]), int(w["hi"]) + full) for w in todo if w["covered"]] if has else []
                     wins = []
+                    if copy > 1 and len(starts) >= full:
+                        has, todo, spans = True, [], [(0, len(starts))]
                     if has and any(not w["covered"] for w in todo):
                         h = W.hashes(raw, starts, ends)
                         a, b = W.windows(h, full), W.windows(W.mix(h + np.uint64(1)), full)
@@ -170,6 +178,7 @@ def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_
                             if not w["covered"]:
                                 wins += [(int(a[s : s + 1].view(np.int64)[0]), int(b[s : s + 1].view(np.int64)[0]), s) for s in range(w["lo"], w["hi"] + 1)]
                     out["doc_id"].append(doc)
+                    out["tie"].append(tie)
                     out["text"].append(text if has else None)
                     out["n_words"].append(len(starts))
                     out["spans"].append(spans)
@@ -177,13 +186,13 @@ def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_
                     out["whole_sha256"].append(None if has else kept_sha256(text, []))
                 yield pd.DataFrame(out)
 
-    looked = scratch.save(rows.join(work, "doc_id", "left").mapInPandas(look, "doc_id long, text string, n_words long, spans array<struct<lo:int,hi:int>>, windows array<struct<a:long,b:long,s:int>>, whole_sha256 string"), "looked")
-    wins = looked.where(F.size("windows") > 0).select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.a", "w.b", "w.s")
-    first = wins.groupBy("a", "b").agg(F.min(F.struct("doc_id", "s")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "m")
-    later = wins.join(first, ["a", "b"]).where("doc_id <> m.doc_id or s <> m.s")
-    later = later.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("s").alias("lo"), (F.col("s") + full).alias("hi"))).alias("more"))
+    looked = scratch.save(todo.mapInPandas(look, "doc_id long, tie long, text string, n_words long, spans array<struct<lo:int,hi:int>>, windows array<struct<a:long,b:long,s:int>>, whole_sha256 string"), "looked")
+    wins = looked.where(F.size("windows") > 0).select("doc_id", "tie", F.explode("windows").alias("w")).select("doc_id", "tie", "w.a", "w.b", "w.s")
+    first = wins.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "s")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "m")
+    later = wins.join(first, ["a", "b"]).where("doc_id <> m.doc_id or tie <> m.tie or s <> m.s")
+    later = later.groupBy("doc_id", "tie").agg(F.collect_list(F.struct(F.col("s").alias("lo"), (F.col("s") + full).alias("hi"))).alias("more"))
     done = looked.where("whole_sha256 is not null").select("doc_id", "text", "n_words", F.col("spans"), "whole_sha256")
-    rest = looked.where("whole_sha256 is null").join(later, "doc_id", "left")
+    rest = looked.where("whole_sha256 is null").join(later, ["doc_id", "tie"], "left")
     rest = rest.select("doc_id", "text", "n_words", F.sort_array(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>")))).alias("spans"), "whole_sha256")
     return done.unionByName(rest).withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
 
