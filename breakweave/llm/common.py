@@ -51,16 +51,16 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def told_apart(rows: DataFrame) -> DataFrame:
-    """Adds tie to (doc_id, text): with doc_id it names a row by its text where several rows may share the id, and is 0 elsewhere.
+def told_apart(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds tie: with the id, which is never null, it names a row by its text where several rows may share the id, and is 0 elsewhere.
 
     Ids that recur mark one of BUCKETS; the table of marks is bounded, so it may be broadcast. A mark that other ids share only makes
     their ties longer. Rows alike in id and text keep one name.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    marks = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bucket.alias("mark")).distinct()
-    rows = rows.withColumn("bucket", bucket).join(F.broadcast(marks), F.col("bucket") == F.col("mark"), "left")
-    return rows.select("doc_id", "text", F.when(F.col("mark").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long").alias("tie"))
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS))
+    marks = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bucket.alias("mark")).distinct()
+    marked = rows.withColumn("bucket", bucket).join(F.broadcast(marks), F.col("bucket") == F.col("mark"), "left")
+    return marked.select(*rows.columns, F.when(F.col("mark").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long").alias("tie"))
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> F.Column:

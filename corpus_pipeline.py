@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakweave.llm import decontamination, mixing, near_duplicates, packing, quality
-from breakweave.llm.common import Scratch, held_out, read
+from breakweave.llm.common import Scratch, held_out, read, told_apart
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,12 +18,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8), that with the smallest id; of rows that share an id, one."""
-    found = near_duplicates.near_duplicates(docs, shingle=5, percent=80)
-    # null ids are one id, before all others, as in the operator
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(near_duplicates.FIRST)).alias("kept_id")
-    kept = found.where("kept").select(key).distinct()
-    return docs.select(*COLUMNS, key).join(kept, "kept_id").dropDuplicates(["kept_id"]).select(*COLUMNS)
+    """One row of each group of near copies (five-word shingles, 0.8), that with the smallest id, null before all others.
+
+    Rows are linked by keys of their own: the id, or a negative hash of id and text where several rows may share the id.
+    Rows alike in id and text are copies. Rows without words are linked with nothing and stay.
+    """
+    first = F.lit(near_duplicates.FIRST)
+    words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = told_apart(docs.where(words).select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), first).alias("id")), "id")
+    rows = rows.withColumn("kept_id", F.when(F.col("tie") == 0, F.col("id")).otherwise(F.xxhash64("id", "text").bitwiseOR(first)))
+    found = near_duplicates.near_duplicates(rows.select(F.col("kept_id").alias("doc_id"), "text"), shingle=5, percent=80)
+    found = found.select(F.coalesce("doc_id", first).alias("kept_id"), F.coalesce("component_id", first).alias("component"))
+    shared = rows.where("tie <> 0").select("kept_id", "id").distinct()
+    named = found.join(shared, "kept_id", "left").select("component", F.struct(F.coalesce("id", "kept_id"), "kept_id").alias("name"))
+    kept = named.groupBy("component").agg(F.min("name").alias("name")).select("name.kept_id")
+    single = rows.join(kept, "kept_id").dropDuplicates(["kept_id"]).select(*COLUMNS)
+    return single.unionByName(docs.where(~words).select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 
 pytest.importorskip("breakweave.llm.queries")
 
+cp = pytest.importorskip("corpus_pipeline")
+
 from breakweave.llm import substrings  # noqa: E402
 
 
@@ -41,3 +43,14 @@ def test_substrings_with_shared_ids(spark, share, least):
     got = [(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(table(spark, rows), share=share, least=least).collect()]
     key = lambda x: (x[0] or 0, x[1:])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_pipeline_keeps_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (drawn(r, 80, x) for x in "abcde")
+    rows = [(None, a), (None, b), (None, c), (None, c), (3, a + " more"), (4, f"{b} end"), (5, d), (5, e), (6, f"{e} end"), (2, f"{d} end"), (8, "alone"), (None, ""), (None, ""), (9, " ")]
+    rows += [(None, drawn(r, 30, f"n{i}x")) for i in range(40)]
+    got = cp.keep_one_of_near_copies(spark, table(spark, rows), "").collect()
+    want = [(None, a), (None, b), (None, c), (5, e), (2, f"{d} end"), (8, "alone"), (None, ""), (None, ""), (9, " "), *rows[14:]]
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(((x.doc_id, x.text) for x in got), key=key) == sorted(want, key=key) and tuple(got[0].__fields__) == cp.COLUMNS
