@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every benchmark item, each window of a document that has as many words as the item is a candidate. Windows
+For every benchmark item, each window of a document that has as many words as the item is a candidate; a document with fewer words
+that can still reach the similarity is one as a whole. Windows
 without any of the items' shingles have similarity 0 and are passed over; the others get a 64-bit SimHash of their
 shingles. Fingerprints are split into 8 blocks; a window and an item within RADIUS bits differ by two bits at most in some
 block, so looking every block up with two bits' tolerance finds all of them. What is found is verified by exact weighted-shingle
@@ -70,10 +71,15 @@ class Items:
             size = min(SHINGLE, n)
             g, per = grams[size], n - size + 1
             hits = hits_of[size]
-            if len(h) < n or not len(hits):
+            if not len(hits):
                 continue
             at = np.minimum(np.searchsorted(known, g[hits]), len(known) - 1)
             hits = hits[known[at] == g[hits]]
+            for t, both, top in self._short(n, per, g, hits, first, prints, counts):
+                for c, k in both:
+                    best[t, ids[c]] = min(best.get((t, ids[c]), (0.0, 0)), (-k / (per + top - k), 0))
+            if len(h) < n:
+                continue
             # every window of n words that holds a hit
             s = np.unique((hits[:, None] - np.arange(per)).ravel())
             s = s[(s >= 0) & (s <= len(h) - n)]
@@ -100,6 +106,23 @@ class Items:
                             best[key] = value
         return [(t, item, -v[0], v[1]) for (t, item), v in sorted(best.items())]
 
+    def _short(self, n: int, per: int, g: np.ndarray, hits: np.ndarray, first: np.ndarray, prints: np.ndarray, counts: list[Counter]) -> Iterator[tuple[int, list[tuple[int, int]], int]]:
+        """(text, (item, common shingles), the text's shingles) of texts shorter than items of n words that are near to one as wholes."""
+        own = np.diff(first) - (n - per)  # shingles of each text
+        maybe = np.flatnonzero((own > 0) & (own < per) & (100 * own >= self.percent * per))
+        for t in maybe.tolist():
+            m, lo = int(own[t]), int(first[t])
+            # as many of its shingles as the similarity takes must be in some item
+            if 100 * (np.searchsorted(hits, lo + m) - np.searchsorted(hits, lo)) < self.percent * per:
+                continue
+            whole, both = g[lo : lo + m], []
+            held = Counter(whole.tolist())
+            for c in np.flatnonzero(np.bitwise_count(simhash(whole[None])[0] ^ prints) <= RADIUS).tolist():
+                k = sum(min(x, counts[c].get(s, 0)) for s, x in held.items())
+                if 100 * k >= self.percent * (per + m - k):
+                    both.append((c, k))
+            yield t, both, m
+
     @staticmethod
     def _hits(g: np.ndarray, known: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << 16, bool)
