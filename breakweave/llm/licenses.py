@@ -1,9 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line ends, at semicolons and at full stops, question or exclamation marks before white space;
-a normalised sentence (lower case, every run of other than letters and digits one space) may be the known sentence of a licence, which has an
+A text is cut at line ends, at semicolons and at full stops, question or exclamation marks before white space (not inside "v. 2.0").
+A sentence is a piece, without a list mark, or several pieces that follow each other over single line ends, so that wrapped sentences are whole; the longest
+known one counts. Blank lines end sentences. A normalised sentence (lower case, every run of other than letters and digits one space) may be the known sentence of a licence, which has an
 identifier. A document's sequence of identifiers is matched against ordered rules: the identifiers of a
-rule, in order, each at most GAP sentences after the one before. Rules come in a fixed order; sentences that a rule has matched are not
+rule, in order, each at most GAP sentences, wrapped ones joined, after the one before. Rules come in a fixed order; sentences that a rule has matched are not
 matched again by later ones.
 
 Null, empty or blank text: no licence. Repeated rows: equal results. Ties: the earlier rule, then the earlier sentence. Texts without a known
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,11 +49,19 @@ SENTENCES = (
     ("mpl-source", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("reserved", "all rights reserved"),
 )
+#: Canonical sentences in full, which SQL over notices alone doesn't need.
+FULL = (
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("bsd-neither", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+)
 #: Licence, sequence of identifiers; in order of precedence.
 RULES = (
     ("MIT", ("mit-grant", "mit-include", "as-is")),
     ("MIT", ("mit-grant", "mit-include")),
-    ("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-neither")),
     ("BSD-2-Clause", ("bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-notice", "apache-comply", "apache-copy")),
     ("Apache-2.0", ("apache-notice",)),
@@ -65,27 +75,59 @@ RULES = (
     ("MPL-2.0", ("mpl-source",)),
     ("all-rights-reserved", ("reserved",)),
 )
+#: Rules of the sentences in FULL alone; they come after the others.
+FULL_RULES = (("GPL-2.0", ("gpl2-free",)),)
 GAP = 4
-_CUT = re.compile(r"[\n\r;]|[.!?](?=\s|$)")
+_CUT = re.compile(r"\r?\n|\r|;|[!?](?=\s|$)|\.(?=\s|$)(?!(?<=\b[vV]\.)\s[\W_]{0,12}\d)")
+_MARK = re.compile(r"(?:\d{1,2}|[a-z]) ")
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
+@lru_cache(maxsize=8)
+def _beginnings(sentences: frozenset[str]) -> frozenset[str]:
+    """What a known sentence may begin with: all its runs of first words but the whole."""
+    return frozenset(s[: m.start()] for s in sentences for m in re.finditer(" ", s))
+
+
 def sentence_ids(text: str, known: dict[str, str], longest: int, hint: re.Pattern) -> list[tuple[int, str, int, int]]:
     """(number, identifier, start, end) of the known sentences; start and end are positions in the text."""
     if not hint.search(text):
         return []
-    out, at, number = [], 0, 0
+    # pieces: number of the sentence, normalised words, start, end
+    pieces, at, number, lines, fresh = [], 0, 0, 0, True
     for m in [*_CUT.finditer(text), None]:
         end = m.start() if m else len(text)
-        if end > at:
-            part = text[at:end]
-            if not part.isspace():
-                if len(part) <= longest:
-                    found = known.get(_OTHER.sub(" ", part.lower()).strip())
-                    if found:
-                        out.append((number, found, at, end))
+        part = text[at:end]
+        words = (_OTHER.sub(" ", part.lower()).strip() if len(part) <= longest else None) if part and not part.isspace() else ""
+        if words != "":
+            if lines > 1 and not fresh:
                 number += 1
+            pieces.append((number, words, at, end))
+            lines, fresh = 0, False
+        if m and m[0] in ("\n", "\r", "\r\n"):
+            lines += 1
+        elif m and not fresh:
+            number, fresh = number + 1, True
         at = m.end() if m else end
+    out, i, begun = [], 0, _beginnings(frozenset(known))
+    while i < len(pieces):
+        n, words, start, _ = pieces[i]
+        best, last = None, i
+        mark = _MARK.match(words) if words else None
+        for sofar in (words, words[mark.end() :]) if mark else (words,):
+            j = i
+            while sofar:
+                if sofar in known:
+                    best, last = known[sofar], j
+                j += 1
+                if sofar not in begun or j == len(pieces) or pieces[j][0] != n or not pieces[j][1]:
+                    break
+                sofar = f"{sofar} {pieces[j][1]}"
+            if best:
+                break
+        if best:
+            out.append((n, best, start, pieces[last][3]))
+        i = last + 1
     return out
 
 
@@ -108,7 +150,7 @@ def match_rules(ids: list[tuple[int, str, int, int]], rules=RULES, gap: int = GA
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
-def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES, gap: int = GAP) -> DataFrame:
+def scan_licenses(docs: DataFrame, sentences=SENTENCES + FULL, rules=RULES + FULL_RULES, gap: int = GAP) -> DataFrame:
     """(doc_id, sentence_ids, licenses, spans) of every row: identifiers in order, distinct licences, and each match's licence and place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
