@@ -4,7 +4,8 @@ A document's set of word shingles is drawn as a fixed number of minwise tokens.
 by a chosen token, and nodes that are still large by further tokens chosen for the node; small nodes
 are compared exhaustively, and independent trees are repeated until a pair at the threshold is
 missed with a probability below 1e-6 (0.2 to the 10th at 0.8, before the further levels). A node that tokens can't split, as
-a large group of copies, is dealt into blocks by three more tokens; its smallest member is in all of them.
+a large group of copies, is dealt into blocks by three more tokens; its smallest member is in all of them. Where that leaves such a node
+with more than one component, the members outside its largest one are compared with all of the node, a task for each pair of parts.
 
 In a node, pairs are first compared by their tokens (under half of them equal: no link), then links are
 confirmed on full sets, best first, until the node's members are known to be one group. Equal sets are one member throughout.
@@ -79,8 +80,8 @@ def _node(*parts) -> F.Column:
     return F.xxhash64(*parts)
 
 
-def tree_nodes(members: DataFrame, trees: tuple[int, ...], small: int, scratch: Scratch, levels: int = 3) -> DataFrame:
-    """(node, rep) of the nodes with two members or more; a node has some small members at most.
+def tree_nodes(members: DataFrame, trees: tuple[int, ...], small: int, scratch: Scratch, levels: int = 3) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep) of the nodes with two members or more; a node has some small members at most. Second, if there are any, those that stay larger, whole.
 
     Only ids and nodes are shuffled while nodes are counted; tokens are fetched for the members of large nodes alone.
     """
@@ -111,7 +112,35 @@ def tree_nodes(members: DataFrame, trees: tuple[int, ...], small: int, scratch:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return scratch.save(out, "nodes")
+    return scratch.save(out, "nodes"), None if large is None else large.select("node", "rep")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds label, the component of rep so far."""
+    return rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def crossed(stuck: DataFrame, labels: DataFrame, small: int, scratch: Scratch) -> DataFrame | None:
+    """(node, rep) in which every member outside its large node's largest component meets every member of the node; None if all are one component."""
+    rows = labelled(stuck, labels)
+    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("node").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).where("m > most")
+    sizes = scratch.save(sizes, "split")
+    if sizes.isEmpty():
+        return None
+    part = lambda n: F.ceil(n / max(1, small // 2)).cast("long")
+    rows = rows.join(sizes, "node").select("node", "rep", F.expr("label <> main").alias("outside"), part(F.col("m") - F.col("most")).alias("parts"), part(F.col("m")).alias("all_parts"))
+    mine = lambda n: F.pmod(F.xxhash64("rep", "node"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = rows.where("outside").select("node", "rep", mine("parts").alias("p"), upto("all_parts").alias("q"))
+    other = rows.select("node", "rep", upto("parts").alias("p"), mine("all_parts").alias("q"))
+    return scratch.save(one.unionByName(other).select(_node("node", "p", "q").alias("node"), "rep"), "crossed")
+
+
+def still_open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group_id, rep, label) of the groups that hold more than one component so far."""
+    now = labelled(groups, labels)
+    return now.join(now.groupBy("group_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group_id"), "group_id")
 
 
 def dealt(rows: DataFrame, key: str, each: int) -> DataFrame:
@@ -148,9 +177,11 @@ def alike(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "group_id long, rep long").distinct()
 
 
-def spanning_links(ids: list[int], arrays: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Confirmed links that span what is linked among the sets; pairs known to be connected are not compared."""
-    size, top, found, left = [len(s) for s in arrays], list(range(len(ids))), [], len(ids)
+def spanning_links(ids: list[int], arrays: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Confirmed links that span what is linked among the sets; pairs known to be connected, as by equal labels, are not compared."""
+    heads: dict[int, int] = {}
+    size, top, found = [len(s) for s in arrays], [heads.setdefault(x, i) for i, x in enumerate(labels or ids)], []
+    left = len(heads)
 
     def root(i: int) -> int:
         while top[i] != i:
@@ -174,12 +205,13 @@ def spanning_links(ids: list[int], arrays: list[np.ndarray], percent: int) -> li
 
 
 def links(groups: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links on full sets that span each group's linked members. groups: group_id, rep; held: rep, text, k1, k2."""
+    """(a, b): links on full sets that span each group's linked members. groups: group_id, rep, label; held: rep, text, k1, k2."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         pdf = pdf.sort_values(["group_id", "rep"], ignore_index=True)
         group, reps, keys, rows = pdf["group_id"].to_numpy(), pdf["rep"].tolist(), list(zip(pdf["k1"], pdf["k2"], strict=True)), pdf["text"].tolist()
+        label = dict(zip(reps, pdf["label"].tolist(), strict=True))
         begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         for lo, hi in zip(begins, np.append(begins[1:], len(group)), strict=True):
             sets: dict[int, np.ndarray] = {}
@@ -187,7 +219,7 @@ def links(groups: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame
                 for i, s in enumerate(shingle_sets(parts, n), lo + at):
                     if set_key(s) == keys[i]:
                         sets[reps[i]] = s
-            found += spanning_links(list(sets), list(sets.values()), percent)
+            found += spanning_links(list(sets), list(sets.values()), percent, [label[x] for x in sets])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt(groups, "group_id", 500).join(held, "rep").groupBy("bucket").applyInPandas(run, "a long, b long")
@@ -200,17 +232,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, small:
     known = scratch.save(described(rows, shingle), "described")
     members = known.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("tokens", "doc_id").alias("tokens"))
     members = scratch.save(members, "members")
-    rounds = [scratch.save(alike(tree_nodes(members, trees, small, scratch), members), f"groups{i}") for i, trees in enumerate(ROUNDS)]
-    wanted = rounds[0].select("rep").unionByName(rounds[1].select("rep")).distinct().join(members.select("rep", "k1", "k2"), "rep")
-    held = scratch.save(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2"), "held")
-    first = scratch.save(links(rounds[0], held, shingle, percent), "links0")
+    trees = [tree_nodes(members, chosen, small, scratch) for chosen in ROUNDS]
+    rounds = [scratch.save(alike(nodes, members), f"groups{i}") for i, (nodes, _) in enumerate(trees)]
+
+    def fetched(groups: DataFrame, name: str) -> DataFrame:
+        wanted = groups.select("rep").distinct().join(members.select("rep", "k1", "k2"), "rep")
+        return scratch.save(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2"), name)
+
+    held = fetched(rounds[0].select("rep").unionByName(rounds[1].select("rep")), "held")
+    first = scratch.save(links(rounds[0].withColumn("label", F.col("rep")), held, shingle, percent), "links0")
     labels = components(first, scratch)
+
+    def joined(found: DataFrame, labels: DataFrame) -> DataFrame:
+        more = found.unionByName(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
+        return components(more, scratch) if not found.isEmpty() else labels
+
     # groups that the first trees have made one component need no more comparing
-    now = rounds[1].join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_groups = now.groupBy("group_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group_id")
-    second = scratch.save(links(scratch.save(rounds[1].join(open_groups, "group_id"), "open"), held, shingle, percent), "links1")
-    more = second.unionByName(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
-    labels = components(more, scratch) if not second.isEmpty() else labels
+    second = scratch.save(links(scratch.save(still_open(rounds[1], labels), "open"), held, shingle, percent), "links1")
+    labels = joined(second, labels)
+    # large nodes of the first trees, then of the others: what is linked by then needn't be compared
+    for i, (_, stuck) in enumerate(trees):
+        nodes = crossed(stuck, labels, small, scratch) if stuck is not None else None
+        if nodes is not None:
+            groups = scratch.save(still_open(scratch.save(alike(nodes, members), f"crossed_groups{i}"), labels), "open")
+            third = scratch.save(links(groups, fetched(groups, "held"), shingle, percent), f"crossed_links{i}")
+            labels = joined(third, labels)
     tops = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("label", "rep").alias("top"))
     out = known.select("doc_id", "n_shingles", "k1", "k2").join(tops, ["k1", "k2", "n_shingles"], "left").withColumn("top", F.coalesce("top", "doc_id"))
     back = lambda c: F.when(F.col(c) != FIRST, F.col(c))
