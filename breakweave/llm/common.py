@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 65536
@@ -15,9 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of a table; other columns, whatever their names, are left out; a null text is empty."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, text) of a table, and the columns named in keep; others, whatever their names, are left out; a null text is empty."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *keep)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,8 +68,8 @@ def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most per_class rows of either label, those with the lowest hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, per_class: int, max_bytes: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, y), and the columns of docs named in keep, of at most per_class rows of either label, those with the lowest hash of the id, as far as max_bytes of their whole texts go.
 
     The choice is made on labels alone, which has no texts, so that only the chosen texts are fetched.
     The bound is per_class, so the broadcast of the chosen ids is bounded too. Ids that recur count once.
@@ -81,4 +81,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Col
     )
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = texts(docs, *keep).join(F.broadcast(chosen), "doc_id")
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.sum(F.octet_length("text")).over(so_far)).where(F.col("upto") <= max_bytes).drop("upto")

@@ -128,10 +128,10 @@ def train(rows: list[tuple[str, object, int]], buckets: int = 4096, rank: int =
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, max_rows: int = 3000, **options) -> QualityModel:
-    """Learns from at most max_rows labelled rows of either class (lowest hash of the id) for which learn holds."""
-    chosen = labelled_sample(docs, labels, "quality", learn, max_rows).orderBy("doc_id", "text").select("text", "y").collect()
-    return train([(r.text, len(r.text), r.y) for r in chosen], **options)
+def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, max_rows: int = 3000, max_bytes: int = 10_000_000, **options) -> QualityModel:
+    """Learns from at most max_rows labelled rows, and max_bytes of text, of either class (lowest hash of the id) for which learn holds."""
+    chosen = labelled_sample(docs, labels, "quality", learn, max_rows, max_bytes, ("n_chars",)).orderBy("doc_id", "text").select("text", F.col("n_chars").cast("long"), "y").collect()
+    return train([tuple(r) for r in chosen], **options)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ()) -> DataFrame:
