@@ -1,15 +1,14 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Levels 5, 10 and 20 words. A 20-word window is stood for by the 5-word window in it with the smallest
-hash; equal windows choose alike, so a window can only be repeated if its 5-word window is. Those that are
-repeated are extended to 10 words (the way that stays inside the 20-word window), those still
-repeated to 20. Neighbouring 20-word windows that share their 5- and 10-word windows form one segment.
-Equal segments are settled as wholes: all but the first are covered. Only where different segments
-share a 10-word window are their 20-word windows compared one by one.
+Levels of 10 and 20 words. A 20-word window is stood for by the 10-word window in it with the smallest hash; equal windows choose alike, so a
+window can only be repeated if its 10-word window is. Those that are repeated are extended to 20 words, and none survives beyond. Neighbouring
+20-word windows that share their 10-word window form one segment. Equal segments are settled as wholes: all but the first are covered. Only
+where different segments share a 10-word window are their 20-word windows compared one by one. (A level of 5 words below would save nothing:
+four fifths of the segments of the check tables are repeated at that length.)
 
-Every level groups by a hash, after equal segments of one input block have been merged. 5-word windows
-so frequent that they would outgrow a task (at most 1 / share of them exist) are known to be
-repeated, and are dealt out by their 10-word extension, or by segment if that is as frequent.
+The level groups by the hash of ten words, after equal segments of one input block have been merged. 10-word windows so frequent that
+they would be more than a tenth of a mean partition (at most 1 / share of them exist) are known to be repeated, and are dealt out by segment.
+Segments are equal by 128 bits, single windows too.
 
 Null, empty or blank text: no words. Fewer words than a window: nothing is removed. Every row is an occurrence of its own,
 whatever its doc_id: rows that share one are told apart by a hash of their text, in whose order they come, and of rows alike in both all but
@@ -29,37 +28,31 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import Scratch, texts, told_apart
 
-LEVELS = (5, 10, 20)
+SHORT, FULL = 10, 20
 FIRST = -(2**63)
 
 
 def segments(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Text index, first and last window start (in words of the text), and the hashes of 5 words, 10 words and the whole segment."""
-    short, middle, full = LEVELS
+    """Text index, first and last window start (in words of the text), and the hashes of the 10 words and of the whole segment."""
     raw, starts, ends, first = W.tokenise(parts)
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.uint64, np.uint64, np.uint64))
-    n = len(starts)
-    if n < full:
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    if len(starts) < FULL:
         return empty
     h = W.hashes(raw, starts, ends)
-    h5, h10 = W.windows(h, short), W.windows(h, middle)
-    low = W.sliding_min(h5, full - short + 1)  # one for each 20-word window
-    owner = np.searchsorted(first, np.arange(len(low)), side="right") - 1
-    inside = np.arange(len(low)) + full <= first[owner + 1]
-    s = np.flatnonzero(inside)
+    short = W.windows(h, SHORT)
+    low = W.sliding_min(short, FULL - SHORT + 1)  # one for each 20-word window
+    owner = np.repeat(np.arange(len(parts)), np.diff(first))[: len(low)]
+    s = np.flatnonzero(np.arange(len(low)) + FULL <= first[owner + 1])
     if not len(s):
         return empty
-    q, text = low[s], owner[inside]
-    ten = np.where(q - s <= full - middle, q, q + short - middle)
-    new = np.ones(len(s), bool)
-    new[1:] = (q[1:] != q[:-1]) | (ten[1:] != ten[:-1]) | (s[1:] != s[:-1] + 1)
-    lo = np.flatnonzero(new)
+    q, text = low[s], owner[s]
+    lo = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1] + 1)]))
     hi = np.append(lo[1:], len(s)) - 1
-    h20 = W.windows(h, full)
+    full = W.windows(h, FULL)
     # a segment's words are those of its first and last window, a distance apart of less than a window
-    whole = W.join(W.join(h20[s[lo]], h20[s[hi]]), W.mix((s[hi] - s[lo]).astype(np.uint64)))
+    whole = W.join(W.join(full[s[lo]], full[s[hi]]), W.mix((s[hi] - s[lo]).astype(np.uint64)))
     begin = first[text[lo]]
-    return text[lo], (s[lo] - begin).astype(np.int32), (s[hi] - begin).astype(np.int32), h5[q[lo]], h10[ten[lo]], whole
+    return text[lo], s[lo] - begin, s[hi] - begin, short[q[lo]], whole
 
 
 def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -79,156 +72,148 @@ def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.nda
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int, least: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 5- and 10-word windows that stand for over a share of all segments; none above twice the share is missed.
+def frequent(docs: DataFrame, scratch: Scratch, share: float, most: int, least: int = 64) -> np.ndarray:
+    """Hashes of the 10-word windows that stand for over a share of all segments; none above twice the share is missed.
 
-    A window above the share overall is above it in some block. At most 1 / share windows of a level are returned.
+    A window above the share overall is above it in some block. At most 1 / share windows are returned.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for *_, h5, h10, _ in _blocks(batches, most):
-            yield pd.DataFrame({"level": [0], "h": [0], "n": [len(h5)]})
-            for level, h in ((LEVELS[0], h5), (LEVELS[1], h10)):
-                keys, n = np.unique(h.view(np.int64), return_counts=True)
-                big = n >= max(min(4, least), share * len(h))
-                yield pd.DataFrame({"level": level, "h": keys[big], "n": n[big]})
+        for *_, short, _ in _blocks(batches, most):
+            yield pd.DataFrame({"total": [True], "h": [0], "n": [len(short)]})
+            short = np.sort(short.view(np.int64))
+            at = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+            n = np.diff(np.append(at, len(short)))
+            big = n >= max(min(4, least), share * len(short))
+            yield pd.DataFrame({"total": False, "h": short[at[big]], "n": n[big]})
 
-    found = scratch.save(docs.mapInPandas(count, "level int, h long, n long").groupBy("level", "h").agg(F.sum("n").alias("n")), "frequent")
-    total = found.where("level = 0").agg(F.sum("n")).first()[0] or 0
-    kept = found.where((F.col("level") > 0) & (F.col("n") >= max(float(least), share * total))).collect()
-    return tuple(np.sort(np.array([r.h for r in kept if r.level == level], dtype=np.int64)) for level in LEVELS[:2])
+    found = scratch.save(docs.mapInPandas(count, "total boolean, h long, n long").groupBy("total", "h").agg(F.sum("n").alias("n")), "frequent")
+    total = found.where("total").agg(F.sum("n")).first()[0] or 0
+    kept = found.where(~F.col("total") & (F.col("n") >= max(float(least), share * total))).select("h").collect()
+    return np.sort(np.array([r.h for r in kept], dtype=np.int64))
 
 
-def merged_segments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
-    """Segments of all documents: (doc_id, tie, lo, more, key, h10, whole, kind); more is the distance of the last window from lo.
+def merged_segments(docs: DataFrame, often: np.ndarray, most: int) -> DataFrame:
+    """Segments of all documents: (doc_id, tie, at, key, whole, kind); at is lo << 8 | distance of the last window from lo.
 
-    key and whole decide what is equal. h10 only sorts out what can't be, so 31 bits of it are enough.
-
-    kind 0: to be counted at level 5; 1: its 5-word window is known as repeated; 2: its 10-word window as well;
-    3: an equal segment came before it in its block, so it is settled.
+    kind 0: to be counted by its 10-word window; 1: that window is known as repeated; 2: an equal segment came before it in its block, so it is settled.
     """
-    often5, often10 = often
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for doc, tie, lo, hi, h5, h10, whole in _blocks(batches, most):
-            order = np.lexsort((lo, tie, doc, whole, h10, h5))
-            doc, tie, lo, hi, h5, h10, whole = (x[order] for x in (doc, tie, lo, hi, h5, h10, whole))
+        for doc, tie, lo, hi, short, whole in _blocks(batches, most):
+            order = np.lexsort((lo, tie, doc, whole, short))
+            doc, tie, lo, hi, short, whole = (x[order] for x in (doc, tie, lo, hi, short, whole))
             again = np.zeros(len(doc), bool)
-            again[1:] = (h5[1:] == h5[:-1]) & (h10[1:] == h10[:-1]) & (whole[1:] == whole[:-1])
+            again[1:] = (short[1:] == short[:-1]) & (whole[1:] == whole[:-1])
             head = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
             again &= (doc != doc[head]) | (tie != tie[head]) | (lo != lo[head])
-            kind = np.isin(h5.view(np.int64), often5).astype(np.int32)
-            kind[(kind == 1) & np.isin(h10.view(np.int64), often10)] = 2
-            key = np.where(kind == 0, h5, np.where(kind == 1, W.join(h5, h10), W.join(W.join(h5, h10), whole)))
-            kind[again] = 3
+            kind = np.isin(short.view(np.int64), often).astype(np.int8)
+            key = np.where(kind == 0, short, W.join(short, whole))
+            kind[again] = 2
             key = np.where(again, W.mix(doc.view(np.uint64) + W.mix(lo.astype(np.uint64) + W.mix(tie.view(np.uint64)))), key)
-            yield pd.DataFrame({"doc_id": doc, "tie": tie, "lo": lo, "more": hi - lo, "key": key.view(np.int64), "h10": (h10 >> np.uint64(33)).astype(np.int32), "whole": whole.view(np.int64), "kind": kind})
+            yield pd.DataFrame({"doc_id": doc, "tie": tie, "at": lo << 8 | hi - lo, "key": key.view(np.int64), "whole": whole.view(np.int64), "kind": kind})
 
-    return docs.mapInPandas(run, "doc_id long, tie long, lo int, more int, key long, h10 int, whole long, kind int")
+    return docs.mapInPandas(run, "doc_id long, tie long, at long, key long, whole long, kind byte")
 
 
 def settle(segs: DataFrame) -> DataFrame:
-    """(doc_id, tie, lo, hi, covered) of the segments that stay candidates: covered ones, and those whose windows must be compared."""
-    five = Window.partitionBy("key").orderBy("h10").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ten = Window.partitionBy("key", "h10").orderBy("whole", "doc_id", "tie", "lo")
+    """(doc_id, tie, work) of the segments that stay candidates: covered ones, and those whose windows must be compared; work is at << 1 | covered."""
+    ten = Window.partitionBy("key").orderBy("whole", "doc_id", "tie", "at")
     everything = ten.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same = Window.partitionBy("key", "h10", "whole").orderBy("doc_id", "tie", "lo")
-    survive5 = segs.withColumn("n", F.count(F.lit(1)).over(five)).where("kind > 0 or n > 1")
-    survive10 = survive5.withColumn("n", F.count(F.lit(1)).over(everything)).where("kind > 1 or n > 1")
-    survive10 = survive10.withColumn("kinds", F.when(F.first("whole").over(everything) == F.last("whole").over(everything), 1).otherwise(2))
-    rows = survive10.withColumn("d0", F.first("doc_id").over(same)).withColumn("t0", F.first("tie").over(same)).withColumn("l0", F.first("lo").over(same))
-    rows = rows.withColumn("covered", F.expr("kind = 3 or doc_id <> d0 or tie <> t0 or lo <> l0"))
-    return rows.where("covered or kinds > 1 or kind = 2").select("doc_id", "tie", "lo", (F.col("lo") + F.col("more")).alias("hi"), "covered")
+    rows = segs.withColumn("n", F.count(F.lit(1)).over(everything)).withColumn("kinds", F.when(F.first("whole").over(everything) == F.last("whole").over(everything), 1).otherwise(2))
+    same = Window.partitionBy("key", "whole").orderBy("doc_id", "tie", "at")
+    rows = rows.withColumn("f", F.first(F.struct("doc_id", "tie", "at")).over(same)).where("kind > 0 or n > 1")
+    rows = rows.withColumn("covered", F.expr("kind = 2 or doc_id <> f.doc_id or tie <> f.tie or at <> f.at"))
+    rows = rows.where("covered or kinds > 1 or kind = 1")
+    return rows.select("doc_id", "tie", (F.shiftleft("at", 1) + F.col("covered").cast("long")).alias("work"))
 
 
-def repeated_words(docs: DataFrame, share: float | None = None, most: int = 400_000, least: int = 64) -> DataFrame:
-    """(doc_id, text, n_words, spans, whole_sha256): spans are [from, upto) runs of covered words, in order.
+def runs_of(lo: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the runs [lo, upto) into those that don't touch."""
+    order = np.argsort(lo, kind="stable")
+    lo, upto = lo[order], np.maximum.accumulate(upto[order])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > upto[:-1]])) if len(lo) else np.zeros(0, np.int64)
+    return lo[new], np.append(upto[new[1:] - 1], upto[-1:])
 
-    text is kept only where there are spans; whole_sha256 is that of all words joined by one space.
-    """
+
+def kept_words(text: str, lo: np.ndarray, upto: np.ndarray) -> bytes:
+    """The words outside the runs, joined by one space."""
+    ws = text.encode("utf-8", "replace").split()
+    edges = [0, *np.column_stack([lo, upto]).ravel().tolist(), len(ws)]
+    return b" ".join([w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in ws[a:b]])
+
+
+def looked_at(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What is known of each row once its settled runs are applied: the digest where nothing is left to compare, else its text, runs and 128-bit windows."""
+    out = {k: [] for k in ("doc_id", "tie", "text", "n_words", "runs", "a", "b", "s", "n_removed", "kept_sha256")}
+    for doc, tie, text, work, copy in zip(pdf["doc_id"], pdf["tie"], pdf["text"], pdf["work"], pdf["copy"], strict=True):
+        work = np.asarray(work if work is not None else (), dtype=np.int64)
+        at, covered = work >> 1, (work & 1).astype(bool)
+        lo, more, n_words = at >> 8, at & 255, len(text.encode("utf-8", "replace").split())
+        left, upto = runs_of(lo[covered], (lo + more + FULL)[covered])
+        if copy > 1 and n_words >= FULL:
+            left, upto, covered = np.zeros(1, np.int64), np.full(1, n_words), np.ones(len(covered), bool)
+        todo = not covered.all()
+        a = b = s = np.zeros(0, np.int64)
+        if todo:
+            h = W.hashes(*W.tokenise([text.encode("utf-8", "replace")])[:3])
+            s = np.concatenate([np.arange(x, x + m + 1) for x, m in zip(lo[~covered], more[~covered], strict=True)])
+            a, b = W.windows(h, FULL)[s].view(np.int64), W.windows(W.mix(h + np.uint64(1)), FULL)[s].view(np.int64)
+        out["doc_id"].append(doc)
+        out["tie"].append(tie)
+        out["text"].append(text if todo else None)
+        out["n_words"].append(n_words)
+        out["runs"].append(np.column_stack([left, upto]).ravel() if todo else None)
+        for k, v in (("a", a), ("b", b), ("s", s)):
+            out[k].append(v if todo else None)
+        out["n_removed"].append(int((upto - left).sum()))
+        out["kept_sha256"].append(None if todo else hashlib.sha256(kept_words(text, left, upto)).hexdigest())
+    return pd.DataFrame(out)
+
+
+LOOKED = "doc_id long, tie long, text string, n_words long, runs array<long>, a array<long>, b array<long>, s array<long>, n_removed long, kept_sha256 string"
+
+
+def remove_repeats(docs: DataFrame, share: float | None = None, most: int = 400_000, least: int = 64) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     share = share or 1 / max(2000, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = told_apart(texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST))))
     work = settle(merged_segments(rows, frequent(rows, scratch, share, most, least), most))
-    work = work.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "covered"))).alias("work"))
+    work = scratch.save(work, "work").groupBy("doc_id", "tie").agg(F.collect_list("work").alias("work"))
     # of rows alike in id and text the later ones are repeats from end to end; ties are 0 where an id is in one row alone
     copies = rows.where("tie <> 0").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     todo = rows.join(work, ["doc_id", "tie"], "left").withColumn("copy", F.lit(1))
     if not copies.isEmpty():
         todo = todo.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("doc_id")))
-    full = LEVELS[2]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                out = {k: [] for k in ("doc_id", "tie", "text", "n_words", "spans", "windows", "whole_sha256")}
-                for doc, tie, text, todo, copy in zip(part["doc_id"], part["tie"], part["text"], part["work"], part["copy"], strict=True):
-                    raw, starts, ends, _ = W.tokenise([text.encode("utf-8", "replace")])
-                    has = todo is not None and len(todo) > 0
-                    spans = [(int(w["lo"]), int(w["hi"]) + full) for w in todo if w["covered"]] if has else []
-                    wins = []
-                    if copy > 1 and len(starts) >= full:
-                        has, todo, spans = True, [], [(0, len(starts))]
-                    if has and any(not w["covered"] for w in todo):
-                        h = W.hashes(raw, starts, ends)
-                        a, b = W.windows(h, full), W.windows(W.mix(h + np.uint64(1)), full)
-                        for w in todo:
-                            if not w["covered"]:
-                                wins += [(int(a[s : s + 1].view(np.int64)[0]), int(b[s : s + 1].view(np.int64)[0]), s) for s in range(w["lo"], w["hi"] + 1)]
-                    out["doc_id"].append(doc)
-                    out["tie"].append(tie)
-                    out["text"].append(text if has else None)
-                    out["n_words"].append(len(starts))
-                    out["spans"].append(spans)
-                    out["windows"].append(wins)
-                    out["whole_sha256"].append(None if has else kept_sha256(text, []))
-                yield pd.DataFrame(out)
-
-    looked = scratch.save(todo.mapInPandas(look, "doc_id long, tie long, text string, n_words long, spans array<struct<lo:int,hi:int>>, windows array<struct<a:long,b:long,s:int>>, whole_sha256 string"), "looked")
-    wins = looked.where(F.size("windows") > 0).select("doc_id", "tie", F.explode("windows").alias("w")).select("doc_id", "tie", "w.a", "w.b", "w.s")
-    first = wins.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "s")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "m")
-    later = wins.join(first, ["a", "b"]).where("doc_id <> m.doc_id or tie <> m.tie or s <> m.s")
-    later = later.groupBy("doc_id", "tie").agg(F.collect_list(F.struct(F.col("s").alias("lo"), (F.col("s") + full).alias("hi"))).alias("more"))
-    done = looked.where("whole_sha256 is not null").select("doc_id", "text", "n_words", F.col("spans"), "whole_sha256")
-    rest = looked.where("whole_sha256 is null").join(later, ["doc_id", "tie"], "left")
-    rest = rest.select("doc_id", "text", "n_words", F.sort_array(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>")))).alias("spans"), "whole_sha256")
-    return done.unionByName(rest).withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
-
-
-def cover(spans) -> list[tuple[int, int]]:
-    """Merges sorted runs."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in spans:
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def kept_sha256(text: str, runs: list[tuple[int, int]]) -> str:
-    """SHA-256 of the words outside the runs, joined by one space."""
-    ws = text.encode("utf-8", "replace").split()
-    for lo, hi in reversed(runs):
-        del ws[lo:hi]
-    return hashlib.sha256(b" ".join(ws)).hexdigest()
-
+                yield looked_at(pdf.iloc[lo : lo + 256])
 
-def remove_repeats(docs: DataFrame, share: float | None = None, most: int = 400_000, least: int = 64) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for every row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             removed, sha = [], []
-            for text, spans, whole in zip(pdf["text"], pdf["spans"], pdf["whole_sha256"], strict=True):
-                runs = cover([(s["lo"], s["hi"]) for s in spans]) if spans is not None else []
-                removed.append(sum(b - a for a, b in runs))
-                sha.append(whole if isinstance(whole, str) else kept_sha256(text, runs))
+            for text, runs, later in zip(pdf["text"], pdf["runs"], pdf["later"], strict=True):
+                runs, later = np.asarray(runs, np.int64), np.asarray(later if later is not None else (), np.int64)
+                left, upto = runs_of(np.append(runs[::2], later), np.append(runs[1::2], later + FULL))
+                removed.append(int((upto - left).sum()))
+                sha.append(hashlib.sha256(kept_words(text, left, upto)).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "n_removed": removed, "kept_sha256": sha})
 
-    return repeated_words(docs, share, most, least).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    looked = scratch.save(todo.mapInPandas(look, LOOKED), "looked")
+    done = looked.where("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    rest = looked.where("kept_sha256 is null")
+    wins = rest.select("doc_id", "tie", F.explode(F.arrays_zip("a", "b", "s")).alias("w")).select("doc_id", "tie", "w.a", "w.b", "w.s")
+    first = wins.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "s")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "m")
+    later = wins.join(first, ["a", "b"]).where("doc_id <> m.doc_id or tie <> m.tie or s <> m.s")
+    later = later.groupBy("doc_id", "tie").agg(F.collect_list("s").alias("later"))
+    rest = rest.select("doc_id", "tie", "text", "n_words", "runs").join(later, ["doc_id", "tie"], "left").mapInPandas(finish, schema)
+    out = done.unionByName(rest)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
 
 
 SQL = r"""

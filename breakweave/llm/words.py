@@ -89,11 +89,18 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
-    """For each position the index of the first smallest of the width values from it on; width is a power of two."""
+    """For each position the index of the first smallest of the width values from it on."""
     at, value, size = np.arange(len(h)), h, 1
-    while size < width:
-        later = value[size:] < value[: len(value) - size]
-        value = np.where(later, value[size:], value[: len(value) - size])
-        at = np.where(later, at[size:], at[: len(at) - size])
+
+    def joined(step: int) -> None:
+        nonlocal at, value
+        later = value[step:] < value[: len(value) - step]
+        value = np.where(later, value[step:], value[: len(value) - step])
+        at = np.where(later, at[step:], at[: len(at) - step])
+
+    while 2 * size <= width:
+        joined(size)
         size *= 2
+    if size < width:
+        joined(width - size)
     return at
