@@ -30,6 +30,8 @@ from .components import components
 TOKENS = 48
 ROUNDS = ((0, 1, 2), (3, 4, 5, 6, 7, 8, 9))
 FIRST = -(2**63)
+#: Rows of three longs that are sent to every task rather than shuffling the texts to them: 24 MB at most.
+SENT = 1_000_000
 _rng = np.random.default_rng(5)
 FACTORS = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
@@ -128,7 +130,7 @@ def crossed(stuck: DataFrame, labels: DataFrame, small: int, scratch: Scratch) -
     sizes = scratch.save(sizes, "split")
     if sizes.isEmpty():
         return None
-    part = lambda n: F.ceil(n / max(1, small // 2)).cast("long")
+    part = lambda n: F.ceil(n / (2 * small)).cast("long")
     rows = rows.join(sizes, "node").select("node", "rep", F.expr("label <> main").alias("outside"), part(F.col("m") - F.col("most")).alias("parts"), part(F.col("m")).alias("all_parts"))
     mine = lambda n: F.pmod(F.xxhash64("rep", "node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -179,28 +181,27 @@ def alike(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 def spanning_links(ids: list[int], arrays: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Confirmed links that span what is linked among the sets; pairs known to be connected, as by equal labels, are not compared."""
-    heads: dict[int, int] = {}
-    size, top, found = [len(s) for s in arrays], [heads.setdefault(x, i) for i, x in enumerate(labels or ids)], []
-    left = len(heads)
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for i in range(len(ids)):
-        for j in range(i):
-            if left == 1:
-                return found
-            if 100 * min(size[i], size[j]) < percent * max(size[i], size[j]) or root(i) == root(j):
+    size, top, found = np.array([len(s) for s in arrays]), np.array(labels or ids), []
+    begin, marks = np.concatenate([[0], np.cumsum(size)]), np.zeros(1 << 20, np.uint8)
+    slot = (np.concatenate(arrays) >> np.uint64(44)).astype(np.int32) if len(ids) else None
+    for i in range(1, len(ids)):
+        small, large = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
+        near = np.flatnonzero((top[:i] != top[i]) & (100 * small >= percent * large))
+        if len(near) > 16:  # an upper bound of what each has in common with this one
+            marks[slot[begin[i] : begin[i + 1]]] = 1
+            most = np.add.reduceat(marks[slot[: begin[i]]], begin[:i], dtype=np.int64)[near]
+            marks[slot[begin[i] : begin[i + 1]]] = 0
+            near = near[100 * most >= percent * (size[i] + size[near] - most)]
+        for j in near.tolist():
+            if top[j] == top[i]:
                 continue
             a, b = (arrays[i], arrays[j]) if size[i] <= size[j] else (arrays[j], arrays[i])
             common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
             if 100 * common >= percent * (size[i] + size[j] - common):
                 found.append((ids[j], ids[i]))
-                top[root(i)] = root(j)
-                left -= 1
+                top[top == top[i]] = top[j]
+        if (top == top[0]).all():
+            break
     return found
 
 
@@ -236,8 +237,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, small:
     rounds = [scratch.save(alike(nodes, members), f"groups{i}") for i, (nodes, _) in enumerate(trees)]
 
     def fetched(groups: DataFrame, name: str) -> DataFrame:
-        wanted = groups.select("rep").distinct().join(members.select("rep", "k1", "k2"), "rep")
-        return scratch.save(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2"), name)
+        wanted = scratch.save(groups.select("rep").distinct().join(members.select("rep", "k1", "k2"), "rep"), f"{name}_wanted")
+        side = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+        return scratch.save(rows.join(side, rows["doc_id"] == wanted["rep"]).select("rep", "text", "k1", "k2"), name)
 
     held = fetched(rounds[0].select("rep").unionByName(rounds[1].select("rep")), "held")
     first = scratch.save(links(rounds[0].withColumn("label", F.col("rep")), held, shingle, percent), "links0")
