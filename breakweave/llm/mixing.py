@@ -26,6 +26,14 @@ from pyspark.sql import functions as F
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 SPAN = 1024  # doc_ids a bucket of the two-level running sum
+ROUNDS = 16
+ODD = "('1', '3', '5', '7', '9', 'b', 'd', 'f')"
+
+
+def permuted(x: str) -> str:
+    """SQL of the place that index x (0 to blocks - 1) goes to; in each round it and its mirror at the round's key may swap, as a digest of both says."""
+    mirror = "pmod(keys[i] - acc, blocks)"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), cast({x} as long), (acc, i) -> if(substr(md5(concat(keys[i], ':', i, ':', greatest(acc, {mirror}))), 1, 1) in {ODD}, {mirror}, acc))"
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -58,9 +66,9 @@ def source_targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("owed", F.floor("target").cast("long"))
         .withColumn("passes", F.expr("if(source_size = 0, 0, owed div source_size)"))
         .withColumn("rest", F.expr("if(source_size = 0, 0, owed % source_size)"))
-        .withColumn("stride", F.expr("case when blocks % 1000003 <> 0 then 1000003 when blocks % 999983 <> 0 then 999983 else 1 end"))
+        .withColumn("keys", F.expr(f"transform(sequence(0, {ROUNDS - 1}), i -> if(blocks = 0, 0L, cast(conv(substr(md5(concat(coalesce(source, ''), ':', i)), 1, 8), 16, 10) as long) % blocks))"))
         .withColumn("place", F.expr("if(blocks = 0, 0, cast(conv(substr(md5(coalesce(source, '')), 1, 8), 16, 10) as long) % blocks)"))
-        .withColumn("start", F.expr("if(blocks = 0, 0, pmod(blocks - 1 - (stride * place) % blocks, blocks))"))
+        .withColumn("start", F.expr(f"if(blocks = 0, 0, pmod(blocks - 1 - {permuted('place')}, blocks))"))
     )
     return (
         per.withColumn("whole", F.expr(f"case when rest <= place * {block} then rest div {block} when rest >= place * {block} + last then 1 + (rest - last) div {block} else place end"))
@@ -70,13 +78,14 @@ def source_targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def draw_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int = 11, chunk: int = 65536) -> DataFrame:
-    """(source, slot, block, take, shard): the multinomial draw of shards and the block of every slot."""
-    all_slots = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    named = targets.withColumn("shards", F.expr(f"greatest(1, (sum_slots + {shard_slots - 1}) div {shard_slots})")) if "sum_slots" in targets.columns else targets.withColumn("sum_slots", F.sum("slots").over(all_slots)).withColumn("shards", F.expr(f"greatest(1, (sum_slots + {shard_slots - 1}) div {shard_slots})"))
-    chunks = named.where("slots > 0").select("source", "blocks", "passes", "whole", "cut", "stride", "start", "slots", "shards", F.explode(F.expr(f"sequence(0, (slots - 1) div {chunk})")).alias("part")).repartition("source", "part")
+    """(source, slot, pass, block, take, shard): the multinomial draw of shards and the block of every slot."""
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shards = F.expr(f"greatest(1, (all_slots + {shard_slots - 1}) div {shard_slots})")
+    named = targets.withColumn("all_slots", F.sum("slots").over(everything)).withColumn("shards", shards).where("slots > 0")
+    chunks = named.select("source", "blocks", "cut", "keys", "start", "slots", "shards", F.explode(F.expr(f"sequence(0, (slots - 1) div {chunk})")).alias("part")).repartition("source", "part")
     slots = chunks.select("*", F.explode(F.expr(f"sequence(part * {chunk}, least(slots, (part + 1) * {chunk}) - 1)")).alias("slot"))
     return slots.select(
-        "source", "slot", F.expr("(stride * (slot % blocks) + start) % blocks").alias("block"),
+        "source", "slot", F.expr("slot div blocks").alias("pass"), F.expr(f"({permuted('slot % blocks')} + start) % blocks").alias("block"),
         F.expr(f"if(cut > 0 and slot = slots - 1, cut, {block})").alias("take"), F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("slot")), F.col("shards")).alias("shard"),
     )
 
@@ -156,6 +165,63 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int
     return taken.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "shard", "slot")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, text, k1, k2): k1 and k2 are 128 bits of id, source and text, by which a row is known."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    parts = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("text")]
+    return rows.select("*", *(F.xxhash64(F.lit(i), *parts).alias(f"k{i}") for i in (1, 2)))
+
+
+def runs_taken(taken: list) -> list[tuple[int, int, int, int]]:
+    """(shard, slot, lo, hi) of the runs of words, in the order of the document, that neighbouring blocks of one pass make together; the first block's shard and slot stand for a run."""
+    out, last = [], None
+    for x in sorted(taken, key=lambda x: (x["at"], x["pass"], x["lo"])):
+        if last is not None and (x["at"], x["pass"]) == last and x["lo"] == out[-1][3]:
+            out[-1] = (*out[-1][:3], x["hi"])
+        else:
+            out.append((x["shard"], x["slot"], x["lo"], x["hi"]))
+        last = (x["at"], x["pass"])
+    return out
+
+
+def mix_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int = 11) -> DataFrame:
+    """The mix as documents: (doc_id, text, lang, source, n_chars, shard, slot), a row for each pass that takes a document, or for each run of its words where a pass takes only some of its blocks.
+
+    Rows are dealt out by shard and lie in the order of their slots. Only ids, blocks and slots are joined by block; texts are moved twice, to their runs and to their shard.
+    """
+    rows = named(docs)
+    sizes = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("size"), F.col("k1").alias("tie"), "k1", "k2")
+    slots = draw_slots(source_targets(sizes, block), block, shard_slots, seed).select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "slot", "shard", "take")
+    parts = pieces(placed(sizes.where("size > 0")), block)
+    used = parts.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).where("take > from")
+    used = used.withColumn("lo", F.expr(f"block * {block} + from - at")).withColumn("hi", F.expr("lo + least(upto, take) - from"))
+    used = used.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "pass", "lo", "hi", "slot", "shard")).alias("taken"))
+    # rows alike in id, source and text have one list; the first of them stands for all
+    only = Window.partitionBy("k1", "k2").orderBy("k1")
+    joined = rows.join(used.hint("merge"), ["k1", "k2"]).withColumn("n", F.row_number().over(only)).where("n = 1").select("doc_id", "text", "lang", "source", "taken")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        word = re.compile(WORDS)
+        for pdf in batches:
+            out = []
+            for doc, text, lang, source, taken in pdf.itertuples(index=False, name=None):
+                starts = [m.start() for m in word.finditer(text)]
+                for shard, slot, lo, hi in runs_taken(taken):
+                    stretch = text[0 if lo == 0 else starts[lo] : len(text) if hi == len(starts) else starts[hi]]
+                    out.append((doc, stretch, lang, source, len(stretch), shard, slot))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"])
+
+    mixed = joined.mapInPandas(cut, "doc_id long, text string, lang string, source string, n_chars long, shard long, slot long")
+    return mixed.repartition("shard").sortWithinPartitions("shard", "slot")
+
+
+_ROUNDS_SQL = "\n".join(
+    f"""z{i + 1} as (select source, blocks, x0, case when substr(md5(k || ':{i}:' || greatest(acc, o)), 1, 1) in {ODD} then o else acc end as acc
+      from (select *, (k - acc + blocks) % blocks as o from (select *, cast(('0x' || substr(md5(coalesce(source, '') || ':{i}'), 1, 8)) as bigint) % blocks as k from z{i if i else '00'}))),"""
+    for i in range(ROUNDS)
+)
 SQL = rf"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
 p as (select source, cast(sum(size) as bigint) as source_size from d group by source),
@@ -166,13 +232,14 @@ k as (select *, weight * (3 * total - 2 * below) > 4 * source_size * remaining a
 t as (select *, case when capped then cast(2 * source_size as double) else weight * (cast(3 * total - 2 * (sum(case when capped then 2 * source_size else 0 end) over ()) as double) / cast(2 * (sum(case when capped then 0 else weight end) over ()) as double)) end as target from k),
 n as (select *, (source_size + {BLOCK - 1}) // {BLOCK} as blocks, source_size - ((source_size + {BLOCK - 1}) // {BLOCK} - 1) * {BLOCK} as last_len, cast(floor(target) as bigint) as owed from t),
 m as (select *, case when source_size = 0 then 0 else owed // source_size end as passes, case when source_size = 0 then 0 else owed % source_size end as rest,
-      case when blocks % 1000003 <> 0 then 1000003 when blocks % 999983 <> 0 then 999983 else 1 end as stride,
       case when blocks = 0 then 0 else cast(('0x' || substr(md5(coalesce(source, '')), 1, 8)) as bigint) % blocks end as place from n),
-l as (select *, case when blocks = 0 then 0 else (blocks - 1 - (stride * place) % blocks + blocks) % blocks end as first_block,
+z0 as (select source, blocks, unnest(range(cast(blocks as bigint))) as x0 from m), z00 as (select *, x0 as acc from z0),
+{_ROUNDS_SQL}
+l as (select m.*, case when m.blocks = 0 then 0 else (m.blocks - 1 - z.acc + m.blocks) % m.blocks end as first_block,
       case when rest <= place * {BLOCK} then rest // {BLOCK} when rest >= place * {BLOCK} + last_len then 1 + (rest - last_len) // {BLOCK} else place end as whole,
-      case when rest <= place * {BLOCK} then rest % {BLOCK} when rest >= place * {BLOCK} + last_len then (rest - last_len) % {BLOCK} else rest - place * {BLOCK} end as cut from m),
-s as (select source, blocks, stride, first_block, cut, unnest(range(cast(passes * blocks + whole + case when cut > 0 then 1 else 0 end as bigint))) as slot, passes * blocks + whole as full_slots from l),
-u as (select source, (stride * (slot % blocks) + first_block) % blocks as block, sum(case when slot < full_slots then 1 else 0 end) as uses, max(case when slot < full_slots then 0 else cut end) as part from s group by 1, 2),
+      case when rest <= place * {BLOCK} then rest % {BLOCK} when rest >= place * {BLOCK} + last_len then (rest - last_len) % {BLOCK} else rest - place * {BLOCK} end as cut from m left join z{ROUNDS} z on m.source is not distinct from z.source and m.place = z.x0),
+s as (select source, blocks, first_block, cut, unnest(range(cast(passes * blocks + whole + case when cut > 0 then 1 else 0 end as bigint))) as slot, passes * blocks + whole as full_slots from l),
+u as (select s.source, (z.acc + first_block) % s.blocks as block, sum(case when slot < full_slots then 1 else 0 end) as uses, max(case when slot < full_slots then 0 else cut end) as part from s join z{ROUNDS} z on s.source is not distinct from z.source and s.slot % s.blocks = z.x0 group by 1, 2),
 a as (select *, coalesce(sum(size) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as pos from d),
 x as (select doc_id, source, pos, size, unnest(range(cast(pos // {BLOCK} as bigint), cast((pos + size - 1) // {BLOCK} + 1 as bigint))) as block from a where size > 0),
 y as (select x.doc_id, sum(coalesce(uses, 0) * (least(pos + size - x.block * {BLOCK}, {BLOCK}) - greatest(pos - x.block * {BLOCK}, 0)) + greatest(0, least(pos + size - x.block * {BLOCK}, {BLOCK}, coalesce(part, 0)) - greatest(pos - x.block * {BLOCK}, 0))) as taken

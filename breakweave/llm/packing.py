@@ -14,7 +14,6 @@ Null or empty text: the end id alone. Repeated rows: packed each. Ties of length
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 2048
 BUFFER = 2_000_000
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     import tiktoken
@@ -38,51 +39,18 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Ids(dict):
-    """Bytes of a stretch's ids, remembered; emptied when full, which changes no result."""
-
-    def __init__(self, path: str, before: str = "", most: int = 150_000):
-        super().__init__()
-        self.encoding, self.before, self.most = encoder(path), before, most
-        self.end = len(self.encoding.token_byte_values())
-        self.kind = np.dtype(np.uint16) if self.end < 65536 else np.dtype(np.uint32)
-
-    def __missing__(self, part: str) -> bytes:
-        text = self.before + part
-        # letters alone are one piece of the pre-tokenizer
-        ids = self.encoding._encode_single_piece(text) if part.isalpha() else self.encoding.encode_ordinary(text)
-        out = array(self.kind.char, ids).tobytes()
-        if len(part) <= 24:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = out
-        return out
-
-
 class Encoder:
-    """Ids of whole texts, with the end id.
-
-    A token never crosses a lone space or line end between words: it ends before either, and after a line end. A text that
-    has no other white space is therefore looked up word by word; any other is encoded as it is.
-    """
+    """Ids of whole texts, with the end id."""
 
     def __init__(self, path: str):
-        self.first, self.later = Ids(path), Ids(path, " ")
-        self.end, self.kind, self.encoding = self.first.end, self.first.kind, self.first.encoding
-        self.last = np.array([self.end], dtype=self.kind).tobytes()
+        self.encoding = encoder(path)
+        self.end = len(self.encoding.token_byte_values())
+        self.kind = np.dtype(np.uint16) if self.end < 65536 else np.dtype(np.uint32)
 
     def of(self, text: str) -> np.ndarray:
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return np.array([*self.encoding.encode_ordinary(text), self.end], dtype=self.kind)
-        out: list[bytes] = []
-        first, later, line_end = self.first, self.later, self.first["\n"]
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(first[words[0]])
-            out += [later[w] for w in words[1:]]
-            out.append(line_end)
-        out[-1] = self.last
-        return np.frombuffer(b"".join(out), dtype=self.kind)
+        ids = self.encoding.encode_ordinary(text)
+        ids.append(self.end)
+        return np.array(ids, dtype=self.kind)
 
 
 class Capacities:

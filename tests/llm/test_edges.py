@@ -27,14 +27,14 @@ def operators(spark):
     tox, qual = toxicity.train(rows), quality.train([(t, len(t), y) for t, y in rows], buckets=64, epochs=2)
     return {
         "toxicity": lambda d: toxicity.score_toxicity(d, tox), "fingerprints": fingerprints.fingerprints, "licenses": licenses.scan_licenses, "pii": pii.find_pii, "packing": packing.pack, "substrings": substrings.remove_repeats,
-        "mixing": mixing.mix_counts, "mix": mixing.mix, "decontamination": lambda d: decontamination.find_leaks(d, bench(spark)), "clean": lambda d: decontamination.drop_contaminated(d, bench(spark)), "near": near_duplicates.near_duplicates, "quality": lambda d: quality.score_quality(d, qual),
+        "mixing": mixing.mix_counts, "mix": mixing.mix, "mix_documents": mixing.mix_documents, "decontamination": lambda d: decontamination.find_leaks(d, bench(spark)), "clean": lambda d: decontamination.drop_contaminated(d, bench(spark)), "near": near_duplicates.near_duplicates, "quality": lambda d: quality.score_quality(d, qual),
     }
 
 
 PER_ROW = ("toxicity", "fingerprints", "licenses", "pii", "substrings", "mixing", "near", "quality")
 
 
-@pytest.mark.parametrize("name", ["toxicity", "fingerprints", "licenses", "pii", "packing", "substrings", "mixing", "mix", "decontamination", "clean", "near", "quality"])
+@pytest.mark.parametrize("name", ["toxicity", "fingerprints", "licenses", "pii", "packing", "substrings", "mixing", "mix", "mix_documents", "decontamination", "clean", "near", "quality"])
 def test_odd_rows_and_no_rows(spark, name):
     run = operators(spark)[name]
     got = run(odd(spark)).collect()

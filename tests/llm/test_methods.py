@@ -94,11 +94,32 @@ def test_mixing_meets_targets(spark):
     for s in range(3):
         mine = [r for r in rows if r["doc_id"] % 3 == s]
         assert sum(r["taken"] for r in mine) == int(mine[0]["target"])
-    mixed = mixing.mix(table, block=16).collect()
-    taken = {}
-    for r in mixed:
-        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(re.findall(r"[^ \t-\r]+", r["text"]))
-    assert taken == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    for form in (mixing.mix, mixing.mix_documents):
+        taken = {}
+        for r in form(table, block=16).collect():
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(re.findall(r"[^ \t-\r]+", r["text"]))
+        assert taken == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+
+
+def test_slots_visit_every_block_once_a_pass(spark):
+    targets = mixing.source_targets(mixing.sized(docs(spark, drawn(60, 9))), 16)
+    seen = {}
+    for r in mixing.draw_slots(targets, 16).orderBy("slot").collect():
+        seen.setdefault((r["source"], r["pass"]), []).append(r["block"])
+    for r in targets.collect():
+        first = seen[r["source"], 0]
+        assert sorted(first) == list(range(r["blocks"])) or r["passes"] == 0
+        assert len({(b - a) % r["blocks"] for a, b in zip(first, first[1:])}) > len(first) // 3  # no lattice
+
+
+def test_mixed_documents_are_whole_where_a_pass_is(spark):
+    twins = "same words in two rows of one source " * 9
+    rows = [(i, t, "s1") for i, t in enumerate(drawn(40, 19))] + [(50, twins, "s1"), (50, twins, "s1"), (None, "no id and no source", None)]
+    table = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed, counts = mixing.mix_documents(table, block=16).collect(), mixing.mix_counts(table, block=16).collect()
+    assert sum(r.text in {t for _, t, _ in rows} for r in mixed) > 0.5 * len(mixed)
+    for i in (50, None):
+        assert sum(len(r.text.split()) for r in mixed if r.doc_id == i) == sum(r.taken for r in counts if r.doc_id == i) > 0
 
 
 def test_packing_is_lossless(spark):
