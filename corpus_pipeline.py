@@ -42,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each part of a document that a slot takes; documents of over-full sources may be left out, others come twice."""
-    return mixing.mix(docs).select(*COLUMNS)
+    """The mix, in its shards' order: a row for each time that a document is taken, whole or in part; documents of over-full sources may be left out, others come twice."""
+    return mixing.mix_documents(docs).select(*COLUMNS)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
