@@ -21,9 +21,11 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where none is named."""
+    """The folder that all executors share, as the session names it; one of our own only where none is named and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='breakweave-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,14 +44,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes the files of a table that save() returned and that no later plan reads."""
-        jvm = self.spark._jvm
-        for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if self.base.rpartition("/")[2] in top:
-                path = jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def told_apart(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds tie: with the id, which is never null, it names a row by its text where several rows may share the id, and is 0 elsewhere.
