@@ -19,6 +19,15 @@ SHAPES = {
     "gitlab_quality": (_J.format("'check_name', code, 'description', message, 'fingerprint', md5(message), 'severity', 'major', 'location', named_struct('path', file, 'lines', named_struct('begin', int(line)))"), ",", "[", "]", "code quality", {"file": "file", "line": "line", "code": "code", "message": "message"}),
     "mypy_json": (_J.format("'file', file, 'line', int(line), 'column', int(col), 'message', message, 'code', code, 'severity', 'error'"), "\n", "", "\nFound", "mypy", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
     "cargo_json": (_J.format("'reason', 'compiler-message', 'message', named_struct('message', message, 'level', 'error', 'code', named_struct('code', code), 'spans', array(named_struct('file_name', file, 'line_start', int(line), 'column_start', int(col), 'is_primary', true)))"), "\n", "", "\n{}", "cargo", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
+    "jest_json": (_J.format("'name', file, 'assertionResults', array(named_struct('status', 'failed', 'fullName', subject, 'failureMessages', array(concat(message, chr(10), 'at')), 'location', named_struct('line', int(line), 'column', int(col))), named_struct('status', 'passed', 'fullName', 'other', 'failureMessages', array(''), 'location', named_struct('line', 1, 'column', 1)))"), ",", 'npm test\n{"numFailedTests":1,"testResults":[', "]}", "jest", {"file": "file", "line": "line", "col": "col", "subject": "subject", "message": "message"}),
+    "mocha_json": (_J.format("'fullTitle', subject, 'file', file, 'err', named_struct('message', message)"), ",", '{"stats":{"failures":1},"failures":[', "]}\ndone", "mocha", {"file": "file", "subject": "subject", "message": "message"}),
+    "rubocop_json": (_J.format("'path', file, 'offenses', array(named_struct('severity', 'convention', 'message', message, 'cop_name', code, 'location', named_struct('line', int(line), 'column', int(col))))"), ",", '{"metadata":{"rubocop_version":"1.50"},"files":[', "]}", "rubocop", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
+    "stylelint_json": (_J.format("'source', file, 'warnings', array(named_struct('line', int(line), 'column', int(col), 'rule', code, 'severity', 'error', 'text', message))"), ",", "[", "]", "stylelint", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
+    "golangci_json": (_J.format("'FromLinter', code, 'Text', message, 'Pos', named_struct('Filename', file, 'Line', int(line), 'Column', int(col))"), ",", '{"Issues":[', "]}", "golangci-lint", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
+    "shellcheck_json": (_J.format("'file', file, 'line', int(line), 'column', int(col), 'level', 'error', 'code', int(line), 'message', message"), ",", "[", "]", "shellcheck", {"file": "file", "line": "line", "col": "col", "code": "'SC' || line", "message": "message"}),
+    "oxlint_json": (_J.format("'message', message, 'code', code, 'severity', 'error', 'filename', file, 'labels', array(named_struct('span', named_struct('line', int(line), 'column', int(col))))"), ",", '{"diagnostics":[', "]}", "oxlint", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
+    "go_vet_json": ("concat('\"p', file, line, col, message, '\":', " + _J.format("'printf', array(named_struct('posn', concat(file, ':', line, ':', col), 'message', message))") + ")", ",", "# vet\n{", "}", "go vet", {"file": "file", "line": "line", "col": "col", "code": "'printf'", "message": "message"}),
+    "trx": ("concat('<UnitTestResult testName=\"', subject, '\" outcome=\"Failed\"><Message>', message, '</Message><StackTrace>at A.B() in ', file, '.cs:line ', line, '</StackTrace></UnitTestResult>')", "\n", "<TestRun>", "</TestRun>", "dotnet test", {"file": "file || '.cs'", "line": "line", "subject": "subject", "message": "message"}),
     "junit_xml": ("'<testcase name=\"' || subject || '\" file=\"' || file || '\" line=\"' || line || '\"><failure message=\"' || message || '\"/></testcase>'", "\n", "<testsuite>", "</testsuite>", "junit", {"file": "file", "line": "line", "subject": "subject", "message": "message"}),
     "checkstyle_xml": ("'<file name=\"' || file || '\"><error line=\"' || line || '\" column=\"' || col || '\" severity=\"error\" message=\"' || message || '\" source=\"' || code || '\"/></file>'", "\n", "<checkstyle>", "</checkstyle>", "checkstyle", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
     "github_annotations": ("'::error file=' || file || ',line=' || line || ',col=' || col || ',title=' || code || '::' || message || '%25'", "\n", "", "\n", "github", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message || '%'"}),

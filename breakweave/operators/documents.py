@@ -1,7 +1,8 @@
 """Readers of JSON and XML documents in logs: a document counts only if it has the shape that its tool writes.
 
-Whole-log documents are parsed once a log, line documents once a line, always with an explicit schema; what doesn't parse or lacks a required field
-is null and dropped. Nothing is shuffled.
+Every reader is an expression over a log's text that gives an array of what it found, so all of them run in one pass, inside the row: nothing is
+shuffled, and no log is read twice. A JSON document may stand between other lines. Documents are parsed with explicit schemas; what doesn't parse or lacks a
+required field is null and dropped.
 """
 
 from __future__ import annotations
@@ -9,135 +10,195 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import parsing
 
 OUT = ("log_id", "tool", "file", "line", "col", "code", "subject", "message")
-_AT = "startLine int, startColumn int"
-ESLINT = "array<struct<filePath string, messages array<struct<ruleId string, severity int, line int, column int, message string>>>>"
-PYRIGHT = "struct<generalDiagnostics array<struct<file string, severity string, message string, rule string, range struct<start struct<line int, character int>>>>, summary struct<errorCount int>>"
-PYLINT = "array<struct<path string, line int, column int, `message-id` string, type string, message string>>"
-RUFF = "array<struct<filename string, location struct<row int, column int>, code string, message string>>"
-SARIF = f"struct<version string, runs array<struct<tool struct<driver struct<name string>>, results array<struct<ruleId string, level string, message struct<text string>, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<{_AT}>>>>>>>>>"
-GITLAB = "array<struct<check_name string, description string, fingerprint string, severity string, location struct<path string, lines struct<begin int>>>>"
-MYPY = "struct<file string, line int, column int, message string, code string, severity string>"
-CARGO = "struct<reason string, message struct<message string, level string, code struct<code string>, spans array<struct<file_name string, line_start int, column_start int, is_primary boolean>>>>"
+KINDS = {"line": "int", "col": "int"}
 GOTEST = "struct<Action string, Package string, Test string, Output string>"
+_AT = "startLine int, startColumn int"
+#: Whole JSON documents. For each: tool, opening bracket, schema, what must hold of the document d, and the array of x over which the fields are read.
+JSON = {
+    "eslint_json": ("eslint", "[", "array<struct<filePath string, messages array<struct<ruleId string, severity int, line int, column int, message string>>>>", "forall(d, f -> f.filePath is not null and f.messages is not null)",
+                    "flatten(transform(d, f -> transform(filter(f.messages, m -> m.severity = 2), m -> struct(f.filePath as p, m as m))))", {"file": "x.p", "line": "x.m.line", "col": "x.m.column", "code": "x.m.ruleId", "message": "x.m.message"}),
+    "pyright_json": ("pyright", "{", "struct<generalDiagnostics array<struct<file string, severity string, message string, rule string, range struct<start struct<line int, character int>>>>, summary struct<errorCount int>>", "d.summary.errorCount is not null",
+                     "filter(d.generalDiagnostics, m -> m.severity = 'error')", {"file": "x.file", "line": "x.range.start.line + 1", "col": "x.range.start.character + 1", "code": "x.rule", "message": "x.message"}),
+    "pylint_json": ("pylint", "[", "array<struct<path string, line int, column int, `message-id` string, type string, message string>>", "forall(d, m -> m.path is not null and m.`message-id` is not null)",
+                    "if(exists(d, m -> m.type in ('error', 'fatal')), filter(d, m -> m.type in ('error', 'fatal')), d)", {"file": "x.path", "line": "x.line", "col": "x.column + 1", "code": "x.`message-id`", "message": "x.message"}),
+    "ruff_json": ("ruff", "[", "array<struct<filename string, location struct<row int, column int>, code string, message string>>", "forall(d, m -> m.filename is not null and m.location.row is not null)",
+                  "d", {"file": "x.filename", "line": "x.location.row", "col": "x.location.column", "code": "x.code", "message": "x.message"}),
+    "sarif": ("sarif", "{", f"struct<version string, runs array<struct<tool struct<driver struct<name string>>, results array<struct<ruleId string, level string, message struct<text string>, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<{_AT}>>>>>>>>>", "d.version = '2.1.0'",
+              "filter(flatten(transform(d.runs, r -> r.results)), m -> coalesce(m.level, 'warning') = 'error')", {"file": "get(x.locations, 0).physicalLocation.artifactLocation.uri", "line": "get(x.locations, 0).physicalLocation.region.startLine", "col": "get(x.locations, 0).physicalLocation.region.startColumn", "code": "x.ruleId", "message": "x.message.text"}),
+    "gitlab_quality": ("code quality", "[", "array<struct<check_name string, description string, fingerprint string, severity string, location struct<path string, lines struct<begin int>>>>", "forall(d, m -> m.fingerprint is not null and m.location.path is not null)",
+                       "d", {"file": "x.location.path", "line": "x.location.lines.begin", "code": "x.check_name", "message": "x.description"}),
+    "jest_json": ("jest", "{", "struct<numFailedTests int, testResults array<struct<name string, message string, assertionResults array<struct<status string, fullName string, title string, failureMessages array<string>, location struct<line int, column int>>>>>>", "d.numFailedTests is not null",
+                  "flatten(transform(d.testResults, f -> transform(filter(f.assertionResults, m -> m.status = 'failed'), m -> struct(f.name as p, m as m))))", {"file": "x.p", "line": "x.m.location.line", "col": "x.m.location.column", "subject": "coalesce(x.m.fullName, x.m.title)", "message": "substring_index(coalesce(get(x.m.failureMessages, 0), 'test failed'), chr(10), 1)"}),
+    "mocha_json": ("mocha", "{", "struct<stats struct<failures int>, failures array<struct<title string, fullTitle string, file string, err struct<message string>>>>", "d.stats.failures is not null",
+                   "d.failures", {"file": "x.file", "subject": "coalesce(x.fullTitle, x.title)", "message": "x.err.message"}),
+    "rubocop_json": ("rubocop", "{", "struct<metadata struct<rubocop_version string>, files array<struct<path string, offenses array<struct<severity string, message string, cop_name string, location struct<line int, column int>>>>>>", "d.metadata.rubocop_version is not null",
+                     "flatten(transform(d.files, f -> transform(f.offenses, m -> struct(f.path as p, m as m))))", {"file": "x.p", "line": "x.m.location.line", "col": "x.m.location.column", "code": "x.m.cop_name", "message": "x.m.message"}),
+    "stylelint_json": ("stylelint", "[", "array<struct<source string, warnings array<struct<line int, column int, rule string, severity string, text string>>>>", "forall(d, f -> f.source is not null and f.warnings is not null)",
+                       "flatten(transform(d, f -> transform(filter(f.warnings, m -> m.severity = 'error'), m -> struct(f.source as p, m as m))))", {"file": "x.p", "line": "x.m.line", "col": "x.m.column", "code": "x.m.rule", "message": "x.m.text"}),
+    "golangci_json": ("golangci-lint", "{", "struct<Issues array<struct<FromLinter string, Text string, Pos struct<Filename string, Line int, Column int>>>>", "d.Issues is not null",
+                      "d.Issues", {"file": "x.Pos.Filename", "line": "x.Pos.Line", "col": "x.Pos.Column", "code": "x.FromLinter", "message": "x.Text"}),
+    "shellcheck_json": ("shellcheck", "[", "array<struct<file string, line int, column int, level string, code int, message string>>", "forall(d, m -> m.file is not null and m.level is not null and m.code is not null)",
+                        "filter(d, m -> m.level in ('error', 'warning'))", {"file": "x.file", "line": "x.line", "col": "x.column", "code": "concat('SC', x.code)", "message": "x.message"}),
+    "oxlint_json": ("oxlint", "{", "struct<diagnostics array<struct<message string, code string, severity string, filename string, labels array<struct<span struct<line int, column int>>>>>>", "exists(d.diagnostics, m -> m.filename is not null)",
+                    "filter(d.diagnostics, m -> m.severity = 'error')", {"file": "x.filename", "line": "get(x.labels, 0).span.line", "col": "get(x.labels, 0).span.column", "code": "x.code", "message": "x.message"}),
+    "go_vet_json": ("go vet", "{", "map<string, map<string, array<struct<posn string, message string>>>>", "exists(map_values(d), a -> exists(map_values(a), m -> exists(m, y -> y.posn is not null)))",
+                    "flatten(flatten(transform(map_values(d), a -> transform(map_entries(a), e -> transform(e.value, m -> struct(e.key as k, m as m))))))",
+                    {"file": "regexp_extract(x.m.posn, '^(.+?):([0-9]+)', 1)", "line": "regexp_extract(x.m.posn, '^(.+?):([0-9]+)', 2)", "col": "regexp_extract(x.m.posn, '^.+?:[0-9]+:([0-9]+)', 1)", "code": "x.k", "message": "x.m.message"}),
+}
+#: Documents of one line each: tool, schema, what must hold of the line's document x, and the fields.
+_PRIMARY = "get(filter(x.message.spans, s -> s.is_primary), 0)"
+LINES = {
+    "mypy_json": ("mypy", "struct<file string, line int, column int, message string, code string, severity string>", "x.file is not null and x.severity = 'error' and x.message is not null",
+                  {"file": "x.file", "line": "x.line", "col": "x.column", "code": "x.code", "message": "x.message"}),
+    "cargo_json": ("cargo", "struct<reason string, message struct<message string, level string, code struct<code string>, spans array<struct<file_name string, line_start int, column_start int, is_primary boolean>>>>", "x.reason = 'compiler-message' and x.message.level = 'error'",
+                   {"file": f"{_PRIMARY}.file_name", "line": f"{_PRIMARY}.line_start", "col": f"{_PRIMARY}.column_start", "code": "x.message.code.code", "message": "x.message.message"}),
+}
+TESTS = ("jest_json", "mocha_json", "junit_xml", "teamcity", "trx")
+
+
+def prepared(logs: DataFrame) -> DataFrame:
+    """log_id and raw, with the JSON list and object that the log holds, from the first line that opens with the bracket to the last closing one, and its lines of one object each."""
+    held = lambda opens, closes: F.when(F.contains(F.col("raw"), F.lit(opens)), F.nullif(F.regexp_extract("raw", rf"(?s)(?:^|\n)\s*(\{opens}.*\{closes})", 1), F.lit("")))
+    split = F.when(F.contains(F.col("raw"), F.lit("{")), F.filter(F.split("raw", "\n", -1), lambda x: x.startswith("{")))
+    return logs.select("log_id", "raw", held("[", "]").alias("json_list"), held("{", "}").alias("json_object"), split.alias("json_lines"))
+
+
+def _struct(tool: str, fields: dict[str, str]) -> str:
+    return f"named_struct('tool', '{tool}', " + ", ".join(f"'{c}', try_cast({fields.get(c, 'null')} as {KINDS.get(c, 'string')})" for c in OUT[2:]) + ")"
+
+
+def _json(name: str) -> Column:
+    tool, opens, schema, holds, over, fields = JSON[name]
+    doc = "json_list" if opens == "[" else "json_object"
+    # a one-element array binds the document to d, so that it is parsed once
+    return F.expr(f"get(transform(array(from_json({doc}, '{schema}')), d -> if(d is not null and {holds}, transform({over}, x -> {_struct(tool, fields)}), null)), 0)")
+
+
+def _json_lines(name: str) -> Column:
+    tool, schema, holds, fields = LINES[name]
+    return F.expr(f"transform(filter(transform(json_lines, l -> from_json(l, '{schema}')), x -> x is not null and {holds}), x -> {_struct(tool, fields)})")
+
+
+def _row(tool: str, **columns: Column) -> Column:
+    return F.struct(F.lit(tool).alias("tool"), *(columns.get(c, F.lit(None)).try_cast(KINDS.get(c, "string")).alias(c) for c in OUT[2:]))
+
+
+def _elements(mark: str, pattern: str) -> Column:
+    return F.when(F.contains(F.col("raw"), F.lit(mark)), F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)))
 
 
-def _out(rows: DataFrame, tool: str, **columns: Column) -> DataFrame:
-    kinds = {"line": "int", "col": "int"}
-    return rows.select("log_id", F.lit(tool).alias("tool"), *(columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in OUT[2:]))
-
-
-def _whole(logs: DataFrame, schema: str) -> DataFrame:
-    return logs.select("log_id", F.from_json(F.trim("raw"), schema).alias("d"))
-
-
-def _each_line(logs: DataFrame, schema: str) -> DataFrame:
-    return parsing.lines(logs).where(F.col("text").startswith("{")).select("log_id", "line_no", F.from_json("text", schema).alias("d"))
+def _xml_text(text: Column) -> Column:
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#xA;", "\n"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return text
 
 
-def eslint_json(logs: DataFrame) -> DataFrame:
-    rows = _whole(logs, ESLINT).where(F.forall("d", lambda x: x["filePath"].isNotNull() & x["messages"].isNotNull())).select("log_id", F.explode("d").alias("f")).select("log_id", "f.filePath", F.explode("f.messages").alias("m"))
-    return _out(rows.where("m.severity = 2"), "eslint", file=F.col("filePath"), line=F.col("m.line"), col=F.col("m.column"), code=F.col("m.ruleId"), message=F.col("m.message"))
+def _attribute(element: Column, name: str) -> Column:
+    got = [F.nullif(F.regexp_extract(element, rf"\s{name}={q}([^{q}]*){q}", 1), F.lit("")) for q in ('"', "'")]
+    return _xml_text(F.coalesce(*got))
 
 
-def pyright_json(logs: DataFrame) -> DataFrame:
-    """Positions are 0-based in the document and 1-based here."""
-    rows = _whole(logs, PYRIGHT).where("d.summary.errorCount is not null").select("log_id", F.explode("d.generalDiagnostics").alias("m")).where("m.severity = 'error'")
-    return _out(rows, "pyright", file=F.col("m.file"), line=F.col("m.range.start.line") + 1, col=F.col("m.range.start.character") + 1, code=F.col("m.rule"), message=F.col("m.message"))
+def _body(element: Column, tag: str) -> Column:
+    """The first line of text of the element's first child of that name, CDATA or not."""
+    text = F.regexp_extract(element, rf"(?s)<(?:{tag})\b[^>]*>\s*(?:<!\[CDATA\[\s*)?([^<\]\n]+)", 1)
+    return F.nullif(_xml_text(F.trim(text)), F.lit(""))
 
 
-def pylint_json(logs: DataFrame) -> DataFrame:
-    """Errors and fatal messages, or all if there are none."""
-    rows = _whole(logs, PYLINT).where(F.forall("d", lambda x: x["path"].isNotNull() & x["message-id"].isNotNull()))
-    hard = F.filter("d", lambda x: x["type"].isin("error", "fatal"))
-    rows = rows.select("log_id", F.explode(F.when(F.size(hard) > 0, hard).otherwise(F.col("d"))).alias("m"))
-    return _out(rows, "pylint", file=F.col("m.path"), line=F.col("m.line"), col=F.col("m.column") + 1, code=F.col("m.message-id"), message=F.col("m.message"))
+def junit_xml() -> Column:
+    """Test cases with a failure or an error."""
+    cases = F.filter(_elements("<testsuite", r"(?s)<testcase\b(?:[^>]*[^/])?>.*?</testcase>"), lambda e: e.rlike(r"<(?:failure|error)[ />]"))
 
+    def read(e: Column) -> Column:
+        head, fail = F.regexp_extract(e, "(?s)^<testcase[^>]*>", 0), F.regexp_extract(e, "(?s)<(?:failure|error)[^>]*>", 0)
+        return _row("junit", file=_attribute(head, "file"), line=_attribute(head, "line"), subject=_attribute(head, "name"), message=F.coalesce(_attribute(fail, "message"), _body(e, "failure|error")))
 
-def ruff_json(logs: DataFrame) -> DataFrame:
-    rows = _whole(logs, RUFF).where(F.forall("d", lambda x: x["filename"].isNotNull() & x["location"]["row"].isNotNull())).select("log_id", F.explode("d").alias("m"))
-    return _out(rows, "ruff", file=F.col("m.filename"), line=F.col("m.location.row"), col=F.col("m.location.column"), code=F.col("m.code"), message=F.col("m.message"))
+    return F.transform(cases, read)
 
 
-def sarif(logs: DataFrame) -> DataFrame:
-    rows = _whole(logs, SARIF).where("d.version = '2.1.0'").select("log_id", F.explode("d.runs").alias("r")).select("log_id", F.col("r.tool.driver.name").alias("name"), F.explode("r.results").alias("m"))
-    rows = rows.where("coalesce(m.level, 'warning') = 'error'").withColumn("p", F.get("m.locations", F.lit(0))["physicalLocation"])
-    return _out(rows, "", file=F.col("p.artifactLocation.uri"), line=F.col("p.region.startLine"), col=F.col("p.region.startColumn"), code=F.col("m.ruleId"), message=F.col("m.message.text")).drop("tool").withColumn("tool", F.lit("sarif")).select(*OUT)
+def checkstyle_xml() -> Column:
+    def read(f: Column) -> Column:
+        errors = F.filter(F.regexp_extract_all(f, F.lit(r"<error\b[^>]*/>"), F.lit(0)), lambda e: _attribute(e, "severity") == "error")
+        return F.transform(errors, lambda e: _row("checkstyle", file=_attribute(f, "name"), line=_attribute(e, "line"), col=_attribute(e, "column"), code=_attribute(e, "source"), message=_attribute(e, "message")))
 
+    return F.flatten(F.transform(_elements("<checkstyle", r"(?s)<file\b[^>]*>.*?</file>"), read))
 
-def gitlab_quality(logs: DataFrame) -> DataFrame:
-    rows = _whole(logs, GITLAB).where(F.forall("d", lambda x: x["fingerprint"].isNotNull() & x["location"]["path"].isNotNull())).select("log_id", F.explode("d").alias("m"))
-    return _out(rows, "code quality", file=F.col("m.location.path"), line=F.col("m.location.lines.begin"), code=F.col("m.check_name"), message=F.col("m.description"))
 
+def trx() -> Column:
+    """Failed results of test runs, with the place that the stack trace names first."""
+    failed = F.filter(_elements("<UnitTestResult", r"(?s)<UnitTestResult\b[^>]*[^/]>.*?</UnitTestResult>"), lambda e: F.regexp_extract(e, "(?s)^<[^>]*>", 0).contains('outcome="Failed"'))
+    place = lambda e, i: F.nullif(F.regexp_extract(e, r" in (\S.*?):line (\d+)", i), F.lit(""))
+    return F.transform(failed, lambda e: _row("dotnet test", file=place(e, 1), line=place(e, 2), subject=_attribute(F.regexp_extract(e, "(?s)^<[^>]*>", 0), "testName"), message=_body(e, "Message")))
 
-def mypy_json(logs: DataFrame) -> DataFrame:
-    rows = _each_line(logs, MYPY).where("d.file is not null and d.severity = 'error' and d.message is not null")
-    return _out(rows, "mypy", file=F.col("d.file"), line=F.col("d.line"), col=F.col("d.column"), code=F.col("d.code"), message=F.col("d.message"))
 
+def github_annotations() -> Column:
+    """::error lines of workflow logs; percent codes are decoded."""
 
-def cargo_json(logs: DataFrame) -> DataFrame:
-    rows = _each_line(logs, CARGO).where("d.reason = 'compiler-message' and d.message.level = 'error'")
-    rows = rows.withColumn("s", F.get(F.filter("d.message.spans", lambda s: s["is_primary"]), F.lit(0)))
-    return _out(rows, "cargo", file=F.col("s.file_name"), line=F.col("s.line_start"), col=F.col("s.column_start"), code=F.col("d.message.code.code"), message=F.col("d.message.message"))
+    def decoded(text: Column) -> Column:
+        for code, plain in (("%0D", "\r"), ("%0A", "\n"), ("%3A", ":"), ("%2C", ","), ("%25", "%")):
+            text = F.replace(text, F.lit(code), F.lit(plain))
+        return text
 
+    def read(text: Column) -> Column:
+        props = F.str_to_map(F.regexp_extract(text, r"^::error ?(.*?)::", 1), F.lit(","), F.lit("="))
+        return _row("github", file=decoded(props["file"]), line=props["line"], col=props["col"], code=decoded(props["title"]), message=decoded(F.regexp_extract(text, r"^::error.*?::(.*)$", 1)))
 
-def go_test_json(logs: DataFrame) -> DataFrame:
-    """Failed tests, with the place of the last output line that names one before the failure."""
-    rows = _each_line(logs, GOTEST).where("d.Test is not null")
-    place = F.struct(F.regexp_extract("d.Output", r"^\s+([^\s:]+_test\.go):(\d+): ", 1).alias("file"), F.regexp_extract("d.Output", r"^\s+([^\s:]+_test\.go):(\d+): ", 2).alias("line"), F.regexp_extract("d.Output", r"^\s+[^\s:]+_test\.go:\d+: (.*)", 1).alias("message"))
-    got = rows.groupBy("log_id", "d.Package", "d.Test").agg(F.max(F.when(F.col("d.Action") == "fail", 1)).alias("failed"), F.max_by(F.when(F.col("d.Output").rlike(r"^\s+[^\s:]+_test\.go:\d+: "), place), F.when(F.col("d.Output").rlike(r"^\s+[^\s:]+_test\.go:\d+: "), F.col("line_no"))).alias("p"))
-    return _out(got.where("failed = 1"), "go test", file=F.col("p.file"), line=F.expr("try_cast(p.line as int)"), subject=F.col("Test"), message=F.col("p.message"))
+    return F.transform(_elements("::error", r"(?m)^::error[ :].*$"), read)
 
 
-def _xml_text(text: Column) -> Column:
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+def teamcity() -> Column:
+    """Failed tests of service messages; bar escapes are decoded in one pass (a doubled bar is set aside first)."""
 
+    def value(text: Column, name: str) -> Column:
+        text = F.replace(F.regexp_extract(text, rf" {name}='((?:[^'|]|\|.)*)'", 1), F.lit("||"), F.lit("\u0001"))
+        for code, plain in (("|n", "\n"), ("|r", "\r"), ("|'", "'"), ("|[", "["), ("|]", "]"), ("\u0001", "|")):
+            text = F.replace(text, F.lit(code), F.lit(plain))
+        return F.nullif(text, F.lit(""))
 
-def _attribute(element: Column, name: str) -> Column:
-    return F.nullif(_xml_text(F.regexp_extract(element, rf'\s{name}="([^"]*)"', 1)), F.lit(""))
+    return F.transform(_elements("##teamcity[testFailed ", r"(?m)^##teamcity\[testFailed .*$"), lambda x: _row("teamcity", subject=value(x, "name"), message=value(x, "message")))
 
 
-def junit_xml(logs: DataFrame) -> DataFrame:
-    """Test cases with a failure or an error."""
-    rows = logs.where(F.contains(F.col("raw"), F.lit("<testsuite"))).select("log_id", F.explode(F.regexp_extract_all("raw", F.lit(r"(?s)<testcase\b(?:[^>]*[^/])?>.*?</testcase>"), F.lit(0))).alias("e"))
-    rows = rows.where(F.col("e").rlike("<(?:failure|error)[ />]")).withColumn("head", F.regexp_extract("e", "(?s)^<testcase[^>]*>", 0)).withColumn("fail", F.regexp_extract("e", "(?s)<(?:failure|error)[^>]*>", 0))
-    return _out(rows, "junit", file=_attribute(F.col("head"), "file"), line=F.expr("try_cast(" + "regexp_extract(head, ' line=\"([0-9]+)\"', 1) as int)"), subject=_attribute(F.col("head"), "name"), message=_attribute(F.col("fail"), "message"))
+def _expressions() -> dict[str, Column]:
+    out = {n: _json(n) for n in JSON} | {n: _json_lines(n) for n in LINES}
+    return out | {f.__name__: f() for f in (junit_xml, checkstyle_xml, trx, teamcity, github_annotations)}
 
 
-def checkstyle_xml(logs: DataFrame) -> DataFrame:
-    rows = logs.where(F.contains(F.col("raw"), F.lit("<checkstyle"))).select("log_id", F.explode(F.regexp_extract_all("raw", F.lit(r"(?s)<file\b[^>]*>.*?</file>"), F.lit(0))).alias("f"))
-    rows = rows.select("log_id", _attribute(F.col("f"), "name").alias("file"), F.explode(F.regexp_extract_all("f", F.lit(r"<error\b[^>]*/>"), F.lit(0))).alias("e")).where(F.contains(F.col("e"), F.lit('severity="error"')))
-    return _out(rows, "checkstyle", file=F.col("file"), line=_attribute(F.col("e"), "line"), col=_attribute(F.col("e"), "column"), code=_attribute(F.col("e"), "source"), message=_attribute(F.col("e"), "message"))
+def _reader(name: str):
+    return lambda logs: prepared(logs).select("log_id", F.inline(_expressions()[name])).select(*OUT)
 
 
-def github_annotations(logs: DataFrame) -> DataFrame:
-    """::error lines of workflow logs; percent codes are decoded."""
-    rows = parsing.lines(logs).where(F.col("text").rlike(r"^::error[ :]")).withColumn("props", F.regexp_extract("text", r"^::error ?([^:]*)::", 1)).withColumn("m", F.regexp_extract("text", r"^::error[^:]*::(.*)$", 1))
-    rows = rows.withColumn("p", F.str_to_map("props", F.lit(","), F.lit("=")))
+def _each_line(logs: DataFrame, schema: str) -> DataFrame:
+    return parsing.lines(logs).where(F.col("text").startswith("{")).select("log_id", "line_no", F.from_json("text", schema).alias("d"))
 
-    def decoded(text: Column) -> Column:
-        for code, plain in (("%0D", "\r"), ("%0A", "\n"), ("%3A", ":"), ("%2C", ","), ("%25", "%")):
-            text = F.replace(text, F.lit(code), F.lit(plain))
-        return text
 
-    return _out(rows, "github", file=decoded(F.col("p")["file"]), line=F.col("p")["line"], col=F.col("p")["col"], code=decoded(F.col("p")["title"]), message=decoded(F.col("m")))
+def go_test_json(logs: DataFrame) -> DataFrame:
+    """Failed tests, with the place of the last output line that names one before the failure."""
+    rows = _each_line(logs, GOTEST).where("d.Test is not null")
+    place = F.struct(F.regexp_extract("d.Output", r"^\s+([^\s:]+_test\.go):(\d+): ", 1).alias("file"), F.regexp_extract("d.Output", r"^\s+([^\s:]+_test\.go):(\d+): ", 2).alias("line"), F.regexp_extract("d.Output", r"^\s+[^\s:]+_test\.go:\d+: (.*)", 1).alias("message"))
+    got = rows.groupBy("log_id", "d.Package", "d.Test").agg(F.max(F.when(F.col("d.Action") == "fail", 1)).alias("failed"), F.max_by(F.when(F.col("d.Output").rlike(r"^\s+[^\s:]+_test\.go:\d+: "), place), F.when(F.col("d.Output").rlike(r"^\s+[^\s:]+_test\.go:\d+: "), F.col("line_no"))).alias("p"))
+    row = _row("go test", file=F.col("p.file"), line=F.col("p.line"), subject=F.col("Test"), message=F.col("p.message"))
+    return got.where("failed = 1").select("log_id", row.alias("r")).select("log_id", "r.*")
 
 
-def teamcity(logs: DataFrame) -> DataFrame:
-    """Failed tests of service messages; bar escapes are decoded."""
-    rows = parsing.lines(logs).where(F.col("text").startswith("##teamcity[testFailed "))
+NAMES = (*JSON, *LINES, "junit_xml", "checkstyle_xml", "trx", "teamcity", "github_annotations")
+DOCUMENTS = {n: _reader(n) for n in NAMES} | {"go_test_json": go_test_json}
 
-    def value(name: str) -> Column:
-        text = F.regexp_extract("text", rf" {name}='((?:[^'|]|\|.)*)'", 1)
-        for code, plain in (("|n", "\n"), ("|r", "\r"), ("|'", "'"), ("|[", "["), ("|]", "]"), ("||", "|")):
-            text = F.replace(text, F.lit(code), F.lit(plain))
-        return F.nullif(text, F.lit(""))
 
-    return _out(rows, "teamcity", subject=value("name"), message=value("message"))
+def located(logs: DataFrame) -> DataFrame:
+    """What all documents of the logs say, as parsing.located gives it: documents come before lines, in the order of NAMES."""
 
+    def marked(i: int, name: str, each: Column) -> Column:
+        extra = (F.lit(i - len(NAMES)).alias("reader"), F.lit(name).alias("reader_name"), F.lit("test" if name in TESTS else "lint").alias("category"))
+        return F.coalesce(F.transform(each, lambda x: F.struct(*extra, *(x[c].alias(c) for c in OUT[1:]))), F.array())
 
-DOCUMENTS = {f.__name__: f for f in (eslint_json, pyright_json, pylint_json, ruff_json, sarif, gitlab_quality, mypy_json, cargo_json, go_test_json, junit_xml, checkstyle_xml, github_annotations, teamcity)}
+    found = [marked(i, name, each) for i, (name, each) in enumerate(_expressions().items())]
+    rows = prepared(logs).select("log_id", F.posexplode(F.concat(*found)).alias("n", "r")).select("log_id", "n", "r.*")
+    title, none = F.coalesce("code", "subject", "category"), F.lit(None).cast("string")
+    positive = lambda c: F.when(F.col(c) >= 1, F.col(c))
+    return rows.select(
+        "log_id", "reader", "reader_name", "tool", "category", F.nullif("file", F.lit("")).alias("file"), positive("line").alias("line"), F.when(F.col("line") >= 1, positive("col")).alias("col"), "code", "subject", none.alias("label"),
+        F.lit("error").alias("severity"), T.collapse_repeats(F.coalesce("message", F.lit(""))).alias("message"), F.col("n").alias("line_no"), title.alias("title"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("evidence"),
+    )

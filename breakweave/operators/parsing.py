@@ -74,7 +74,8 @@ def hits(lined: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     found, text = [], F.col("text")
     for i, r in enumerate(readers):
         asked = F.array_contains("asked", i)
-        for kind, pattern, groups in (("diagnostic", r.pattern, r.groups), ("heading", r.heading, ("file",)), ("at", r.at, r.at_groups)):
+        further = [("diagnostic", pattern, tuple(groups.split())) for pattern, groups in r.alts]
+        for kind, pattern, groups in (("diagnostic", r.pattern, r.groups), *further, ("heading", r.heading, ("file",)), ("at", r.at, r.at_groups)):
             if pattern:
                 found.append(F.when(asked, _hit(i, kind, pattern, groups, text)))
     return lined.select("log_id", "line_no", F.inline(F.array_compact(F.array(*found))))
@@ -129,8 +130,10 @@ def deduplicated(failures: DataFrame) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("log_id", "reader").orderBy("line_no", "title", "message")))
 
 
-def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
-    """Failures of all readers of all logs. logs: log_id, raw and, for command hints, argv."""
-    found = hits(unwrapped(lines(gated(routed(normalised(logs), readers)), "asked", "prefix")), readers)
+def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS, further=None) -> DataFrame:
+    """Failures of all readers of all logs, and of further(normalised logs), which gives rows as located does. logs: log_id, raw and, for command hints, argv."""
+    clean = normalised(logs)
+    found = hits(unwrapped(lines(gated(routed(clean, readers)), "asked", "prefix")), readers)
     # only hits are shuffled, once: all that follows groups by log
-    return deduplicated(located(found.repartition("log_id"), readers))
+    rows = located(found.repartition("log_id"), readers)
+    return deduplicated(rows if further is None else rows.unionByName(further(clean)))
