@@ -31,8 +31,13 @@ def latest(history: DataFrame) -> DataFrame:
     return ok.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def compared_runs(causes: DataFrame, now: F.Column) -> DataFrame:
+    """(identity, fresh, same, gone): counts of causes. causes: identity, cause of both runs, read once; now tells the current run's rows."""
+    seen = causes.groupBy("identity", "cause").agg(F.bool_or(now).alias("now"), F.bool_or(~now).alias("then"))
+    return seen.groupBy("identity").agg(*(F.count_if(c).alias(n) for n, c in (("fresh", ~F.col("then")), ("same", F.col("then") & F.col("now")), ("gone", ~F.col("now")))))
+
+
 def compared(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(identity, fresh, same, gone): counts of causes, current: identity, cause; previous: identity, cause."""
-    a, b = (x.select("identity", "cause").distinct() for x in (current, previous))
-    both = a.withColumn("now", F.lit(1)).join(b.withColumn("then", F.lit(1)), ["identity", "cause"], "full_outer")
-    return both.groupBy("identity").agg(*(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("fresh", F.col("then").isNull()), ("same", F.col("then").isNotNull() & F.col("now").isNotNull()), ("gone", F.col("now").isNull()))))
+    """The same for two tables of identity and cause."""
+    both = (x.select("identity", "cause", F.lit(k).alias("current")) for x, k in ((current, True), (previous, False)))
+    return compared_runs(next(both).unionByName(next(both)), F.col("current"))

@@ -123,8 +123,7 @@ def rollup(spark, sf_dir):
 def history_compare(spark, sf_dir):
     """Causes of this run that are new, still there or gone, an identity for each tool: even orders are the previous run, odd ones this."""
     rows = clusters.keyed(_own(spark, sf_dir)).select(F.col("tool").alias("identity"), "cause", "log_id")
-    even = F.col("log_id").cast("long") % 2 == 0
-    return history.compared(rows.where(~even), rows.where(even))
+    return history.compared_runs(rows, F.col("log_id").cast("long") % 2 == 1)
 
 
 def command_hints(spark, sf_dir):
@@ -157,7 +156,7 @@ def router(spark, sf_dir):
     """How many logs each reader would be asked for."""
     rows = parsing.routed(mixed(spark, sf_dir)).select(F.explode("asked").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("logs"))
     names = F.get(F.array(*(F.lit(r.name) for r in READERS)), F.col("r"))
-    return rows.where(names.isin("tsc", "shellcheck", "cargo", "flake8")).select(names.alias("reader"), "logs")
+    return rows.select(names.alias("reader"), "logs")
 
 
 def bounded_capture(spark, sf_dir):
@@ -183,6 +182,15 @@ def repeats(spark, sf_dir):
     return rows.select("o_orderkey", T.collapse_repeats(F.concat(F.lit("a\n"), F.expr("array_join(array_repeat('same', k), '\n')"), F.lit("\nb"))).alias("message"))
 
 
+def _text_sql(r: Reader) -> str:
+    """A rendered diagnostic of the reader, as SQL over the facts."""
+    parts = re.split(r"\{(\w+)\}", "\n".join(r.sample))
+    return " || ".join(_quoted(x) if k % 2 == 0 else x for k, x in enumerate(parts) if x)
+
+
+_TEXT = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_text_sql(r)}" for i, r in enumerate(MIXED)) + " end"
+_HOLDS = {r.name: " or ".join(f"contains(raw, {_quoted(x)})" for x in r.signals) or "true" for r in READERS}
+_ASKED = ", ".join(f"{{'reader': {_quoted(name)}, 'asked': {holds}}}" for name, holds in _HOLDS.items())
 _STATUS = " ".join([*(f"when code = {n + 128} then 'killed by {s}'" for n, s in SIGNALS.items()), *(f"when code = {n} then {_quoted(s)}" for n, s in CODES.items())])
 _TSC = f"{ITEMS}"
 _ENTRIES = {
@@ -198,7 +206,7 @@ _ENTRIES = {
     "secondaries": (secondaries, None),
     "normalise": (normalise, f"select distinct cast(l_orderkey as varchar) as log_id, file || '.ts' as file, cast(line as int) as line, cast(col as int) as col, 'TS' || line as code, message from ({_TSC})"),
     "exact_retry": (exact_retry, f"select cast(l_orderkey as varchar) as log_id, md5(string_agg(file || '.ts(' || line || ',' || col || '): error TS' || line || ': ' || message, chr(10) order by line, file, col, message, code)) as raw_md5 from ({_TSC}) group by l_orderkey"),
-    "router": (router, f"with t as (select distinct l_orderkey % {len(MIXED)} as m, l_orderkey from lineitem) select reader, count(*) as logs from t join (values ('tsc', 0), ('shellcheck', 2), ('cargo', 3), ('cargo', 1), ('flake8', 0), ('flake8', 1), ('flake8', 2), ('flake8', 3), ('flake8', 4), ('cargo', 2)) v(reader, m) on t.m = v.m group by 1"),
+    "router": (router, f"with i as ({ITEMS}), g as (select l_orderkey, string_agg({_TEXT}, chr(10)) as raw from i group by 1), c as (select unnest([{_ASKED}]) as a from g) select a.reader as reader, count(*) as logs from c where a.asked group by 1"),
     "bounded_capture": (bounded_capture, None),
     "exit_status": (exit_status, f"select code, case {_STATUS} end as says from (select distinct cast(o_orderkey % 160 as int) as code from orders)"),
     "skeletons": (skeletons, f"select {_SHAPE} as signature, count(*) as n from ({ITEMS}) group by 1"),
