@@ -31,6 +31,7 @@ SHAPES = {
     "junit_xml": ("'<testcase name=\"' || subject || '\" file=\"' || file || '\" line=\"' || line || '\"><failure message=\"' || message || '\"/></testcase>'", "\n", "<testsuite>", "</testsuite>", "junit", {"file": "file", "line": "line", "subject": "subject", "message": "message"}),
     "checkstyle_xml": ("'<file name=\"' || file || '\"><error line=\"' || line || '\" column=\"' || col || '\" severity=\"error\" message=\"' || message || '\" source=\"' || code || '\"/></file>'", "\n", "<checkstyle>", "</checkstyle>", "checkstyle", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message"}),
     "github_annotations": ("'::error file=' || file || ',line=' || line || ',col=' || col || ',title=' || code || '::' || message || '%25'", "\n", "", "\n", "github", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message || '%'"}),
+    "azure_logissue": ("concat('##vso[task.logissue type=error;sourcepath=', file, ';linenumber=', line, ';columnnumber=', col, ';code=', code, ';]', message, '%3B')", "\n", "##vso[task.logissue type=warning;]no\n", "\n", "azure", {"file": "file", "line": "line", "col": "col", "code": "code", "message": "message || ';'"}),
     "teamcity": ("concat(\"##teamcity[testFailed name='\", subject, \"' message='\", message, \"|n']\")", "\n", "", "\n", "teamcity", {"subject": "subject", "message": "message || chr(10)"}),
 }
 

@@ -161,9 +161,24 @@ def teamcity() -> Column:
     return F.transform(_elements("##teamcity[testFailed ", r"(?m)^##teamcity\[testFailed .*$"), lambda x: _row("teamcity", subject=value(x, "name"), message=value(x, "message")))
 
 
+def azure_logissue() -> Column:
+    """Error issues of pipeline logging commands; percent codes are decoded."""
+
+    def decoded(text: Column) -> Column:
+        for code, plain in (("%3B", ";"), ("%0D", "\r"), ("%0A", "\n"), ("%5D", "]"), ("%AZP25", "%")):
+            text = F.replace(text, F.lit(code), F.lit(plain))
+        return text
+
+    def read(text: Column) -> Column:
+        props = F.str_to_map(F.regexp_extract(text, r"^##vso\[task\.logissue ([^\]]*)\]", 1), F.lit(";"), F.lit("="))
+        return _row("azure", file=decoded(props["sourcepath"]), line=props["linenumber"], col=props["columnnumber"], code=decoded(props["code"]), message=decoded(F.regexp_extract(text, r"^[^\]]*\](.*)$", 1)))
+
+    return F.transform(_elements("##vso[task.logissue ", r"(?m)^##vso\[task\.logissue [^\]\n]*type=error[^\]\n]*\].*$"), read)
+
+
 def _expressions() -> dict[str, Column]:
     out = {n: _json(n) for n in JSON} | {n: _json_lines(n) for n in LINES}
-    return out | {f.__name__: f() for f in (junit_xml, checkstyle_xml, trx, teamcity, github_annotations)}
+    return out | {f.__name__: f() for f in (junit_xml, checkstyle_xml, trx, teamcity, github_annotations, azure_logissue)}
 
 
 def _reader(name: str):
@@ -183,7 +198,7 @@ def go_test_json(logs: DataFrame) -> DataFrame:
     return got.where("failed = 1").select("log_id", row.alias("r")).select("log_id", "r.*")
 
 
-NAMES = (*JSON, *LINES, "junit_xml", "checkstyle_xml", "trx", "teamcity", "github_annotations")
+NAMES = (*JSON, *LINES, "junit_xml", "checkstyle_xml", "trx", "teamcity", "github_annotations", "azure_logissue")
 DOCUMENTS = {n: _reader(n) for n in NAMES} | {"go_test_json": go_test_json}
 
 

@@ -24,6 +24,17 @@ def tracked(failures: DataFrame, identities: DataFrame) -> DataFrame:
     return rows.select("log_id", "tool", T.fingerprint(F.concat_ws("|", "tool", exact)).alias("cause")).distinct().join(identities, "log_id")
 
 
+def records(tracked_causes: DataFrame, ran_at: F.Column) -> DataFrame:
+    """A record of each named run: identity, version, ran_at, tool, causes. Runs without identity leave none."""
+    rows = tracked_causes.where("identity is not null").groupBy("identity", "tool").agg(F.sort_array(F.collect_set("cause")).alias("causes"))
+    return rows.select("identity", F.lit(VERSION).alias("version"), ran_at.cast("timestamp").alias("ran_at"), "tool", "causes")
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """Appends records to the history; earlier ones stay, and latest finds the last of each identity."""
+    rows.write.mode("append").parquet(path)
+
+
 def latest(history: DataFrame) -> DataFrame:
     """The last valid record of each identity. history: identity, version, ran_at, tool, causes."""
     ok = history.where((F.col("version") == VERSION) & F.forall("causes", lambda c: c.rlike("^[0-9a-f]{24}$")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .readers import READERS, Reader
@@ -10,32 +10,49 @@ from .readers import READERS, Reader
 
 def hinted(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """(log_id, reader, hint): the position in argv of a word that names the reader's command; python -m X counts as X."""
-    words = logs.select("log_id", F.posexplode(F.coalesce("argv", F.array().cast("array<string>"))).alias("hint", "word")).withColumn("word", F.element_at(F.split("word", "/"), -1))
+    words = logs.where(F.size("argv") > 0).select("log_id", F.posexplode("argv").alias("hint", "word")).withColumn("word", F.element_at(F.split("word", "/"), -1))
     names = F.create_map(*(F.lit(x) for w in sorted({c for r in readers for c in r.commands}) for x in (w, ",".join(str(i) for i, r in enumerate(readers) if w in r.commands))))
     return words.select("log_id", "hint", F.explode(F.split(names[F.col("word")], ",")).alias("r")).groupBy("log_id", F.col("r").cast("int").alias("reader")).agg(F.min("hint").alias("hint"))
 
 
 def winners(failures: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """Adds role: own for the failures of the log's first reader in order (hinted ones before), other for the rest."""
-    rows = failures.withColumn("hint", F.lit(None).cast("int")) if hints is None else failures.join(hints, ["log_id", "reader"], "left")
+    rows = failures.withColumn("hint", F.lit(None).cast("int"))
+    if hints is not None:
+        # a row a log, joined by log alone, as the failures are dealt
+        by = hints.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("reader", "hint"))).alias("by_reader"))
+        rows = failures.join(by, "log_id", "left").withColumn("hint", F.col("by_reader")[F.col("reader")]).drop("by_reader")
     rank = F.struct(F.coalesce("hint", F.lit(1 << 20)).alias("h"), F.col("reader").alias("r"))
-    # one row a log and reader first: few, whatever a log's length
-    first = rows.groupBy("log_id").agg(F.min(rank).alias("first"))
-    return rows.join(first, "log_id").withColumn("role", F.when(F.col("reader") == F.col("first.r"), "own").otherwise("other")).drop("first", "hint")
+    # failures are dealt by log already, so this shuffles nothing and reads no log twice
+    first = F.min(rank).over(Window.partitionBy("log_id"))
+    return rows.withColumn("first", first).withColumn("role", F.when(F.col("reader") == F.col("first.r"), "own").otherwise("other")).drop("first", "hint")
+
+
+def _said(r: Column, m: Column) -> Column:
+    """Whether the own failure m says what r of another tool says."""
+    base = lambda c: F.element_at(F.split(c, r"[/\\]"), -1)
+    bare = lambda c: F.regexp_replace(F.trim(c), r"[.\s]*(?:\[[^\]]*\][.\s]*)?$", "")
+    either = lambda a, b, test: test(a, b) | test(b, a)
+    free = lambda a, b: a.isNull() | b.isNull() | (a == b)
+    place = (base(r["file"]) == base(m["file"])) & either(r["file"], m["file"], F.endswith) & r["line"].eqNullSafe(m["line"]) & free(r["col"], m["col"]) & free(r["code"], m["code"])
+    located = place & ((bare(r["message"]) == bare(m["message"])) | ((r["title"] == m["title"]) & either(r["message"], m["message"], F.startswith)))
+    overlap = F.exists(r["places"], lambda p: F.exists(m["places"], lambda q: (p["start"] <= q["end"]) & (q["start"] <= p["end"])))
+    same_text = overlap & ((r["message"] == m["message"]) | ((F.length(r["message"]) >= 4) & either(m["message"], r["message"], F.contains)))
+    echo = r["file"].isNull() & m["file"].isNotNull() & (F.length(r["message"]) >= 4) & F.contains(m["message"], r["message"])
+    return F.coalesce(located, F.lit(False)) | F.coalesce(same_text, F.lit(False)) | F.coalesce(echo, F.lit(False))
 
 
 def secondaries(ranked: DataFrame) -> DataFrame:
-    """The failures that other readers add: anchored, and not what an earlier reader said about the same place or in the same lines.
+    """The failures that other readers add: anchored, and not what the log's own reader said about the same place or in the same lines.
 
-    Exact: same place, title and message. Located: same file name and line, or the same message in overlapping lines, or a message that an own failure's message contains.
+    Located: same file and line, no differing column or code, and the same message (a bracketed code or full stop at its end aside), or one title and one message
+    the other's beginning. By text: the same message, or one that holds the other, in overlapping lines. Echo: a failure without place whose message a located one holds.
+    The failures of a log meet in one row, which is smaller than the log was.
     """
-    base = lambda c: F.element_at(F.split(c, r"[/\\]"), -1)
-    mine = ranked.where("role = 'own'").select("log_id", F.col("file").alias("o_file"), F.col("line").alias("o_line"), F.col("message").alias("o_message"), F.col("places").alias("o_places"))
-    rest = ranked.where("role = 'other' and reader_name <> 'generic' and (file is not null or code is not null or subject is not null or label is not null)")
-    same_place = (base(F.col("file")) == base(F.col("o_file"))) & F.col("line").eqNullSafe(F.col("o_line"))
-    overlap = F.exists("places", lambda p: F.exists("o_places", lambda q: (p["start"] <= q["end"]) & (q["start"] <= p["end"])))
-    same_text = overlap & ((F.col("message") == F.col("o_message")) | ((F.length("message") >= 4) & (F.contains(F.col("o_message"), F.col("message")) | F.contains(F.col("message"), F.col("o_message")))))
-    echo = F.col("file").isNull() & (F.length("message") >= 4) & F.contains(F.col("o_message"), F.col("message"))
-    left = rest.join(mine, (rest["log_id"] == mine["log_id"]) & (same_place | same_text | echo), "left_anti")
+    shown = [c for c in ranked.columns if c not in ("log_id", "role")]
+    anchored = "role = 'other' and reader_name <> 'generic' and (file is not null or code is not null or subject is not null or label is not null)"
+    mine = F.when(F.col("role") == "own", F.struct("file", "line", "col", "code", "title", "message", "places"))
+    by = ranked.where(f"role = 'own' or ({anchored})").groupBy("log_id").agg(F.collect_list(mine).alias("mine"), F.collect_list(F.when(F.expr(anchored), F.struct(*shown))).alias("rest"))
+    left = by.where(F.size("rest") > 0).select("log_id", F.inline(F.filter("rest", lambda r: ~F.exists("mine", lambda m: _said(r, m))))).withColumn("role", F.lit("other"))
     w = Window.partitionBy("log_id", "file", "line", "col", "message").orderBy("reader", "ord")
-    return left.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return left.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n").select(*ranked.columns)

@@ -16,8 +16,8 @@ from .functions import text as T
 from .operators import capture, clusters, history, ownership, parsing
 from .operators.readers import READERS, Reader
 from .operators.status import CODES, SIGNALS, status
-from .plans import report
-from .sources.logs import ITEMS, items, rendered
+from .plans import report, summary
+from .sources.logs import ITEMS, items, rendered, sample
 
 BY_NAME = {r.name: r for r in READERS}
 #: Tools whose formats no earlier reader also reads, for queries over logs of several tools.
@@ -68,6 +68,12 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(spark, sf_dir, MIXED, len(MIXED))
 
 
+def _text_sql(r: Reader) -> str:
+    """A rendered diagnostic of the reader, as SQL over the facts."""
+    parts = re.split(r"\{(\w+)\}", "\n".join(r.sample))
+    return " || ".join(_quoted(x) if k % 2 == 0 else x for k, x in enumerate(parts) if x)
+
+
 _TOOL = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_quoted(r.tool)}" for i, r in enumerate(MIXED)) + " end"
 _CODE = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'code')}" for i, r in enumerate(MIXED)) + " end"
 _SUBJECT = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_field_sql(r, 'subject')}" for i, r in enumerate(MIXED)) + " end"
@@ -133,12 +139,75 @@ def command_hints(spark, sf_dir):
 
 
 def secondaries(spark, sf_dir):
-    """Logs in which a second tool speaks: its failures that the first did not report."""
-    two = rendered(spark, sf_dir, (BY_NAME["shellcheck"],)).alias("a").join(rendered(spark, sf_dir, (BY_NAME["tsc"],)).select("log_id", F.col("raw").alias("more")), "log_id")
-    ranked = report.analysed(two.withColumn("raw", F.concat_ws("\n", "raw", "more")), MIXED)
+    """Logs in which further tools speak: what they say that the first did not. Pyright repeats the first tool's failures in even orders and says something else about the same places in odd ones."""
+    says = F.when(F.col("l_orderkey") % 2 == 0, F.col("message")).otherwise("another finding")
+    again = F.concat(F.lit("  "), "file", F.lit(":"), "line", F.lit(":"), "col", F.lit(" - error: "), says)
+    texts = (sample(BY_NAME["shellcheck"]), again, sample(BY_NAME["tsc"]))
+    logs = items(spark, sf_dir).groupBy("l_orderkey").agg(*(F.collect_list(t).alias(f"t{i}") for i, t in enumerate(texts)))
+    raw = F.array_join(F.concat("t0", "t1", "t2"), "\n")
+    logs = logs.select(F.col("l_orderkey").cast("string").alias("log_id"), raw.alias("raw"), F.lit(None).cast("array<string>").alias("argv"))
+    ranked = report.analysed(logs, tuple(BY_NAME[n] for n in ("shellcheck", "pyright", "tsc")))
     return ownership.secondaries(ranked).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What stands around diagnostics in captured logs; no reader may take it for a failure.
+BEFORE = "$ ./ci.sh check\nFetching 12 packages\n> web@1.4.0 check\n\ninfo: 3 files in cache\nNote: 0 errors in the last run\n"
+AFTER = "\n\nDone in 2.31s.\nUploading 4 artifacts, 0 failed\nProcess ended with code 1\n"
+
+
+def failures_in_noise(spark, sf_dir):
+    """Winner and failures of logs with other output around the diagnostics, all readers and documents on."""
+    logs = mixed(spark, sf_dir).withColumn("raw", F.concat(F.lit(BEFORE), "raw", F.lit(AFTER)))
+    return report.analysed(logs).where("role = 'own'").select("log_id", "tool", "category", "file", "line", "col", "code", "subject", "message")
+
+
+def top_causes(spark, sf_dir):
+    """The first three causes of each log in order of size."""
+    rows = summary.ordered(report.cause_report(mixed(spark, sf_dir), MIXED), 3).where("shown")
+    return rows.groupBy("log_id").agg(F.max("rank").alias("shown"), F.max("size").alias("largest"), F.max(F.when(F.col("rank") == 1, F.col("size"))).alias("first_size"))
+
+
+def cause_sites(spark, sf_dir):
+    """Cases and places of each cause of a log."""
+    return summary.sites(_own(spark, sf_dir)).select("log_id", "cause", "cases", "sites", F.get("first_sites", 0).alias("first_site"), "headline")
+
+
+def markdown(spark, sf_dir):
+    """The report as markdown, of logs of a linter."""
+    logs = rendered(spark, sf_dir, (BY_NAME["flake8"],))
+    return summary.markdown(report.reports(logs, (BY_NAME["flake8"],)), 2)
+
+
+def raw_fallback(spark, sf_dir):
+    """The beginning of an unread log as one annotation within 300 bytes."""
+    logs = rendered(spark, sf_dir, (BY_NAME["tsc"],))
+    return summary.raw_fallback(logs.withColumn("raw", F.concat(F.lit("100% café\n"), "raw")), 300)
+
+
+def tallies(spark, sf_dir):
+    """Failures that logs declare against those read; every third order declares one more."""
+    logs = rendered(spark, sf_dir, (BY_NAME["tsc"],))
+    n = F.size(F.split("raw", "\n")) + (F.col("log_id").cast("long") % 3 == 0).cast("int")
+    logs = logs.withColumn("raw", F.concat("raw", F.lit("\nFound "), n.cast("string"), F.lit(" errors in 3 files.\n")))
+    return summary.tallies(logs, report.analysed(logs, (BY_NAME["tsc"],)).where("role = 'own'"))
+
+
+def run_history(spark, sf_dir):
+    """Records of runs, a name for each log: how many causes each tracks."""
+    logs = mixed(spark, sf_dir).withColumn("run_key", F.when(F.col("log_id").cast("long") % 4 != 0, F.concat(F.lit("job-"), "log_id"))).withColumn("cwd", F.lit("/w"))
+    own = report.analysed(logs, MIXED).where("role = 'own'")
+    rows = history.records(history.tracked(own, history.identity(logs)), F.lit("2024-01-01 00:00:00"))
+    return rows.select("identity", "version", "tool", F.size("causes").alias("n_causes"))
+
+
+def snippets(spark, sf_dir):
+    """Source lines around each failure; the sources have six lines, the second of them blank."""
+    parts = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").select((F.col("p_partkey") % 50).alias("k")).distinct()
+    sources = parts.select(F.concat(F.lit("src/m"), F.col("k").cast("string"), F.lit(".ts")).alias("path"), F.lit("one\n\nthree\nfour\nfive\nsix").alias("text"))
+    found = report.analysed(rendered(spark, sf_dir, (BY_NAME["tsc"],)), (BY_NAME["tsc"],))
+    return summary.snippets(found, sources).select("log_id", "file", "line", "col", "message", "has_line", "snippet")
+
+
 def normalise(spark, sf_dir):
     """Colour, CR and CI stamps around the lines go; the failures stay."""
     logs = rendered(spark, sf_dir, (BY_NAME["tsc"],))
@@ -182,12 +251,6 @@ def repeats(spark, sf_dir):
     return rows.select("o_orderkey", T.collapse_repeats(F.concat(F.lit("a\n"), F.expr("array_join(array_repeat('same', k), '\n')"), F.lit("\nb"))).alias("message"))
 
 
-def _text_sql(r: Reader) -> str:
-    """A rendered diagnostic of the reader, as SQL over the facts."""
-    parts = re.split(r"\{(\w+)\}", "\n".join(r.sample))
-    return " || ".join(_quoted(x) if k % 2 == 0 else x for k, x in enumerate(parts) if x)
-
-
 _TEXT = "case " + " ".join(f"when l_orderkey % {len(MIXED)} = {i} then {_text_sql(r)}" for i, r in enumerate(MIXED)) + " end"
 _HOLDS = {r.name: " or ".join(f"contains(raw, {_quoted(x)})" for x in r.signals) or "true" for r in READERS}
 _ASKED = ", ".join(f"{{'reader': {_quoted(name)}, 'asked': {holds}}}" for name, holds in _HOLDS.items())
@@ -203,11 +266,29 @@ _ENTRIES = {
     "rollup": (rollup, f"select category, tool, count(*) as failures from {OWN} group by rollup(category, tool)"),
     "history_compare": (history_compare, f"with k as (select distinct tool as identity, {_CAUSE} as cause, cast(log_id as bigint) % 2 = 1 as now from {OWN}), g as (select identity, cause, bool_or(now) as n, bool_or(not now) as t from k group by 1, 2) select identity, count(*) filter (n and not t) as fresh, count(*) filter (n and t) as same, count(*) filter (t and not n) as gone from g group by 1"),
     "command_hints": (command_hints, "with k as (select distinct l_orderkey from lineitem) select cast(l_orderkey as varchar) as log_id, r as reader, h as hint from k join (values (0, 'pytest', 2), (0, 'python', 0), (1, 'tsc', 0)) v(m, r, h) on l_orderkey % 2 = m"),
-    "secondaries": (secondaries, None),
+    "secondaries": (secondaries, f"select 'pyright' as tool, count(*) as n from (select distinct l_orderkey, file, line, col from ({ITEMS}) where l_orderkey % 2 = 1) having count(*) > 0 union all select 'tsc' as tool, count(*) as n from (select distinct l_orderkey, file, line, col, message from ({ITEMS})) having count(*) > 0"),
+    "failures_in_noise": (failures_in_noise, f"select * from {OWN}"),
+    "top_causes": (top_causes, f"with k as (select log_id, {_CAUSE} as c, count(*) as n from {OWN} group by all), u as (select log_id, sum(case when n >= 3 then 1 else n end) as units, max(case when n >= 3 then n else 1 end) as largest from k group by 1) select log_id, cast(least(units, 3) as int) as shown, cast(largest as int) as largest, cast(largest as int) as first_size from u"),
+    "cause_sites": (cause_sites, f"with k as (select log_id, {_CAUSE} as cause, count(*) as cases, count(distinct concat_ws(':', file, line, col)) as sites, min(concat_ws(':', file, line, col)) as first_site from {OWN} group by all) select log_id, cause, cases, cast(sites as int) as sites, first_site, case when sites = cases then sites || ' site' || case when sites = 1 then '' else 's' end else cases || ' cases at ' || sites || ' site' || case when sites = 1 then '' else 's' end end as headline from k"),
+    "markdown": (markdown, f"""with i as (select distinct l_orderkey, '**E' || line || '00** `' || file || ':' || line || ':' || col || '`' || chr(10) || '```text' || chr(10) || message || chr(10) || '```' as part, line, file, col, message from ({ITEMS})),
+ r as (select l_orderkey, part, row_number() over (partition by l_orderkey order by line, file, col, message) as n, count(*) over (partition by l_orderkey) as c from i),
+ g as (select l_orderkey, max(c) as c, string_agg(part, chr(10) || chr(10) order by n) filter (n <= 2) as head, string_agg(part, chr(10) || chr(10) order by n) filter (n > 2) as tail from r group by 1)
+select cast(l_orderkey as varchar) as log_id, '## flake8: ' || c || ' failure' || case when c = 1 then '' else 's' end || chr(10) || chr(10) || head || case when c > 2 then chr(10) || chr(10) || '<details><summary>' || (c - 2) || ' more</summary>' || chr(10) || chr(10) || tail || chr(10) || chr(10) || '</details>' else '' end as markdown from g"""),
+    "raw_fallback": (raw_fallback, f"""with g as (select l_orderkey, '100% café' || chr(10) || string_agg({_text_sql(BY_NAME['tsc'])}, chr(10) order by line, file, col, message, code) as raw from ({ITEMS}) group by 1),
+ k as (select l_orderkey, raw, list_max(list_filter(range(0, length(raw) + 1), lambda n: strlen(replace(replace(left(raw, n), '%', '%25'), chr(10), '%0A')) <= 300 - 34 - 20 - 1)) as n from g)
+select cast(l_orderkey as varchar) as log_id, '::notice title=captured output::' || replace(replace(left(raw, n), '%', '%25'), chr(10), '%0A') || case when n < length(raw) then ' [preview truncated]' else '' end as annotation, n < length(raw) as cut from k""".replace("300 - 34 - 20 - 1", str(300 - len("::notice title=captured output::") - len(" [preview truncated]") - 1))),
+    "tallies": (tallies, f"select cast(l_orderkey as varchar) as log_id, count(*) + (l_orderkey % 3 = 0)::int as declared, count(distinct (file, line, col, message)) as found, count(*) + (l_orderkey % 3 = 0)::int > count(distinct (file, line, col, message)) as unread from ({ITEMS}) group by l_orderkey"),
+    "run_history": (run_history, f"select substr(sha256('6:job-' || log_id), 1, 24) as identity, 6 as version, tool, cast(count(distinct {_CAUSE}) as int) as n_causes from {OWN} where cast(log_id as bigint) % 4 <> 0 group by log_id, tool"),
+    "snippets": (snippets, f"""with s as (select distinct 'src/m' || (p_partkey % 50) || '.ts' as path from part), f as (select distinct l_orderkey, file || '.ts' as file, cast(line as int) as line, cast(col as int) as col, message from ({ITEMS}))
+select cast(l_orderkey as varchar) as log_id, file, line, col, message, case when path is not null then line <= 6 end as has_line,
+ case when path is null or line > 6 then null when line = 1 then '> 1 | one' else array_to_string(list_transform(case when line = 2 then [1, 2, 3, 4, 5, 6] else [3, 4, 5, 6] end, lambda n: case when n = line then '> ' else '  ' end || n || ' | ' || (['one', '', 'three', 'four', 'five', 'six'])[n]), chr(10)) end as snippet
+from f left join s on file = path"""),
     "normalise": (normalise, f"select distinct cast(l_orderkey as varchar) as log_id, file || '.ts' as file, cast(line as int) as line, cast(col as int) as col, 'TS' || line as code, message from ({_TSC})"),
     "exact_retry": (exact_retry, f"select cast(l_orderkey as varchar) as log_id, md5(string_agg(file || '.ts(' || line || ',' || col || '): error TS' || line || ': ' || message, chr(10) order by line, file, col, message, code)) as raw_md5 from ({_TSC}) group by l_orderkey"),
     "router": (router, f"with i as ({ITEMS}), g as (select l_orderkey, string_agg({_TEXT}, chr(10)) as raw from i group by 1), c as (select unnest([{_ASKED}]) as a from g) select a.reader as reader, count(*) as logs from c where a.asked group by 1"),
-    "bounded_capture": (bounded_capture, None),
+    "bounded_capture": (bounded_capture, f"""with l as (select l_orderkey, k, line, file, col, message, code, length(file || '.ts(' || line || ',' || col || '): note TS' || line || ': ' || message) + 1 as s from ({ITEMS}), range(4) t(k)),
+ w as (select *, sum(s) over (partition by l_orderkey order by k, line, file, col, message, code rows unbounded preceding) as h, sum(s) over (partition by l_orderkey) as t from l)
+select cast(l_orderkey as varchar) as log_id, count(*) as kept, max(t) > 400 as truncated from w where t <= 400 or h <= 100 or t - h + s <= 200 group by l_orderkey"""),
     "exit_status": (exit_status, f"select code, case {_STATUS} end as says from (select distinct cast(o_orderkey % 160 as int) as code from orders)"),
     "skeletons": (skeletons, f"select {_SHAPE} as signature, count(*) as n from ({ITEMS}) group by 1"),
     "repeats": (repeats, "select o_orderkey, 'a' || chr(10) || case when o_orderkey % 6 + 1 >= 3 then 'same (x' || (o_orderkey % 6 + 1) || ')' when o_orderkey % 6 = 1 then 'same' || chr(10) || 'same' else 'same' end || chr(10) || 'b' as message from orders"),
