@@ -158,7 +158,9 @@ def teamcity() -> Column:
             text = F.replace(text, F.lit(code), F.lit(plain))
         return F.nullif(text, F.lit(""))
 
-    return F.transform(_elements("##teamcity[testFailed ", r"(?m)^##teamcity\[testFailed .*$"), lambda x: _row("teamcity", subject=value(x, "name"), message=value(x, "message")))
+    # the details' first line that is a place alone
+    place = lambda x, i: F.nullif(F.regexp_extract(value(x, "details"), r"(?m)^\s*(\S+):(\d+)\s*$", i), F.lit(""))
+    return F.transform(_elements("##teamcity[testFailed ", r"(?m)^##teamcity\[testFailed .*$"), lambda x: _row("teamcity", file=place(x, 1), line=place(x, 2), subject=value(x, "name"), message=value(x, "message")))
 
 
 def azure_logissue() -> Column:

@@ -22,7 +22,9 @@ def winners(failures: DataFrame, hints: DataFrame | None = None) -> DataFrame:
         # a row a log, joined by log alone, as the failures are dealt
         by = hints.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("reader", "hint"))).alias("by_reader"))
         rows = failures.join(by, "log_id", "left").withColumn("hint", F.col("by_reader")[F.col("reader")]).drop("by_reader")
-    rank = F.struct(F.coalesce("hint", F.lit(1 << 20)).alias("h"), F.col("reader").alias("r"))
+    # that a build step failed is how the failure showed, not why: whatever else was read comes before it, but for guesses
+    late = F.when((F.col("reader_name") == "docker") & F.col("message").startswith("failed to solve: process "), 1).when(F.col("reader_name") == "generic", 2).otherwise(0)
+    rank = F.struct(late.alias("late"), F.coalesce("hint", F.lit(1 << 20)).alias("h"), F.col("reader").alias("r"))
     # failures are dealt by log already, so this shuffles nothing and reads no log twice
     first = F.min(rank).over(Window.partitionBy("log_id"))
     return rows.withColumn("first", first).withColumn("role", F.when(F.col("reader") == F.col("first.r"), "own").otherwise("other")).drop("first", "hint")

@@ -13,14 +13,40 @@ from .readers import FIELDS, READERS, Reader
 CI_STAMP = r"^(?:[^\t\n]*\t){0,3}\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z ?"
 #: Prefixes that CI systems and task runners put before each line.
 WRAPPERS = (
-    ("azure", r"^##\[\w+\]"), ("kubectl", r"^\[pod/[^\]]+\] "), ("buildkit", r"^#\d+ \d+\.\d+ "), ("turborepo", r"^[\w@/-]+:[\w-]+: "), ("jenkins", r"^\[\d{4}-\d{2}-\d{2}T[\d:.]+Z\] "), ("syslog", r"^[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2} \S+ "),
+    ("azure", r"^##\[\w+\]"), ("kubectl", r"^\[pod/[^\]]+\] "), ("buildkit", r"^#\d+ \d+\.\d+ "), ("turborepo", r"^[\w@/-]+:[\w-]+: "), ("jenkins", r"^\[\d{4}-\d{2}-\d{2}T[\d:.,]+Z?\] "), ("jenkins time", r"^\[\d{2}:\d{2}:\d{2}\] "),
+    ("buildkite", r"^\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] "), ("syslog", r"^[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2} \S+ "),
 )
 
 
+def _prefix(head: Column, share: float) -> Column:
+    """The pattern that lines are to lose, by the gates over the sampled lines; null if none opens."""
+    rate = lambda p: F.size(F.filter(head, lambda x: x.rlike(p))) / F.greatest(F.size(head), F.lit(1))
+    wrapper = F.coalesce(*(F.when(rate(p) >= share, F.lit(p[1:])) for _, p in WRAPPERS), F.lit(""))
+    stamp = F.when(rate(CI_STAMP) >= 0.8, F.lit(CI_STAMP[1:])).otherwise("")
+    return F.nullif(F.concat(stamp, wrapper), F.lit(""))
+
+
+def _head(raw: Column, sample: int) -> Column:
+    return F.slice(F.filter(F.slice(F.split(raw, "\n", -1), 1, 2 * sample), lambda x: F.trim(x) != ""), 1, sample)
+
+
+def unframed(raw: Column) -> Column:
+    """The lines of failing steps that a container build quotes between two rules, without their column of seconds; every line stays where it is."""
+    parts = F.split(raw, r"(?m)^-{6,}[ \t]*$", -1)
+    quoted = F.transform(parts, lambda x: F.when(x.rlike(r"^\n[ \t]*>[ \t]+\[[^\]\n]+\][ \t]+[^\n]*:[ \t]*\n"), F.regexp_replace(x, r"(?m)^\d+\.\d+[ \t]", "")).otherwise(x))
+    return F.when(raw.rlike(r"(?m)^ERROR: (?:[\w .]+: )?failed to solve:"), F.array_join(quoted, "------")).otherwise(raw)
+
+
 def normalised(logs: DataFrame) -> DataFrame:
-    """logs with raw normalised: BOM, redrawn lines and escape sequences gone, line ends unified, an exact retry kept once."""
+    """logs with raw normalised: BOM, redrawn lines and escape sequences gone, line ends unified, quoted build steps bare, an exact retry kept once.
+
+    Where lines are redrawn by bare CRs, a CI prefix stands once a physical line, so it goes before the CRs become line ends.
+    """
     raw = T.strip_bom(F.coalesce("raw", F.lit("")))
-    logs = logs.withColumn("raw", T.unix_lines(T.strip_ansi(T.drop_redraws(raw))))
+    logs = logs.withColumn("raw", T.strip_ansi(T.drop_redraws(raw)))
+    redrawn = F.when(F.col("raw").rlike(r"\r(?!\n)"), _prefix(_head(F.col("raw"), 200), 0.4))
+    logs = logs.withColumn("redrawn", redrawn).withColumn("raw", F.when(F.col("redrawn").isNull(), F.col("raw")).otherwise(F.regexp_replace("raw", F.concat(F.lit("(?dm)^(?:"), "redrawn", F.lit(")")), F.lit("")))).drop("redrawn")
+    logs = logs.withColumn("raw", unframed(T.unix_lines(F.col("raw"))))
     for sep in ("\n\n", "\n", "\n\n", "\n"):
         logs = logs.withColumn("raw", T.once(F.col("raw"), sep))
     return logs
@@ -45,11 +71,8 @@ def gated(logs: DataFrame, share: float = 0.4, sample: int = 200) -> DataFrame:
 
     The gates look at the first sample non-blank lines inside the row, so nothing is shuffled.
     """
-    rows = logs.withColumn("head", F.slice(F.filter(F.slice(F.split("raw", "\n", -1), 1, 2 * sample), lambda x: F.trim(x) != ""), 1, sample))
-    rate = lambda p: F.size(F.filter("head", lambda x: x.rlike(p))) / F.greatest(F.size("head"), F.lit(1))
-    wrapper = F.coalesce(*(F.when(rate(p) >= share, F.lit(p[1:])) for _, p in WRAPPERS), F.lit(""))
-    stamp = F.when(rate(CI_STAMP) >= 0.8, F.lit(CI_STAMP[1:])).otherwise("")
-    return rows.withColumn("prefix", F.nullif(F.concat(stamp, wrapper), F.lit(""))).drop("head")
+    rows = logs.withColumn("head", _head(F.col("raw"), sample))
+    return rows.withColumn("prefix", _prefix(F.col("head"), share)).drop("head")
 
 
 def unwrapped(lined: DataFrame) -> DataFrame:

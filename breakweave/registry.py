@@ -221,6 +221,14 @@ def exact_retry(spark, sf_dir):
     return parsing.normalised(logs.withColumn("raw", F.concat("raw", F.lit("\n\n"), "raw"))).select("log_id", F.md5("raw").alias("raw_md5"))
 
 
+def build_steps(spark, sf_dir):
+    """What failed inside a step of a container build, quoted between rules with a column of seconds; the build's own last line does not own the log."""
+    logs = rendered(spark, sf_dir, (BY_NAME["npm"],))
+    quoted = F.concat(F.lit("#7 ERROR: process\n------\n > [4/4] RUN npm test:\n0.231 "), F.regexp_replace("raw", "\n", "\n0.245 "), F.lit('\n------\nDockerfile:8\nERROR: failed to solve: process "/bin/sh -c npm test" did not complete successfully: exit code: 1\n'))
+    found = report.analysed(logs.withColumn("raw", quoted), tuple(BY_NAME[n] for n in ("docker", "npm"))).where("role = 'own'")
+    return found.select("log_id", "tool", "category", "file", "line", "col", "code", "subject", "label", "message")
+
+
 def router(spark, sf_dir):
     """How many logs each reader would be asked for."""
     rows = parsing.routed(mixed(spark, sf_dir)).select(F.explode("asked").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("logs"))
@@ -285,6 +293,7 @@ select cast(l_orderkey as varchar) as log_id, file, line, col, message, case whe
 from f left join s on file = path"""),
     "normalise": (normalise, f"select distinct cast(l_orderkey as varchar) as log_id, file || '.ts' as file, cast(line as int) as line, cast(col as int) as col, 'TS' || line as code, message from ({_TSC})"),
     "exact_retry": (exact_retry, f"select cast(l_orderkey as varchar) as log_id, md5(string_agg(file || '.ts(' || line || ',' || col || '): error TS' || line || ': ' || message, chr(10) order by line, file, col, message, code)) as raw_md5 from ({_TSC}) group by l_orderkey"),
+    "build_steps": (build_steps, _reader_sql(BY_NAME["npm"])),
     "router": (router, f"with i as ({ITEMS}), g as (select l_orderkey, string_agg({_TEXT}, chr(10)) as raw from i group by 1), c as (select unnest([{_ASKED}]) as a from g) select a.reader as reader, count(*) as logs from c where a.asked group by 1"),
     "bounded_capture": (bounded_capture, f"""with l as (select l_orderkey, k, line, file, col, message, code, length(file || '.ts(' || line || ',' || col || '): note TS' || line || ': ' || message) + 1 as s from ({ITEMS}), range(4) t(k)),
  w as (select *, sum(s) over (partition by l_orderkey order by k, line, file, col, message, code rows unbounded preceding) as h, sum(s) over (partition by l_orderkey) as t from l)

@@ -41,6 +41,21 @@ def test_ci_stamp_goes(spark):
     assert [(r.file, r.code) for r in parsed(spark, "tsc", raw)] == [("a.ts", "TS1")]
 
 
+def test_prefix_of_redrawn_lines_goes(spark):
+    raw = "[10:00:01] 10%\r20%\r30%\n[10:00:02] a.ts(1,2): error TS1: bad\n[10:00:03] 40%\r50%\n[10:00:04] b.ts(3,4): error TS2: worse"
+    assert [(r.file, r.code) for r in parsed(spark, "tsc", raw)] == [("a.ts", "TS1"), ("b.ts", "TS2")]
+    assert [r.file for r in parsed(spark, "tsc", "[2024-01-02 03:04:05] a.ts(1,2): error TS1: bad")] == ["a.ts"]
+
+
+def test_quoted_build_steps(spark):
+    step = "------\n > [{}/4] RUN tsc:\n0.51 {}.ts(1,2): error TS1: bad\n------\n"
+    end = "Dockerfile:8\nERROR: failed to solve: process \"/bin/sh -c tsc\" did not complete successfully: exit code: 2"
+    pair = (BY_NAME["docker"], BY_NAME["tsc"])
+    rows = report.analysed(logs(spark, step.format(1, "a") + step.format(2, "b") + end, "0.51 c.ts\n" + end), pair).where("role = 'own'").orderBy("log_id", "ord").collect()
+    assert [(r.log_id, r.tool, r.file, r.places[0].start) for r in rows[:2]] == [("0", "tsc", "a.ts", 3), ("0", "tsc", "b.ts", 7)]
+    assert [r.tool for r in rows[2:]] == ["docker"]
+
+
 def test_winner_hint_and_secondaries(spark):
     pair = (BY_NAME["shellcheck"], BY_NAME["tsc"])
     raw = "a.sh:1:2: error: quote this [SC1]\nb.ts(3,4): error TS2: worse"
