@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, licenses, mixing, near_duplicates, packing, pii, quality, substrings, toxicity
+from . import clustering, compression, decontamination, fingerprints, licenses, manifest, mixing, near_duplicates, packing, pii, quality, substrings, toxicity
 from .common import held_out, read
 
 
@@ -56,9 +56,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.checked(spark, read(spark, sf_dir, "documents"))
+
+
+def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge(read(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digests(spark, read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_pii, op5_packing, op6_substring_dedup, op7_mixing, op8_decontamination, op9_near_duplicates, op10_quality)}
+    ops = (
+        op1_toxicity, op2_fingerprints, op3_licenses, op4_pii, op5_packing, op6_substring_dedup, op7_mixing, op8_decontamination, op9_near_duplicates, op10_quality,
+        op11_manifest, op12_compression, op13_clustering,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.SQL, "op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op8_decontamination": decontamination.SQL, "op9_near_duplicates": near_duplicates.SQL}
+    return {
+        "op3_licenses": licenses.SQL, "op6_substring_dedup": substrings.SQL, "op7_mixing": mixing.SQL, "op8_decontamination": decontamination.SQL, "op9_near_duplicates": near_duplicates.SQL,
+        "op11_manifest": manifest.SQL, "op13_clustering": clustering.SQL,
+    }
