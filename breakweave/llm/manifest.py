@@ -165,7 +165,8 @@ def tree(rows: DataFrame, order: tuple[str, ...], scratch: Scratch, range_rows:
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    roots = every.where(F.col("peak") & (F.col("level") == height_of(F.col("n")))).select("grp", "n", F.col("value").alias("top"))
+    # written, since it meets nodes of the same tables below
+    roots = scratch.save(every.where(F.col("peak") & (F.col("level") == height_of(F.col("n")))).select("grp", "n", F.col("value").alias("top")), "roots")
     nodes = [every.where(~F.col("peak") & (F.col("level") == k) & (F.col("level") < height_of(F.col("n")))).select("grp", "n", "idx", F.col("value").alias("leaf")) for k in range(STRIDE, top, STRIDE)]
     return Tree(indexed, nodes, roots, top, total)
 

@@ -58,11 +58,11 @@ def plain(rows):
 
 
 def many():
-    rows = [(i * 7 % 1009, f"s{min(i % 4, 2)}", "en", i, f"text {i}\n{'é' * (i % 5)}\n") for i in range(700)]
+    rows = [(i * 7 % 3001, f"s{min(i % 4, 2)}", "en", i, f"text {i}\n{'é' * (i % 5)}\n") for i in range(2000)]
     return rows + [(None, "s0", None, None, None), (None, "s0", "en", 1, ""), (None, None, "en", 1, "a\nb"), (5, None, "fr", 0, ""), (2**60 + 1, "s0", "en", 3, "x\ny"), (-4, "é", "en", 3, "x\ny"), (11, "s1", "en", 9, "twin\n"), (11, "s1", "en", 9, "twin\n"), (11, "s1", "de", 9, "other\n")]
 
 
-@pytest.mark.parametrize("range_rows", [23, 50_000])
+@pytest.mark.parametrize("range_rows", [60, 50_000])
 def test_manifest_equals_a_plain_one(spark, range_rows, monkeypatch):
     monkeypatch.setattr(M, "RANGE_ROWS", range_rows)
     monkeypatch.setattr(M, "BLOCK_ROWS", 100)
