@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip_bom(text: Column) -> Column:
-    return F.regexp_replace(text, "^\ufeff", "")
+    return F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
 
 
 def strip_ansi(text: Column) -> Column:
@@ -44,7 +49,8 @@ def collapse_repeats(message: Column) -> Column:
         same = acc["last"].eqNullSafe(line)
         return F.when(same, F.struct(acc["out"].alias("out"), line.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(shown(acc).alias("out"), line.alias("last"), F.lit(1).alias("n")))
 
-    return F.aggregate(F.split(message, "\n", -1), start, step, lambda acc: F.array_join(shown(acc), "\n"))
+    collapsed = F.aggregate(F.split(message, "\n", -1), start, step, lambda acc: F.array_join(shown(acc), "\n"))
+    return F.when(message.contains("\n"), collapsed).otherwise(message)
 
 
 def skeleton(message: Column) -> Column:
@@ -68,7 +74,7 @@ def content_score(shape: Column) -> Column:
 
 
 def is_noise_path(path: Column) -> Column:
-    return F.coalesce(path.rlike(r"node_modules/|site-packages/|dist-packages/|^node:|^internal/|<frozen |/lib/python[0-9.]+/|/gems/|/rustc/|vendor/bundle/"), F.lit(False))
+    return F.coalesce(path.rlike(r"node_modules/|site-packages/|dist-packages/|^node:|^internal/|<frozen |/lib/python[0-9.]+/|/gems/|/rustc/|vendor/bundle/|/src/(?:runtime|testing|internal)/"), F.lit(False))
 
 
 def file_url_path(url: Column) -> Column:

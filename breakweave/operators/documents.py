@@ -1,7 +1,8 @@
 """Readers of JSON and XML documents in logs: a document counts only if it has the shape that its tool writes.
 
 Every reader is an expression over a log's text that gives an array of what it found, so all of them run in one pass, inside the row: nothing is
-shuffled, and no log is read twice. A JSON document may stand between other lines. Documents are parsed with explicit schemas; what doesn't parse or lacks a
+shuffled, and no log is read twice. JSON documents may stand between other lines, and several in one log: a fold over the lines' brackets (strings left out) finds each one that a line
+opens and that closes, with its lines. Each reader parses only documents that hold its mark, with an explicit schema; what doesn't parse or lacks a
 required field is null and dropped.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import parsing
+from . import blocks, parsing
 
 OUT = ("log_id", "tool", "file", "line", "col", "code", "subject", "message")
 KINDS = {"line": "int", "col": "int"}
@@ -57,40 +58,90 @@ LINES = {
     "cargo_json": ("cargo", "struct<reason string, message struct<message string, level string, code struct<code string>, spans array<struct<file_name string, line_start int, column_start int, is_primary boolean>>>>", "x.reason = 'compiler-message' and x.message.level = 'error'",
                    {"file": f"{_PRIMARY}.file_name", "line": f"{_PRIMARY}.line_start", "col": f"{_PRIMARY}.column_start", "code": "x.message.code.code", "message": "x.message.message"}),
 }
+#: What a document must hold to be parsed for a reader.
+MARKS = {
+    "eslint_json": "filePath", "pyright_json": "generalDiagnostics", "pylint_json": "message-id", "ruff_json": "filename", "sarif": "runs", "gitlab_quality": "fingerprint", "jest_json": "testResults", "mocha_json": "stats",
+    "rubocop_json": "rubocop_version", "stylelint_json": "warnings", "golangci_json": "Issues", "shellcheck_json": "level", "oxlint_json": "diagnostics", "go_vet_json": "posn", "mypy_json": "severity", "cargo_json": "reason",
+}
 TESTS = ("jest_json", "mocha_json", "junit_xml", "teamcity", "trx")
 
 
+#: A line that opens a document: a bracket, and then nothing, a string or another bracket.
+_LEAD = r"^[ \t]*[\[{][ \t]*(?:$|[\"\[{\]}])"
+_SPAN = "array<struct<start:int,end:int>>"
+
+
+def spans(raw: Column) -> Column:
+    """(start, end) of the lines of every JSON document of several lines: from one that opens it to the one where all brackets are closed; a bracket at the margin that stays open starts anew."""
+    lines = F.split(raw, "\n", -1)
+    # escapes, then strings (which end on their line), then all but brackets
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\\[^\n]", ""), '"[^"\n]*"', ""), r"[^\[\]{}\n]", "")
+    line = lambda x, i: F.struct(i.alias("n"), (2 * F.length(F.regexp_replace(x, r"[\]}]", "")) - F.length(x)).alias("net"), F.get(lines, i).rlike(_LEAD).alias("lead"), F.get(lines, i).rlike(r"^[\[{]").alias("margin"))
+    steps = F.filter(F.transform(F.split(bare, "\n", -1), line), lambda x: x["net"] != 0)
+    state = lambda depth, start, margin, out: F.struct(depth.cast("int").alias("depth"), start.cast("int").alias("start"), margin.alias("margin"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = x["lead"] & (x["net"] > 0) & ((acc["depth"] == 0) | (acc["margin"] & x["margin"]))
+        depth = acc["depth"] + x["net"]
+        ended = F.array_append(acc["out"], F.struct(acc["start"].alias("start"), x["n"].cast("int").alias("end")))
+        idle = state(F.lit(0), F.lit(-1), F.lit(False), acc["out"])
+        return F.when(opens, state(x["net"], x["n"], x["margin"], acc["out"])).when(acc["depth"] == 0, idle).when(depth <= 0, state(F.lit(0), F.lit(-1), F.lit(False), ended)).otherwise(state(depth, acc["start"], acc["margin"], acc["out"]))
+
+    return F.aggregate(steps, state(F.lit(0), F.lit(-1), F.lit(False), F.array().cast(_SPAN)), step, lambda acc: acc["out"])
+
+
 def prepared(logs: DataFrame) -> DataFrame:
-    """log_id and raw, with the JSON list and object that the log holds, from the first line that opens with the bracket to the last closing one, and its lines of one object each."""
-    held = lambda opens, closes: F.when(F.contains(F.col("raw"), F.lit(opens)), F.nullif(F.regexp_extract("raw", rf"(?s)(?:^|\n)\s*(\{opens}.*\{closes})", 1), F.lit("")))
-    split = F.when(F.contains(F.col("raw"), F.lit("{")), F.filter(F.split("raw", "\n", -1), lambda x: x.startswith("{")))
-    return logs.select("log_id", "raw", held("[", "]").alias("json_list"), held("{", "}").alias("json_object"), split.alias("json_lines"))
+    """Adds json: (start, end, text) of the documents that a log holds, those of several lines and those of one, and json_lines: (start, text) of lines that open an object; null where no line opens a document."""
+    raw = F.col("raw")
+    logs = logs.withColumn("split", F.when(raw.rlike("(?m)" + _LEAD), F.split(raw, "\n", -1)))
+    logs = logs.withColumn("spans", F.when(F.col("split").isNotNull(), spans(raw)))
+    whole = F.transform("spans", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), F.array_join(F.slice("split", d["start"] + 1, d["end"] - d["start"] + 1), "\n").alias("text")))
+    numbered = F.transform("split", lambda x, i: F.struct(i.cast("int").alias("start"), i.cast("int").alias("end"), x.alias("text")))
+    single = F.filter(numbered, lambda x: x["text"].rlike(_LEAD) & x["text"].rlike(r"[\]}]\s*$") & ~F.exists("spans", lambda d: (d["start"] <= x["start"]) & (x["start"] <= d["end"])))
+    objects = F.filter(numbered, lambda x: x["text"].startswith("{"))
+    return logs.withColumn("json", F.concat(whole, single)).withColumn("json_lines", objects).drop("split", "spans")
 
 
-def _struct(tool: str, fields: dict[str, str]) -> str:
-    return f"named_struct('tool', '{tool}', " + ", ".join(f"'{c}', try_cast({fields.get(c, 'null')} as {KINDS.get(c, 'string')})" for c in OUT[2:]) + ")"
+def _struct(tool: str, fields: dict[str, str], at: str) -> str:
+    shown = ", ".join(f"'{c}', try_cast({fields.get(c, 'null')} as {KINDS.get(c, 'string')})" for c in OUT[2:])
+    return f"named_struct('tool', '{tool}', {shown}, 'start', {at}.start, 'end', {at}.end)"
 
 
 def _json(name: str) -> Column:
     tool, opens, schema, holds, over, fields = JSON[name]
-    doc = "json_list" if opens == "[" else "json_object"
+    mine = f"filter(json, j -> startswith(ltrim(j.text), '{opens}') and contains(j.text, '\"{MARKS[name]}\"'))"
     # a one-element array binds the document to d, so that it is parsed once
-    return F.expr(f"get(transform(array(from_json({doc}, '{schema}')), d -> if(d is not null and {holds}, transform({over}, x -> {_struct(tool, fields)}), null)), 0)")
+    return F.expr(f"flatten(transform({mine}, j -> coalesce(get(transform(array(from_json(j.text, '{schema}')), d -> if(d is not null and {holds}, transform({over}, x -> {_struct(tool, fields, 'j')}), null)), 0), array())))")
 
 
 def _json_lines(name: str) -> Column:
     tool, schema, holds, fields = LINES[name]
-    return F.expr(f"transform(filter(transform(json_lines, l -> from_json(l, '{schema}')), x -> x is not null and {holds}), x -> {_struct(tool, fields)})")
+    mine = f"filter(json_lines, l -> contains(l.text, '\"{MARKS[name]}\"'))"
+    read = f"transform(array(from_json(l.text, '{schema}')), x -> if(x is not null and {holds}, {_struct(tool, fields, 'l')}, null))"
+    return F.expr(f"array_compact(flatten(transform({mine}, l -> {read})))")
 
 
-def _row(tool: str, **columns: Column) -> Column:
-    return F.struct(F.lit(tool).alias("tool"), *(columns.get(c, F.lit(None)).try_cast(KINDS.get(c, "string")).alias(c) for c in OUT[2:]))
+def _row(tool: str, at: tuple[Column, Column] | None = None, **columns: Column) -> Column:
+    start, end = at or (F.lit(0), F.lit(0))
+    return F.struct(F.lit(tool).alias("tool"), *(columns.get(c, F.lit(None)).try_cast(KINDS.get(c, "string")).alias(c) for c in OUT[2:]), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
 def _elements(mark: str, pattern: str) -> Column:
     return F.when(F.contains(F.col("raw"), F.lit(mark)), F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)))
 
 
+def _region(mark: str) -> tuple[Column, Column]:
+    """The lines from the first mark on to the last closing tag."""
+    lines = lambda x: F.size(F.split(x, "\n", -1))
+    return lines(F.substring_index("raw", mark, 1)) - 1, lines(F.col("raw")) - lines(F.substring_index("raw", "</", -1))
+
+
+def _marked_lines(mark: str, pattern: str) -> Column:
+    """(n, text) of the lines that a pattern finds."""
+    numbered = F.transform(F.split("raw", "\n", -1), lambda x, i: F.struct(i.alias("n"), x.alias("text")))
+    return F.when(F.contains(F.col("raw"), F.lit(mark)), F.filter(numbered, lambda x: x["text"].rlike(pattern)))
+
+
 def _xml_text(text: Column) -> Column:
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#xA;", "\n"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(plain))
@@ -114,7 +165,7 @@ def junit_xml() -> Column:
 
     def read(e: Column) -> Column:
         head, fail = F.regexp_extract(e, "(?s)^<testcase[^>]*>", 0), F.regexp_extract(e, "(?s)<(?:failure|error)[^>]*>", 0)
-        return _row("junit", file=_attribute(head, "file"), line=_attribute(head, "line"), subject=_attribute(head, "name"), message=F.coalesce(_attribute(fail, "message"), _body(e, "failure|error")))
+        return _row("junit", _region("<testsuite"), file=_attribute(head, "file"), line=_attribute(head, "line"), subject=_attribute(head, "name"), message=F.coalesce(_attribute(fail, "message"), _body(e, "failure|error")))
 
     return F.transform(cases, read)
 
@@ -122,7 +173,7 @@ def junit_xml() -> Column:
 def checkstyle_xml() -> Column:
     def read(f: Column) -> Column:
         errors = F.filter(F.regexp_extract_all(f, F.lit(r"<error\b[^>]*/>"), F.lit(0)), lambda e: _attribute(e, "severity") == "error")
-        return F.transform(errors, lambda e: _row("checkstyle", file=_attribute(f, "name"), line=_attribute(e, "line"), col=_attribute(e, "column"), code=_attribute(e, "source"), message=_attribute(e, "message")))
+        return F.transform(errors, lambda e: _row("checkstyle", _region("<checkstyle"), file=_attribute(f, "name"), line=_attribute(e, "line"), col=_attribute(e, "column"), code=_attribute(e, "source"), message=_attribute(e, "message")))
 
     return F.flatten(F.transform(_elements("<checkstyle", r"(?s)<file\b[^>]*>.*?</file>"), read))
 
@@ -131,7 +182,7 @@ def trx() -> Column:
     """Failed results of test runs, with the place that the stack trace names first."""
     failed = F.filter(_elements("<UnitTestResult", r"(?s)<UnitTestResult\b[^>]*[^/]>.*?</UnitTestResult>"), lambda e: F.regexp_extract(e, "(?s)^<[^>]*>", 0).contains('outcome="Failed"'))
     place = lambda e, i: F.nullif(F.regexp_extract(e, r" in (\S.*?):line (\d+)", i), F.lit(""))
-    return F.transform(failed, lambda e: _row("dotnet test", file=place(e, 1), line=place(e, 2), subject=_attribute(F.regexp_extract(e, "(?s)^<[^>]*>", 0), "testName"), message=_body(e, "Message")))
+    return F.transform(failed, lambda e: _row("dotnet test", _region("<UnitTestResult"), file=place(e, 1), line=place(e, 2), subject=_attribute(F.regexp_extract(e, "(?s)^<[^>]*>", 0), "testName"), message=_body(e, "Message")))
 
 
 def github_annotations() -> Column:
@@ -142,11 +193,12 @@ def github_annotations() -> Column:
             text = F.replace(text, F.lit(code), F.lit(plain))
         return text
 
-    def read(text: Column) -> Column:
+    def read(line: Column) -> Column:
+        text = line["text"]
         props = F.str_to_map(F.regexp_extract(text, r"^::error ?(.*?)::", 1), F.lit(","), F.lit("="))
-        return _row("github", file=decoded(props["file"]), line=props["line"], col=props["col"], code=decoded(props["title"]), message=decoded(F.regexp_extract(text, r"^::error.*?::(.*)$", 1)))
+        return _row("github", (line["n"], line["n"]), file=decoded(props["file"]), line=props["line"], col=props["col"], code=decoded(props["title"]), message=decoded(F.regexp_extract(text, r"^::error.*?::(.*)$", 1)))
 
-    return F.transform(_elements("::error", r"(?m)^::error[ :].*$"), read)
+    return F.transform(_marked_lines("::error", "^::error[ :]"), read)
 
 
 def teamcity() -> Column:
@@ -160,7 +212,8 @@ def teamcity() -> Column:
 
     # the details' first line that is a place alone
     place = lambda x, i: F.nullif(F.regexp_extract(value(x, "details"), r"(?m)^\s*(\S+):(\d+)\s*$", i), F.lit(""))
-    return F.transform(_elements("##teamcity[testFailed ", r"(?m)^##teamcity\[testFailed .*$"), lambda x: _row("teamcity", file=place(x, 1), line=place(x, 2), subject=value(x, "name"), message=value(x, "message")))
+    read = lambda e, x: _row("teamcity", (e["n"], e["n"]), file=place(x, 1), line=place(x, 2), subject=value(x, "name"), message=value(x, "message"))
+    return F.transform(_marked_lines("##teamcity[testFailed ", r"^##teamcity\[testFailed "), lambda e: read(e, e["text"]))
 
 
 def azure_logissue() -> Column:
@@ -171,11 +224,12 @@ def azure_logissue() -> Column:
             text = F.replace(text, F.lit(code), F.lit(plain))
         return text
 
-    def read(text: Column) -> Column:
+    def read(line: Column) -> Column:
+        text = line["text"]
         props = F.str_to_map(F.regexp_extract(text, r"^##vso\[task\.logissue ([^\]]*)\]", 1), F.lit(";"), F.lit("="))
-        return _row("azure", file=decoded(props["sourcepath"]), line=props["linenumber"], col=props["columnnumber"], code=decoded(props["code"]), message=decoded(F.regexp_extract(text, r"^[^\]]*\](.*)$", 1)))
+        return _row("azure", (line["n"], line["n"]), file=decoded(props["sourcepath"]), line=props["linenumber"], col=props["columnnumber"], code=decoded(props["code"]), message=decoded(F.regexp_extract(text, r"^[^\]]*\](.*)$", 1)))
 
-    return F.transform(_elements("##vso[task.logissue ", r"(?m)^##vso\[task\.logissue [^\]\n]*type=error[^\]\n]*\].*$"), read)
+    return F.transform(_marked_lines("##vso[task.logissue ", r"^##vso\[task\.logissue [^\]]*type=error[^\]]*\]"), read)
 
 
 def _expressions() -> dict[str, Column]:
@@ -204,18 +258,20 @@ NAMES = (*JSON, *LINES, "junit_xml", "checkstyle_xml", "trx", "teamcity", "githu
 DOCUMENTS = {n: _reader(n) for n in NAMES} | {"go_test_json": go_test_json}
 
 
-def located(logs: DataFrame) -> DataFrame:
-    """What all documents of the logs say, as parsing.located gives it: documents come before lines, in the order of NAMES."""
+def _tool(name: str) -> str:
+    own = {"junit_xml": "junit", "checkstyle_xml": "checkstyle", "trx": "dotnet test", "teamcity": "teamcity", "github_annotations": "github", "azure_logissue": "azure"}
+    return own[name] if name in own else (JSON.get(name) or LINES[name])[0]
+
+
+#: (name, tool, category) of the documents, which come before lines, in this order.
+SOURCES = tuple((n, _tool(n), "test" if n in TESTS else "lint") for n in NAMES)
+
 
-    def marked(i: int, name: str, each: Column) -> Column:
-        extra = (F.lit(i - len(NAMES)).alias("reader"), F.lit(name).alias("reader_name"), F.lit("test" if name in TESTS else "lint").alias("category"))
-        return F.coalesce(F.transform(each, lambda x: F.struct(*extra, *(x[c].alias(c) for c in OUT[1:]))), F.array())
+def found(logs: DataFrame) -> DataFrame:
+    """Adds docs: what all documents of a log say, as hits with the lines of their document; readers count from -len(NAMES) on."""
 
-    found = [marked(i, name, each) for i, (name, each) in enumerate(_expressions().items())]
-    rows = prepared(logs).select("log_id", F.posexplode(F.concat(*found)).alias("n", "r")).select("log_id", "n", "r.*")
-    title, none = F.coalesce("code", "subject", "category"), F.lit(None).cast("string")
-    positive = lambda c: F.when(F.col(c) >= 1, F.col(c))
-    return rows.select(
-        "log_id", "reader", "reader_name", "tool", "category", F.nullif("file", F.lit("")).alias("file"), positive("line").alias("line"), F.when(F.col("line") >= 1, positive("col")).alias("col"), "code", "subject", none.alias("label"),
-        F.lit("error").alias("severity"), T.collapse_repeats(F.coalesce("message", F.lit(""))).alias("message"), F.col("n").alias("line_no"), title.alias("title"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("evidence"),
-    )
+    cells = {c: f"nullif(cast(x.{c} as string), '')" for c in OUT[2:]}
+    row = lambda i: blocks.struct(i - len(NAMES), "document", cells, end="x.end", n="k", line="x.start")
+    every = ", ".join(f"coalesce(transform(doc{i}, (x, k) -> {row(i)}), array())" for i in range(len(NAMES)))
+    rows = prepared(logs).withColumns({f"doc{i}": each for i, each in enumerate(_expressions().values())})
+    return rows.withColumn("docs", F.expr(f"concat({every})")).drop("json", "json_lines", *(f"doc{i}" for i in range(len(NAMES))))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .readers import FIELDS, READERS, Reader
+from . import blocks
+from .readers import READERS, Reader
 
 CI_STAMP = r"^(?:[^\t\n]*\t){0,3}\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z ?"
 #: Prefixes that CI systems and task runners put before each line.
@@ -17,6 +16,9 @@ WRAPPERS = (
     ("buildkite", r"^\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] "), ("syslog", r"^[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2} \S+ "),
 )
 
+#: Whether any line opens with a stamp or a wrapper: without one, no gate can open.
+MARKED = "(?m)" + "|".join((CI_STAMP, *(p for _, p in WRAPPERS)))
+
 
 def _prefix(head: Column, share: float) -> Column:
     """The pattern that lines are to lose, by the gates over the sampled lines; null if none opens."""
@@ -42,23 +44,22 @@ def normalised(logs: DataFrame) -> DataFrame:
 
     Where lines are redrawn by bare CRs, a CI prefix stands once a physical line, so it goes before the CRs become line ends.
     """
-    raw = T.strip_bom(F.coalesce("raw", F.lit("")))
-    logs = logs.withColumn("raw", T.strip_ansi(T.drop_redraws(raw)))
-    redrawn = F.when(F.col("raw").rlike(r"\r(?!\n)"), _prefix(_head(F.col("raw"), 200), 0.4))
-    logs = logs.withColumn("redrawn", redrawn).withColumn("raw", F.when(F.col("redrawn").isNull(), F.col("raw")).otherwise(F.regexp_replace("raw", F.concat(F.lit("(?dm)^(?:"), "redrawn", F.lit(")")), F.lit("")))).drop("redrawn")
-    logs = logs.withColumn("raw", unframed(T.unix_lines(F.col("raw"))))
+    logs = logs.withColumn("raw", T.strip_bom(F.coalesce("raw", F.lit(""))))
+    raw = F.col("raw")
+    only = lambda mark, change: F.when(mark, change).otherwise(raw)
+    logs = logs.withColumn("raw", only(raw.contains("\u001b") | raw.contains("\u009b") | raw.contains("\u009d"), T.strip_ansi(T.drop_redraws(raw))))
+    redrawn = F.when(raw.contains("\r"), F.when(raw.rlike(r"\r(?!\n)"), _prefix(_head(raw, 200), 0.4)))
+    logs = logs.withColumn("redrawn", redrawn).withColumn("raw", only(F.col("redrawn").isNotNull(), F.regexp_replace("raw", F.concat(F.lit("(?dm)^(?:"), "redrawn", F.lit(")")), F.lit("")))).drop("redrawn")
+    logs = logs.withColumn("raw", only(raw.contains("\r"), T.unix_lines(raw))).withColumn("raw", only(raw.contains("failed to solve:"), unframed(raw)))
     for sep in ("\n\n", "\n", "\n\n", "\n"):
-        logs = logs.withColumn("raw", T.once(F.col("raw"), sep))
+        logs = logs.withColumn("raw", T.once(raw, sep))
     return logs
 
 
 def routed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """Adds asked, the positions of the readers one of whose signals the log holds; readers without signals are always asked."""
-    wanted = []
-    for i, r in enumerate(readers):
-        holds = reduce(lambda a, b: a | b, (F.contains(F.col("raw"), F.lit(s)) for s in r.signals)) if r.signals else F.lit(True)
-        wanted.append(F.when(holds, F.lit(i)))
-    return logs.withColumn("asked", F.array_compact(F.array(*wanted)))
+    holds = lambda r: " or ".join(f"contains(raw, {T.quoted(s)})" for s in r.signals) or "true"
+    return logs.withColumn("asked", F.expr(f"array_compact(array({', '.join(f'if({holds(r)}, {i}, null)' for i, r in enumerate(readers))}))"))
 
 
 def lines(logs: DataFrame, *keep: str) -> DataFrame:
@@ -71,68 +72,87 @@ def gated(logs: DataFrame, share: float = 0.4, sample: int = 200) -> DataFrame:
 
     The gates look at the first sample non-blank lines inside the row, so nothing is shuffled.
     """
-    rows = logs.withColumn("head", _head(F.col("raw"), sample))
-    return rows.withColumn("prefix", _prefix(F.col("head"), share)).drop("head")
-
-
-def unwrapped(lined: DataFrame) -> DataFrame:
-    """The lines without their log's prefix; the lines of a log follow each other, so its pattern is compiled once."""
-    bare = F.regexp_replace("text", F.concat(F.lit("^"), "prefix"), F.lit(""))
-    return lined.withColumn("text", F.when(F.col("prefix").isNull(), F.col("text")).otherwise(bare)).drop("prefix")
-
-
-def _found(text: Column, pattern: str, groups: tuple[str, ...], name: str) -> Column:
-    got = [F.regexp_extract(text, pattern, i + 1) for i, g in enumerate(groups) if g == name]
-    if not got:
-        return F.lit(None).cast("string")
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in got))
+    rows = logs.withColumn("head", F.when(F.col("raw").rlike(MARKED), _head(F.col("raw"), sample)))
+    return rows.withColumn("prefix", F.when(F.col("head").isNotNull(), _prefix(F.col("head"), share))).drop("head")
 
 
-def _hit(i: int, kind: str, pattern: str, groups: tuple[str, ...], text: Column) -> Column:
-    return F.when(text.rlike(pattern), F.struct(F.lit(i).alias("reader"), F.lit(kind).alias("kind"), *(_found(text, pattern, groups, f).alias(f) for f in FIELDS)))
+def unwrapped(logs: DataFrame) -> DataFrame:
+    """logs whose lines have lost their log's prefix, so that line starts and documents are where the tool put them."""
+    bare = F.regexp_replace("raw", F.concat(F.lit("(?dm)^(?:"), "prefix", F.lit(")")), F.lit(""))
+    return logs.withColumn("raw", F.when(F.col("prefix").isNull(), F.col("raw")).otherwise(bare)).drop("prefix")
 
 
-def hits(lined: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
-    """(log_id, line_no, reader, kind, fields) of every pattern of an asked reader that a line matches; one pass over the lines."""
-    found, text = [], F.col("text")
+def hits(units: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
+    """(log_id, line_no, reader, kind, fields, end_no) of every role that a line has for an asked reader, and what documents say (doc); one pass over the lines."""
+    found = []
     for i, r in enumerate(readers):
-        asked = F.array_contains("asked", i)
-        further = [("diagnostic", pattern, tuple(groups.split())) for pattern, groups in r.alts]
-        for kind, pattern, groups in (("diagnostic", r.pattern, r.groups), *further, ("heading", r.heading, ("file",)), ("at", r.at, r.at_groups)):
-            if pattern:
-                found.append(F.when(asked, _hit(i, kind, pattern, groups, text)))
-    return lined.select("log_id", "line_no", F.inline(F.array_compact(F.array(*found))))
-
-
-def located(found: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
-    """Failures in order: diagnostics with the heading above them and the place near them, and only errors."""
-    by = Window.partitionBy("log_id", "reader").orderBy("line_no")
-    place = F.when(F.col("kind") == "at", F.struct("file", "line", "col", F.col("line_no").alias("n")))
-    far = max(abs(r.reach) for r in readers)
-    rows = (
-        found.withColumn("above", F.last(F.when(F.col("kind") == "heading", F.col("file")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("after", F.first(place, ignorenulls=True).over(by.rangeBetween(1, far)))
-        .withColumn("before", F.last(place, ignorenulls=True).over(by.rangeBetween(-far, -1)))
-        .where("kind = 'diagnostic'")
-    )
-    index = lambda f: F.get(F.array(*(F.lit(f(r)) for r in readers)), F.col("reader"))
+        if r.block:
+            mine = blocks.roles(i, r)
+        else:
+            further = [("diagnostic", pattern, tuple(groups.split())) for pattern, groups in r.alts]
+            mine = [blocks.when(i, kind, pattern, groups) for kind, pattern, groups in (("diagnostic", r.pattern, r.groups), *further, ("heading", r.heading, ("file",)), ("at", r.at, r.at_groups)) if pattern]
+        found += [f"if(array_contains(asked, {i}), {x}, null)" for x in mine]
+    each = F.expr(f"array_compact(array({', '.join(found)}))")
+    if "doc" in units.columns:
+        each = F.when(F.col("doc").isNotNull(), F.array("doc")).otherwise(each)
+    return units.select("log_id", "line_no", F.inline(each))
+
+
+def narrowed(rows: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
+    """Readers of blocks are asked only where a block opens, since any line may be part of one."""
+    rows_of = lambda r: F.col("raw").rlike("(?m)" + (r.block.opens or r.pattern)) | F.col("raw").rlike("(?m)" + r.pattern)
+    mine = {i: rows_of(r) for i, r in enumerate(readers) if r.block and not r.block.events}
+    if not mine:
+        return rows
+    keep = F.array_compact(F.array(*(F.when(F.array_contains("asked", i) & ~holds, F.lit(i)) for i, holds in mine.items())))
+    return rows.withColumn("asked", F.array_except("asked", keep))
+
+
+def located(found: DataFrame, readers: tuple[Reader, ...] = READERS, sources: tuple = ()) -> DataFrame:
+    """Failures in order: diagnostics with the heading above them and the place near them, blocks, and what documents say; only errors. found: hits, dealt by log.
+
+    sources: (name, tool, category) of documents, whose rows count readers from -len(sources) on.
+    """
+    def index(f, g=lambda s: None) -> Column:
+        return F.expr(f"get(array({', '.join(blocks.literal(x) for x in (*(g(s) for s in sources), *(f(r) for r in readers)))}), reader + {len(sources)})")
+
+    kinds = ["diagnostic", "document"]
+    rows = found
+    none = F.lit(None).cast("struct<file:string,line:string,col:string,n:int>")
+    extra = {"above": F.lit(None).cast("string"), "after": none, "before": none}
+    single = [r for r in readers if not r.block]
+    # the nearest place is a running last, forwards or backwards; at one line, diagnostics come first
+    place = F.struct("file", "line", "col", F.col("line_no").alias("n"))
+    last = lambda kind, x, order: F.last(F.when(F.col("kind") == kind, x), ignorenulls=True).over(Window.partitionBy("log_id", "reader").orderBy(order, F.col("kind") == "at").rowsBetween(Window.unboundedPreceding, -1))
+    if any(r.heading for r in single):
+        extra["above"] = last("heading", F.col("file"), F.col("line_no"))
+    if any(r.reach < 0 for r in single):
+        extra["before"] = last("at", place, F.col("line_no"))
+    if any(r.reach > 0 for r in single):
+        extra["after"] = last("at", place, F.col("line_no").desc())
+    rows = rows.where(F.col("kind").isin(*kinds, "heading", "at")).withColumns(extra).where(F.col("kind").isin(kinds))
     reach, text = index(lambda r: r.reach), lambda key: index(lambda r: r.constants.get(key))
     near = F.when((reach > 0) & (F.col("after.n") - F.col("line_no") <= reach), F.col("after")).when((reach < 0) & (F.col("line_no") - F.col("before.n") <= -reach), F.col("before"))
     rows = rows.withColumn("near", near)
+    file = F.coalesce("file", "near.file", F.when(index(lambda r: r.heading != "", lambda s: False), F.col("above")))
+    rows = rows.select(
+        "log_id", "reader", file.alias("file"), F.coalesce("line", "near.line").alias("line"), F.coalesce("col", "near.col").alias("col"), "code", "subject", "label", "severity", "message", "line_no", "n",
+        F.least("line_no", F.coalesce("near.n", "line_no")).alias("start"), F.greatest("line_no", F.coalesce("near.n", "end_no", "line_no")).alias("end"),
+    )
+    if any(r.block for r in readers):
+        rows = rows.unionByName(blocks.paired(blocks.sessions(found, readers), found, readers))
     number = lambda c: F.expr(f"try_cast({c} as int)")
     positive = lambda c: F.when(c >= 1, c)
-    file = F.coalesce("file", "near.file", F.when(index(lambda r: r.heading != ""), F.col("above")))
     rows = rows.select(
-        "log_id", "reader", index(lambda r: r.name).alias("reader_name"), index(lambda r: r.tool).alias("tool"), index(lambda r: r.category).alias("category"),
-        file.alias("file"), positive(F.coalesce(number("line"), number("near.line"))).alias("line"), positive(F.coalesce(number("col"), number("near.col"))).alias("col"),
-        "code", "subject", F.coalesce("label", text("label").cast("string")).alias("label"), F.lower(F.coalesce("severity", F.lit(""))).alias("severity"),
-        T.collapse_repeats(F.coalesce("message", text("message").cast("string"), F.lit(""))).alias("message"), "line_no", F.col("near.n").alias("near_no"),
+        "log_id", "reader", index(lambda r: r.name, lambda s: s[0]).alias("reader_name"), index(lambda r: r.tool, lambda s: s[1]).alias("tool"), index(lambda r: r.category, lambda s: s[2]).alias("category"),
+        F.nullif("file", F.lit("")).alias("file"), positive(number("line")).alias("line"), positive(number("col")).alias("col"), "code", "subject", F.coalesce("label", text("label").cast("string")).alias("label"),
+        F.lower(F.coalesce("severity", F.lit(""))).alias("severity"), T.collapse_repeats(F.coalesce("message", text("message").cast("string"), F.lit(""))).alias("message"), "line_no", "n",
+        F.struct((F.col("start") + 1).cast("int").alias("start"), (F.col("end") + 1).cast("int").alias("end")).alias("evidence"),
     )
-    errors = index(lambda r: ",".join(r.errors))
+    errors = index(lambda r: ",".join(r.errors), lambda s: "")
     rows = rows.where(F.array_contains(F.split(errors, ","), F.col("severity"))).withColumn("severity", F.lit("error"))
     title = F.coalesce("code", "subject", "label", "category")
-    evidence = F.struct((F.least("line_no", F.coalesce("near_no", "line_no")) + 1).alias("start"), (F.greatest("line_no", F.coalesce("near_no", "line_no")) + 1).alias("end"))
-    return rows.withColumn("col", F.when(F.col("line").isNotNull(), F.col("col"))).withColumn("title", title).withColumn("evidence", evidence).drop("near_no")
+    return rows.withColumn("col", F.when(F.col("line").isNotNull(), F.col("col"))).withColumn("title", title)
 
 
 KEY = ("log_id", "reader", "file", "line", "col", "title", "message")
@@ -149,14 +169,26 @@ def deduplicated(failures: DataFrame) -> DataFrame:
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when((F.size(acc) > 0) & (x["start"] <= last["end"] + 1), F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
-    rows = rows.withColumn("places", F.slice(F.aggregate("spans", start, merge), 1, 8)).drop("spans")
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("log_id", "reader").orderBy("line_no", "title", "message")))
+    merged = F.when(F.size("spans") == 1, F.col("spans")).otherwise(F.slice(F.aggregate("spans", start, merge), 1, 8))
+    rows = rows.withColumn("places", merged).drop("spans")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("log_id", "reader").orderBy("line_no", "n", "title", "message"))).drop("n")
+
 
+def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS, documents=None) -> DataFrame:
+    """Failures of all readers of all logs, and of the documents that documents reads (its SOURCES and found). logs: log_id, raw and, for command hints, argv.
 
-def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS, further=None) -> DataFrame:
-    """Failures of all readers of all logs, and of further(normalised logs), which gives rows as located does. logs: log_id, raw and, for command hints, argv."""
-    clean = normalised(logs)
-    found = hits(unwrapped(lines(gated(routed(clean, readers)), "asked", "prefix")), readers)
+    A log is read once: its lines and what its documents say leave it as rows of one kind.
+    """
+    rows = narrowed(unwrapped(gated(routed(normalised(logs), readers))), readers)
+    if documents is None:
+        units = lines(rows, "asked")
+    else:
+        rows = documents.found(rows)
+        kind = rows.schema["docs"].dataType.elementType
+        each = F.transform(F.split("raw", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("text"), F.lit(None).cast(kind).alias("doc")))
+        docs = F.transform("docs", lambda d: F.struct(d["line_no"].alias("line_no"), F.lit(None).cast("string").alias("text"), d.alias("doc")))
+        units = rows.select("log_id", "asked", F.inline(F.concat(each, docs)))
+        units = units.withColumn("doc", F.col("doc").dropFields("line_no"))
+    found = hits(units, readers)
     # only hits are shuffled, once: all that follows groups by log
-    rows = located(found.repartition("log_id"), readers)
-    return deduplicated(rows if further is None else rows.unionByName(further(clean)))
+    return deduplicated(located(found.repartition("log_id"), readers, documents.SOURCES if documents else ()))

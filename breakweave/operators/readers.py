@@ -12,6 +12,30 @@ from dataclasses import dataclass, field
 FIELDS = ("file", "line", "col", "severity", "code", "subject", "label", "message")
 
 
+@dataclass(frozen=True)
+class Block:
+    """Lines that belong together: the reader's pattern (or opens, where the pattern reads a summary line) opens a block, its at names places.
+
+    closes: a line that ends a block; region: a line after which alone blocks count; says: a line of the message, of which the first most are kept; stop: a line after which nothing is said;
+    spare: a line that is the message where nothing else is; names: lines right below the opening that go on with the name; keys: lines that name the test which the next ones belong to.
+    last: the last place counts, not the first; needs: a block that says nothing and names no place is none; events: lines are test2json events.
+    """
+
+    opens: str = ""
+    opens_groups: tuple[str, ...] = ("subject",)
+    closes: str = ""
+    region: str = ""
+    says: str = ""
+    most: int = 4
+    stop: str = ""
+    spare: str = ""
+    names: str = ""
+    keys: str = ""
+    last: bool = False
+    needs: bool = False
+    events: bool = False
+
+
 @dataclass(frozen=True)
 class Reader:
     name: str
@@ -28,6 +52,7 @@ class Reader:
     alts: tuple[tuple[str, str], ...] = ()
     errors: tuple[str, ...] = ("error", "fatal", "e", "f", "failure", "")
     sample: tuple[str, ...] = ()
+    block: Block | None = None
 
     @property
     def tool(self) -> str:
@@ -41,7 +66,9 @@ def _r(name, category, signals, pattern, groups, sample, **more):
 LOC = r"([^\s:()'\"]+):(\d+):(\d+)"
 #: sample lines use {file} {line} {col} {code} {message} {subject}
 READERS = (
-    _r("pytest", "test", ["FAILED ", "short test summary"], r"^(?:FAILED|ERROR) ([^\s:]+)::(\S+) - (.+)$", "file subject message", ["FAILED {file}::{subject} - {message}"], commands=("pytest", "py.test")),
+    _r("pytest", "test", ["FAILED ", "short test summary"], r"^(?:FAILED|ERROR) ([^\s:]+)::(\S+) - (.+)$", "file subject message", ["FAILED {file}::{subject} - {message}"], commands=("pytest", "py.test"),
+       alts=((r"^(?:FAILED|ERROR) ([^\s:]+)::(\S+)$", "file subject"), (r"^ERROR ([^\s:]+\.py)(?: - (.+))?$", "file message")), at=r'^(?:  File ")?([^\s"(].*?)(?:", line |:)(\d+)(?:, in .*|:\s*(?:in \S+|\w[\w.]*)?\s*)$', at_groups=("file", "line"),
+       block=Block(opens=r"^_{3,}\s+(.+?)\s+_{3,}$", closes=r"^=+ .* =+$", says=r"^E\s+(.*?)\s*$", most=40, spare=r"^((?:\w+\.)*\w*(?:Error|Exception|Exit|Interrupt|Warning|Failed)\b.*)$", last=True)),
     _r("node --test", "test", ["failureType:", "# Subtest: ", "duration_ms"], r"^\s*not ok \d+ - (.+)$", "subject", ["not ok 1 - {subject}", "  duration_ms: 1.5", "  location: '{file}:{line}:{col}'"], at=r"^\s+location: '([^']+):(\d+):(\d+)'", reach=6, constants={"message": "test failed"}, commands=("node",)),
     _r("bun test", "test", ["bun test v", "(fail) "], r"^\(fail\) (.+?)(?: \[[\d.]+ms\])?$", "subject", ["error: {message}", "      at <anonymous> ({file}:{line}:{col})", "(fail) {subject}"], at=r"^\s+at .*\(([^()\s:]+):(\d+):(\d+)\)", reach=-20, constants={"message": "test failed"}, commands=("bun",)),
     _r("bun", "runtime", ["Bun v"], r"^(?:error|(\w*Error)): (.+)$", "code message", ["error: {message}", "      at {file}:{line}:{col}", "Bun v1.1.0 (linux)"], at=r"^\s+at (?:.* \()?([^()\s:]+):(\d+):(\d+)\)?", reach=6, commands=("bun",)),
@@ -50,14 +77,18 @@ READERS = (
     _r("deno lint", "lint", ["(no-", "error[", "deno lint"], r"^" + LOC + r": (.+) \((no-[\w-]+)\)$", "file line col message code", ["deno lint", "{file}:{line}:{col}: {message} (no-{subject})"], commands=("deno",)),
     _r("deno fmt", "lint", ["deno fmt", "not formatted"], r"^from (\S+):$", "file", ["deno fmt", "from {file}:", "error: Found 1 not formatted file"], constants={"label": "format", "message": "not formatted"}),
     _r("playwright", "test", [" › "], r"^\s+\d+\) (?:\[\w+\] › )?([^\s:]+):(\d+):(\d+) › (.+?)\s*─*$", "file line col subject", ["  1) [chromium] › {file}:{line}:{col} › {subject} "], constants={"message": "test failed"}, commands=("playwright",)),
-    _r("jest", "test", ["FAIL "], r"^\s+● (.+)$", "subject", ["FAIL {file}", "  ● {subject}", "      at Object.<anonymous> ({file}:{line}:{col})"], heading=r"^(?:FAIL|PASS) (\S+)", at=r"^\s+at .*\(([^()\s:]+):(\d+):(\d+)\)", reach=40, constants={"message": "test failed"}, commands=("jest",)),
-    _r("mocha", "test", [" failing"], r"^  \d+\) (.+)$", "subject", ["  1 failing", "  1) {subject}", "      at Context.<anonymous> ({file}:{line}:{col})"], at=r"^\s+at .*\(([^()\s:]+):(\d+):(\d+)\)", reach=20, constants={"message": "test failed"}, commands=("mocha",)),
+    _r("jest", "test", ["FAIL "], r"^\s*● (.+?)\s*$", "subject", ["FAIL {file}", "  ● {subject}", "      at Object.<anonymous> ({file}:{line}:{col})"], heading=r"^\s*(?:FAIL|PASS) (?:\S+ )*?(?:\./)?([^\s()]+)(?: \([\d.]+ m?s\))?\s*$", at=r"^\s+at (?:.*\()?([^()\s:]+):(\d+):(\d+)\)?$",
+       block=Block(closes=r"^(?:\s*● (?:Console|Validation Warning|Deprecation Warning)|Test Suites:|Summary of all failing tests|::[a-z][\w-]*.*::)", says=r"^\s*+(?!\d+\s*\||>\s*\d+\s*\||\||\^+\s*$|at |[-+]\s*(?:Snapshot|Received|Expected)\s+[-+]\s*\d|@@ |Snapshot name:)(\S.*?)\s*$", most=3, last=True),
+       constants={"message": "test failed"}, commands=("jest",)),
+    _r("mocha", "test", [" failing"], r"^  \d+\) (.+)$", "subject", ["  1 failing", "  1) {subject}", "      at Context.<anonymous> ({file}:{line}:{col})"], at=r"^\s+at (?:.*\()?([^()\s:]+):(\d+):(\d+)\)?$",
+       block=Block(region=r"^\s*\d+ failing\b", names=r"^ {7,}(?!at |[-+] ?)(\S.*?)\s*$", says=r"^\s*+(?!\+ expected - actual|at )(\S.*?)\s*$", stop=r"^\s+at "), constants={"message": "test failed"}, commands=("mocha",)),
     _r("ava", "test", ["tests failed", "test failed"], r"^  ✘ \[fail\]: (.+)$", "subject", ["  ✘ [fail]: {subject}", "  {file}:{line}", "  1 test failed"], at=r"^  ([^\s:]+):(\d+)$", at_groups=("file", "line"), reach=12, constants={"message": "test failed"}, commands=("ava",)),
     _r("jasmine", "test", ["Jasmine", "Randomized with seed", "jasmine"], r"^\d+\) (.+)$", "subject", ["Failures:", "1) {subject}", "        at <Jasmine>", "        at UserContext.<anonymous> ({file}:{line}:{col})"], at=r"^\s+at .*\(([^()\s:]+):(\d+):(\d+)\)", reach=20, constants={"message": "test failed"}, commands=("jasmine",)),
     _r("rubocop", "lint", [": C: ", ": W: ", ": E: ", ": F: "], r"^" + LOC + r": ([CWEFR]): (?:\[Correctable\] )?([A-Z]\w+/\w+): (.+)$", "file line col severity code message", ["{file}:{line}:{col}: E: Lint/{code}: {message}"], errors=("e", "f", "c", "w", "r", "i"), commands=("rubocop",)),
     _r("tap", "test", ["TAP version"], r"^not ok \d+ - (.+)$", "subject", ["TAP version 14", "not ok 1 - {subject}", "  at:", "    {file}:{line}"], at=r"^\s+([^\s:]+):(\d+)$", at_groups=("file", "line"), reach=12, constants={"message": "test failed"}),
     _r("tap-text", "test", ["not ok "], r"^not ok \d+ - (.+)$", "subject", ["1..1", "not ok 1 - {subject}"], constants={"message": "test failed"}),
-    _r("vitest", "test", [" FAIL  "], r"^ FAIL  (\S+) > (.+)$", "file subject", [" FAIL  {file} > {subject}", " ❯ {file}:{line}:{col}"], at=r"^ ❯ (?:.* )?([^\s:]+):(\d+):(\d+)$", reach=12, constants={"message": "test failed"}, commands=("vitest",)),
+    _r("vitest", "test", [" FAIL  "], r"^\s*FAIL\s+(?:\|[^|]+\|\s+)?(\S+) > (.+?)\s*$", "file subject", [" FAIL  {file} > {subject}", " ❯ {file}:{line}:{col}"], at=r"^\s*❯ (?:.* )?([^\s:]+):(\d+):(\d+)$",
+       block=Block(closes=r"^\s*(?:Test Files|⎯[⎯ ]*(?:Failed|Unhandled)\b.*⎯)", says=r"^\s*+(?!❯|⎯|[-+] (?:Expected|Received)\b|\d+\s*\||\||\^)(\S.*?)\s*$", most=5, stop=r"^\s*❯"), constants={"message": "test failed"}, commands=("vitest",)),
     _r("unittest", "test", ["FAIL: ", "ERROR: "], r"^(?:FAIL|ERROR): (\w+) \([\w.]+\)$", "subject", ["FAIL: {subject} (pkg.Case)", '  File "{file}", line {line}, in {subject}', "AssertionError: {message}"], at=r'^  File "([^"]+)", line (\d+)', at_groups=("file", "line"), reach=12, constants={"message": "test failed"}, commands=("unittest",)),
     _r("python", "runtime", ["Traceback (most recent call last)"], r"^((?:\w+\.)*\w*(?:Error|Exception|Interrupt|Exit|Warning)): (.*)$", "code message", ["Traceback (most recent call last):", '  File "{file}", line {line}, in f', "{code}Error: {message}"], at=r'^  File "([^"]+)", line (\d+)', at_groups=("file", "line"), reach=-12, commands=("python", "python3")),
     _r("eslint", "lint", [" problem", " error ", ", Error - "], r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.+?)\s{2,}(\S+)$", "line col severity message code", ["{file}", "  {line}:{col}  error  {message}  rule-{code}", "1 problem"], heading=r"^((?:[A-Za-z]:)?[\w./\\@-]+\.(?:[cm]?[jt]sx?|vue|svelte))$", alts=((r"^(\S+): line (\d+), col (\d+), (Error|Warning) - (.+) \((\S+)\)$", "file line col severity message code"),), commands=("eslint",)),
@@ -107,7 +138,10 @@ READERS = (
     _r("cargo", "compile", ["error[E", " --> ", "panicked at ", "could not compile", "Compiling "], r"^error(?:\[(E\d{4})\])?: (.+)$", "code message", ["error[E00{line}0]: {message}", "  --> {file}:{line}:{col}"], at=r"^\s+--> ([^\s:]+):(\d+):(\d+)$", reach=4, alts=((r"^thread '(.+?)'(?: \(\d+\))? panicked at ([^\s:]+):(\d+):(\d+):$", "subject file line col"), (r"^thread '(.+?)' panicked at '(.+)', ([^\s:]+):(\d+):(\d+)$", "subject message file line col")), commands=("cargo", "rustc")),
     _r("gofmt", "lint", ["diff ", ".orig"], r"^diff (\S+)\.orig \S+$", "file", ["diff {file}.orig {file}"], constants={"label": "format", "message": "not formatted"}, commands=("gofmt",)),
     _r("go mod", "build", ["go.mod:"], r"^(?:go: errors parsing )?(go\.mod):(\d+): (.+)$", "file line message", ["go.mod:{line}: {message}"], constants={"label": "go.mod"}, commands=("go",)),
-    _r("go test", "test", ["--- FAIL: "], r"^\s*--- FAIL: (\S+) \(.+\)$", "subject", ["--- FAIL: {subject} (0.00s)", "    {file}_test.go:{line}: {message}"], at=r"^\s+([^\s:]+_test\.go):(\d+): ", at_groups=("file", "line"), reach=12, constants={"message": "test failed"}, commands=("go",)),
+    _r("go test json", "test", ['"Action":"'], r'"Action":"fail",.*"Test":"([^"]+)"', "subject", ['{"Action":"output","Package":"p","Test":"{subject}","Output":"    {file}_test.go:{line}: {message}\\n"}', '{"Action":"fail","Package":"p","Test":"{subject}"}'],
+       at=r'"Output":"\s+([^\s:]+_test\.go):(\d+): ([^"]*)\\n"', at_groups=("file", "line", "message"), block=Block(events=True, needs=True), constants={"tool": "go test"}, commands=("go",)),
+    _r("go test", "test", ["--- FAIL: "], r"^\s*--- FAIL: (\S+)(?: \(.+\))?$", "subject", ["--- FAIL: {subject} (0.00s)", "    {file}_test.go:{line}: {message}"], at=r"^\s+([\w./\\-]+\.go):(\d+)(?:: ?(.*)| \+0x[0-9a-f]+)$", at_groups=("file", "line", "message"),
+       block=Block(closes=r"^(?:(?:FAIL|ok)\s+\S+\s+(?:[\d.]+s|\(cached\))|FAIL|PASS)\s*$", keys=r"^\s*(?:=== (?:RUN|PAUSE|CONT|NAME)\s+|--- (?:PASS|SKIP): )(\S+)", says=r"^(panic: .+?)(?:\s\[recovered.*\])?$", needs=True), constants={"message": "test failed"}, commands=("go",)),
     _r("go", "compile", [".go:"], r"^(?:vet: )?(?:\./)?([^\s:]+\.go):(\d+):(\d+): (.+)$", "file line col message", ["./{file}.go:{line}:{col}: {message}"], constants={"label": "go"}, commands=("go",)),
     _r("esbuild", "compile", ["✘ [ERROR]"], r"^✘ \[ERROR\] (.+)$", "message", ["✘ [ERROR] {message}", "    {file}:{line}:{col}:"], at=r"^\s+([^\s:]+):(\d+):(\d+):$", reach=4, constants={"label": "esbuild"}, commands=("esbuild",)),
     _r("vite", "compile", ["error during build:"], r"^\[([A-Z_]+)\] (.+)$", "code message", ["error during build:", "[PARSE_ERROR] {message}", " ╭─[ {file}:{line}:{col} ]"], at=r"╭─\[ ([^\s:]+):(\d+):(\d+) \]", reach=4, commands=("vite",)),

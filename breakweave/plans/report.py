@@ -16,7 +16,7 @@ SHOWN = ("ord", "file", "line", "col", "title", "code", "subject", "label", "cat
 
 def analysed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """Failures of all logs with their role. logs: log_id, raw, argv."""
-    return ownership.winners(parsing.parsed(logs, readers, documents.located), ownership.hinted(logs, readers))
+    return ownership.winners(parsing.parsed(logs, readers, documents), ownership.hinted(logs, readers))
 
 
 def reports(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:

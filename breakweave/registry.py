@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import document_queries
+from . import block_queries, document_queries
 from .functions import text as T
 from .operators import capture, clusters, history, ownership, parsing
 from .operators.readers import READERS, Reader
@@ -305,8 +305,8 @@ select cast(l_orderkey as varchar) as log_id, count(*) as kept, max(t) > 400 as
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in _ENTRIES.items()} | {_key(r.name): _reader_query(r) for r in READERS} | document_queries.queries()
+    return {name: q for name, (q, _) in _ENTRIES.items()} | {_key(r.name): _reader_query(r) for r in READERS} | document_queries.queries() | block_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ENTRIES.items() if sql} | {_key(r.name): _reader_sql(r) for r in READERS} | document_queries.oracle_sql()
+    return {name: sql for name, (_, sql) in _ENTRIES.items() if sql} | {_key(r.name): _reader_sql(r) for r in READERS} | document_queries.oracle_sql() | block_queries.oracle_sql()
