@@ -65,6 +65,8 @@ def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, per_class: int, max_bytes: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, y), and the columns of docs named in keep, of at most per_class rows of either label, those with the lowest hash of the id, as far as max_bytes of their whole texts go.
 
+    Texts of more than a twentieth of max_bytes come after all others of their label, so that a few of them never crowd the others out, and a label's first row always stays. So a label that has rows with a text keeps some, whatever their sizes.
+
     The choice is made on labels alone, which has no texts, so that only the chosen texts are fetched.
     The bound is per_class, so the broadcast of the chosen ids is bounded too. Ids that recur count once.
     """
@@ -76,5 +78,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Col
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     rows = texts(docs, *keep).join(F.broadcast(chosen), "doc_id")
-    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("upto", F.sum(F.octet_length("text")).over(so_far)).where(F.col("upto") <= max_bytes).drop("upto")
+    size = F.octet_length("text")
+    order = (size > max_bytes // 20, F.xxhash64("doc_id"), "doc_id", F.length("text"), F.xxhash64("text"))
+    by = Window.partitionBy("y").orderBy(*order)
+    rows = rows.withColumn("upto", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(by))
+    return rows.where((F.col("upto") <= max_bytes) | (F.col("nth") == 1)).drop("upto", "nth")
