@@ -184,10 +184,11 @@ def runs_taken(taken: list) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def mix_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int = 11) -> DataFrame:
+def mix_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096, seed: int = 11, most: int = 4_000_000) -> DataFrame:
     """The mix as documents: (doc_id, text, lang, source, n_chars, shard, slot), a row for each pass that takes a document, or for each run of its words where a pass takes only some of its blocks.
 
     Rows are dealt out by shard and lie in the order of their slots. Only ids, blocks and slots are joined by block; texts are moved twice, to their runs and to their shard.
+    A task hands on its rows as soon as they hold some most characters.
     """
     rows = named(docs)
     sizes = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("size"), F.col("k1").alias("tie"), "k1", "k2")
@@ -204,14 +205,19 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096,
         import re
 
         word = re.compile(WORDS)
+        names = ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for doc, text, lang, source, taken in pdf.itertuples(index=False, name=None):
                 starts = [m.start() for m in word.finditer(text)]
                 for shard, slot, lo, hi in runs_taken(taken):
                     stretch = text[0 if lo == 0 else starts[lo] : len(text) if hi == len(starts) else starts[hi]]
                     out.append((doc, stretch, lang, source, len(stretch), shard, slot))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"])
+                    held += len(stretch)
+                if held > most:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     mixed = joined.mapInPandas(cut, "doc_id long, text string, lang string, source string, n_chars long, shard long, slot long")
     return mixed.repartition("shard").sortWithinPartitions("shard", "slot")
