@@ -158,10 +158,8 @@ def located(found: DataFrame, readers: tuple[Reader, ...] = READERS, sources: tu
 KEY = ("log_id", "reader", "file", "line", "col", "title", "message")
 
 
-def deduplicated(failures: DataFrame) -> DataFrame:
-    """One failure for each place, title and message of a reader: the first; ord numbers them, places holds the evidence of all, merged."""
-    rest = [c for c in failures.columns if c not in (*KEY, "evidence", "line_no")]
-    rows = failures.groupBy(*KEY).agg(F.min("line_no").alias("line_no"), *(F.min_by(c, "line_no").alias(c) for c in rest), F.sort_array(F.collect_set("evidence")).alias("spans"))
+def merged_spans(spans: Column, most: int = 8) -> Column:
+    """Sorted line ranges, those that touch as one; the first most."""
     start = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(acc: Column, x: Column) -> Column:
@@ -169,8 +167,14 @@ def deduplicated(failures: DataFrame) -> DataFrame:
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when((F.size(acc) > 0) & (x["start"] <= last["end"] + 1), F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
-    merged = F.when(F.size("spans") == 1, F.col("spans")).otherwise(F.slice(F.aggregate("spans", start, merge), 1, 8))
-    rows = rows.withColumn("places", merged).drop("spans")
+    return F.when(F.size(spans) == 1, spans).otherwise(F.slice(F.aggregate(spans, start, merge), 1, most))
+
+
+def deduplicated(failures: DataFrame) -> DataFrame:
+    """One failure for each place, title and message of a reader: the first; ord numbers them, places holds the evidence of all, merged."""
+    rest = [c for c in failures.columns if c not in (*KEY, "evidence", "line_no")]
+    rows = failures.groupBy(*KEY).agg(F.min("line_no").alias("line_no"), *(F.min_by(c, "line_no").alias(c) for c in rest), F.sort_array(F.collect_set("evidence")).alias("spans"))
+    rows = rows.withColumn("places", merged_spans(F.col("spans"))).drop("spans")
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("log_id", "reader").orderBy("line_no", "n", "title", "message"))).drop("n")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clusters as C
-from ..operators import documents, ownership, parsing
+from ..operators import documents, ownership, parsing, wrappers
 from ..operators.readers import READERS, Reader
 from ..operators.status import status
 
@@ -19,6 +19,12 @@ def analysed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFram
     return ownership.winners(parsing.parsed(logs, readers, documents), ownership.hinted(logs, readers))
 
 
+def unwrapped(logs: DataFrame, readers: tuple[Reader, ...] = READERS, layers: int = wrappers.LAYERS) -> DataFrame:
+    """As analysed, of logs whose lines may have prefixes of tasks or a shared beginning, up to so many layers; layers says how many of them were taken away."""
+    tried = wrappers.candidates(logs.select("log_id", "raw", "argv"), layers)
+    return wrappers.best(analysed(tried, readers), tried)
+
+
 def reports(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """One row a log: tool, summary, failures, what other tools add, status and, without any failure, why there is none. logs: log_id, raw, argv, exit_code, signal."""
     found = analysed(logs, readers)

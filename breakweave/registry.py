@@ -161,6 +161,15 @@ def failures_in_noise(spark, sf_dir):
     return report.analysed(logs).where("role = 'own'").select("log_id", "tool", "category", "file", "line", "col", "code", "subject", "message")
 
 
+def wrapped_logs(spark, sf_dir):
+    """Failures of logs whose lines carry a prefix: two tasks writing in turn in even orders, one literal in odd ones (but for logs of a line, which share nothing)."""
+    lines = F.split("raw", "\n", -1)
+    even, odd = F.transform(lines, lambda x: F.concat(F.lit("api-1  | "), x, F.lit("\nweb-1  | listening"))), F.transform(lines, lambda x: F.concat(F.lit("ci> "), x))
+    logs = mixed(spark, sf_dir).withColumn("raw", F.array_join(F.when((F.col("log_id").cast("long") % 2 == 0) | (F.size(lines) == 1), even).otherwise(odd), "\n"))
+    rows = report.unwrapped(logs, MIXED, 1).where("role = 'own'")
+    return rows.select("log_id", "tool", "category", "file", "line", "col", "code", "subject", "message", "layers")
+
+
 def top_causes(spark, sf_dir):
     """The first three causes of each log in order of size."""
     rows = summary.ordered(report.cause_report(mixed(spark, sf_dir), MIXED), 3).where("shown")
@@ -275,6 +284,7 @@ _ENTRIES = {
     "history_compare": (history_compare, f"with k as (select distinct tool as identity, {_CAUSE} as cause, cast(log_id as bigint) % 2 = 1 as now from {OWN}), g as (select identity, cause, bool_or(now) as n, bool_or(not now) as t from k group by 1, 2) select identity, count(*) filter (n and not t) as fresh, count(*) filter (n and t) as same, count(*) filter (t and not n) as gone from g group by 1"),
     "command_hints": (command_hints, "with k as (select distinct l_orderkey from lineitem) select cast(l_orderkey as varchar) as log_id, r as reader, h as hint from k join (values (0, 'pytest', 2), (0, 'python', 0), (1, 'tsc', 0)) v(m, r, h) on l_orderkey % 2 = m"),
     "secondaries": (secondaries, f"select 'pyright' as tool, count(*) as n from (select distinct l_orderkey, file, line, col from ({ITEMS}) where l_orderkey % 2 = 1) having count(*) > 0 union all select 'tsc' as tool, count(*) as n from (select distinct l_orderkey, file, line, col, message from ({ITEMS})) having count(*) > 0"),
+    "wrapped_logs": (wrapped_logs, f"select *, 1 as layers from {OWN}"),
     "failures_in_noise": (failures_in_noise, f"select * from {OWN}"),
     "top_causes": (top_causes, f"with k as (select log_id, {_CAUSE} as c, count(*) as n from {OWN} group by all), u as (select log_id, sum(case when n >= 3 then 1 else n end) as units, max(case when n >= 3 then n else 1 end) as largest from k group by 1) select log_id, cast(least(units, 3) as int) as shown, cast(largest as int) as largest, cast(largest as int) as first_size from u"),
     "cause_sites": (cause_sites, f"with k as (select log_id, {_CAUSE} as cause, count(*) as cases, count(distinct concat_ws(':', file, line, col)) as sites, min(concat_ws(':', file, line, col)) as first_site from {OWN} group by all) select log_id, cause, cases, cast(sites as int) as sites, first_site, case when sites = cases then sites || ' site' || case when sites = 1 then '' else 's' end else cases || ' cases at ' || sites || ' site' || case when sites = 1 then '' else 's' end end as headline from k"),
