@@ -137,15 +137,17 @@ def paired(blocks: DataFrame, found: DataFrame, readers: tuple[Reader, ...]) ->
     if not mine:
         return blocks
     rest = [c for c in blocks.columns if c not in ("log_id", "reader")]
-    lines = found.where(F.col("reader").isin(mine) & (F.col("kind") == "summary"))
-    lines = lines.select("log_id", "reader", *(F.col("line_no").alias(c) if c in ("start", "end") else F.col(c) for c in rest), F.lit(1).alias("side"))
+    log = Window.partitionBy("log_id", "reader")
+    lines = found.where(F.col("reader").isin(mine) & F.col("kind").isin("summary", "open")).withColumn("opens", F.max(F.col("kind") == "open").over(log)).where("kind = 'summary'")
+    lines = lines.select("log_id", "reader", *(F.col("line_no").alias(c) if c in ("start", "end") else F.col(c) for c in rest), "opens")
+    # a log without blocks has nothing to pair
+    alone = lines.where(~F.col("opens")).drop("opens").withColumn("subject", F.coalesce("subject", "file"))
     name = reduce(lambda text, p: F.regexp_replace(text, *p), ((r"^ERROR (?:collecting|at (?:setup|teardown) of) ", ""), ("::", ".")), F.coalesce("subject", "file"))
-    both = blocks.withColumn("side", F.lit(0)).where(F.col("reader").isin(mine)).unionByName(lines).withColumn("name", name)
+    both = blocks.where(F.col("reader").isin(mine)).withColumn("side", F.lit(0)).unionByName(lines.where("opens").drop("opens").withColumn("side", F.lit(1))).withColumn("name", name)
     both = both.withColumn("nth", F.row_number().over(Window.partitionBy("log_id", "reader", "name", "side").orderBy("line_no")))
-    first = lambda side, c: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
-    met = both.groupBy("log_id", "reader", "name", "nth").agg(
-        *(F.coalesce(first(1, c), first(0, "name") if c == "subject" else first(0, c)).alias(c) if c in ("subject", "severity", "label") else F.coalesce(first(0, c), first(1, c)).alias(c) for c in rest),
-        first(1, "file").alias("listed"), F.max(F.when(F.col("side") == 0, 1)).alias("block"),
-    )
-    met = met.withColumn("file", F.coalesce("file", "listed")).select(*blocks.columns)
-    return met.unionByName(blocks.where(~F.col("reader").isin(mine)))
+    of = lambda side, label: F.max(F.when(F.col("side") == side, F.struct(*rest))).alias(label)
+    met = both.groupBy("log_id", "reader", "name", "nth").agg(of(0, "b"), of(1, "s"))
+    summary_first = {"severity", "label"}
+    pick = lambda c: F.coalesce(f"s.{c}", f"b.{c}") if c in summary_first else F.coalesce(f"b.{c}", f"s.{c}")
+    met = met.select("log_id", "reader", *((F.coalesce("s.subject", "name") if c == "subject" else pick(c)).alias(c) for c in rest))
+    return met.select(*blocks.columns).unionByName(alone.select(*blocks.columns)).unionByName(blocks.where(~F.col("reader").isin(mine)))
