@@ -83,7 +83,7 @@ def unwrapped(logs: DataFrame) -> DataFrame:
 
 
 def hits(units: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
-    """(log_id, line_no, reader, kind, fields, end_no) of every role that a line has for an asked reader, and what documents say (doc); one pass over the lines."""
+    """(log_id, line_no, hits): every role (reader, kind, fields, end_no, n) that a line has for an asked reader, and what documents say (doc), of lines that have one; one pass over the lines."""
     found = []
     for i, r in enumerate(readers):
         if r.block:
@@ -95,7 +95,7 @@ def hits(units: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     each = F.expr(f"array_compact(array({', '.join(found)}))")
     if "doc" in units.columns:
         each = F.when(F.col("doc").isNotNull(), F.array("doc")).otherwise(each)
-    return units.select("log_id", "line_no", F.inline(each))
+    return units.select("log_id", "line_no", each.alias("hits")).where("size(hits) > 0")
 
 
 def narrowed(rows: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
@@ -194,5 +194,6 @@ def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS, documents=Non
         units = rows.select("log_id", "asked", F.inline(F.concat(each, docs)))
         units = units.withColumn("doc", F.col("doc").dropFields("line_no"))
     found = hits(units, readers)
-    # only hits are shuffled, once: all that follows groups by log
-    return deduplicated(located(found.repartition("log_id"), readers, documents.SOURCES if documents else ()))
+    # only lines with hits are shuffled, once: all that follows groups by log; hits are spread after the shuffle, so that lone lines and blocks read the same one
+    found = found.repartition("log_id").select("log_id", "line_no", F.inline("hits"))
+    return deduplicated(located(found, readers, documents.SOURCES if documents else ()))
