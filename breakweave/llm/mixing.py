@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096,
     """The mix as documents: (doc_id, text, lang, source, n_chars, shard, slot), a row for each pass that takes a document, or for each run of its words where a pass takes only some of its blocks.
 
     Rows are dealt out by shard and lie in the order of their slots. Only ids, blocks and slots are joined by block; texts are moved twice, to their runs and to their shard.
-    A task hands on its rows as soon as they hold some most characters.
+    A task hands on its rows as soon as they hold some most characters, so that it never holds more than a batch as it came and that much of the mix.
     """
     rows = named(docs)
     sizes = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("size"), F.col("k1").alias("tie"), "k1", "k2")
@@ -201,25 +202,30 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = 4096,
     only = Window.partitionBy("k1", "k2").orderBy("k1")
     joined = rows.join(used.hint("merge"), ["k1", "k2"]).withColumn("n", F.row_number().over(only)).where("n = 1").select("doc_id", "text", "lang", "source", "taken")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         word = re.compile(WORDS)
-        names = ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
-        for pdf in batches:
-            out, held = [], 0
-            for doc, text, lang, source, taken in pdf.itertuples(index=False, name=None):
-                starts = [m.start() for m in word.finditer(text)]
-                for shard, slot, lo, hi in runs_taken(taken):
-                    stretch = text[0 if lo == 0 else starts[lo] : len(text) if hi == len(starts) else starts[hi]]
-                    out.append((doc, stretch, lang, source, len(stretch), shard, slot))
-                    held += len(stretch)
-                if held > most:
-                    yield pd.DataFrame(out, columns=names)
-                    out, held = [], 0
-            yield pd.DataFrame(out, columns=names)
-
-    mixed = joined.mapInPandas(cut, "doc_id long, text string, lang string, source string, n_chars long, shard long, slot long")
+        kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("shard", pa.int64()), ("slot", pa.int64())])
+        out: list[dict] = []
+        held = 0
+        for batch in batches:
+            # rows become Python values a few at a time; a batch stays in its Arrow buffers
+            for first in range(0, batch.num_rows, 64):
+                for row in batch.slice(first, 64).to_pylist():
+                    text = row["text"]
+                    starts = [m.start() for m in word.finditer(text)]
+                    for shard, slot, lo, hi in runs_taken(row["taken"]):
+                        stretch = text[0 if lo == 0 else starts[lo] : len(text) if hi == len(starts) else starts[hi]]
+                        out.append({"doc_id": row["doc_id"], "text": stretch, "lang": row["lang"], "source": row["source"], "n_chars": len(stretch), "shard": shard, "slot": slot})
+                        held += len(stretch)
+                    if held > most:
+                        yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    mixed = joined.mapInArrow(cut, "doc_id long, text string, lang string, source string, n_chars long, shard long, slot long")
     return mixed.repartition("shard").sortWithinPartitions("shard", "slot")
 
 
