@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .echoes import FACTS, bare, base, said
 from .readers import READERS, Reader
 
+#: Pairs of own and other failures up to which a log is compared within its row.
+PAIRS = 1 << 16
+
 
 def hinted(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """(log_id, reader, hint): the position in argv of a word that names the reader's command; python -m X counts as X."""
@@ -32,8 +36,6 @@ def winners(failures: DataFrame, hints: DataFrame | None = None) -> DataFrame:
 
 def _said(r: Column, m: Column) -> Column:
     """Whether the own failure m says what r of another tool says."""
-    base = lambda c: F.element_at(F.split(c, r"[/\\]"), -1)
-    bare = lambda c: F.regexp_replace(F.trim(c), r"[.\s]*(?:\[[^\]]*\][.\s]*)?$", "")
     either = lambda a, b, test: test(a, b) | test(b, a)
     free = lambda a, b: a.isNull() | b.isNull() | (a == b)
     place = (base(r["file"]) == base(m["file"])) & either(r["file"], m["file"], F.endswith) & r["line"].eqNullSafe(m["line"]) & free(r["col"], m["col"]) & free(r["code"], m["code"])
@@ -44,17 +46,27 @@ def _said(r: Column, m: Column) -> Column:
     return F.coalesce(located, F.lit(False)) | F.coalesce(same_text, F.lit(False)) | F.coalesce(echo, F.lit(False))
 
 
-def secondaries(ranked: DataFrame) -> DataFrame:
+def secondaries(ranked: DataFrame, pairs: int | None = PAIRS) -> DataFrame:
     """The failures that other readers add: anchored, and not what the log's own reader said about the same place or in the same lines.
 
     Located: same file and line, no differing column or code, and the same message (a bracketed code or full stop at its end aside), or one title and one message
     the other's beginning. By text: the same message, or one that holds the other, in overlapping lines. Echo: a failure without place whose message a located one holds.
-    The failures of a log meet in one row, which is smaller than the log was.
+    The failures of a log meet in one row, which is smaller than the log was. There they are compared, in logs of up to so many pairs; those of other logs by keys and
+    sorted intervals (see echoes), with the same result. Without pairs all logs are compared in their rows.
     """
     shown = [c for c in ranked.columns if c not in ("log_id", "role")]
     anchored = "role = 'other' and reader_name <> 'generic' and (file is not null or code is not null or subject is not null or label is not null)"
-    mine = F.when(F.col("role") == "own", F.struct("file", "line", "col", "code", "title", "message", "places"))
+    mine = F.when(F.col("role") == "own", F.struct(*FACTS))
     by = ranked.where(f"role = 'own' or ({anchored})").groupBy("log_id").agg(F.collect_list(mine).alias("mine"), F.collect_list(F.when(F.expr(anchored), F.struct(*shown))).alias("rest"))
-    left = by.where(F.size("rest") > 0).select("log_id", F.inline(F.filter("rest", lambda r: ~F.exists("mine", lambda m: _said(r, m))))).withColumn("role", F.lit("other"))
+    by = by.where(F.size("rest") > 0)
+    product = F.size("mine").cast("long") * F.size("rest")
+    few = by if pairs is None else by.where(product <= pairs)
+    left = few.select("log_id", F.inline(F.filter("rest", lambda r: ~F.exists("mine", lambda m: _said(r, m)))))
+    if pairs is not None:
+        many = by.where(product > pairs)
+        rest = many.select("log_id", F.inline("rest")).withColumn("key", F.sha2(F.to_json(F.struct(*FACTS)), 256))
+        heard = said(rest.select("log_id", "key", *FACTS).distinct(), many.select("log_id", F.inline("mine")))
+        left = left.unionByName(rest.join(heard, ["log_id", "key"], "left_anti").drop("key"))
+    left = left.withColumn("role", F.lit("other"))
     w = Window.partitionBy("log_id", "file", "line", "col", "message").orderBy("reader", "ord")
     return left.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n").select(*ranked.columns)
