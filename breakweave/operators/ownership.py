@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .echoes import FACTS, bare, base, said
 from .readers import READERS, Reader
 
-#: Pairs of own and other failures up to which a log is compared within its row.
+#: Pairs of own and other failures up to which a log may well be compared within its row.
 PAIRS = 1 << 16
 
 
@@ -46,13 +46,13 @@ def _said(r: Column, m: Column) -> Column:
     return F.coalesce(located, F.lit(False)) | F.coalesce(same_text, F.lit(False)) | F.coalesce(echo, F.lit(False))
 
 
-def secondaries(ranked: DataFrame, pairs: int | None = PAIRS) -> DataFrame:
+def secondaries(ranked: DataFrame, pairs: int | None = None) -> DataFrame:
     """The failures that other readers add: anchored, and not what the log's own reader said about the same place or in the same lines.
 
     Located: same file and line, no differing column or code, and the same message (a bracketed code or full stop at its end aside), or one title and one message
     the other's beginning. By text: the same message, or one that holds the other, in overlapping lines. Echo: a failure without place whose message a located one holds.
-    The failures of a log meet in one row, which is smaller than the log was. There they are compared, in logs of up to so many pairs; those of other logs by keys and
-    sorted intervals (see echoes), with the same result. Without pairs all logs are compared in their rows.
+    The failures of a log meet in one row, which is smaller than the log was, and are compared there. Given pairs (PAIRS fits), only logs of up to so many are; those of
+    other logs are compared by keys and sorted intervals (see echoes), with the same result. That reads ranked several times, so it should be a written table.
     """
     shown = [c for c in ranked.columns if c not in ("log_id", "role")]
     anchored = "role = 'other' and reader_name <> 'generic' and (file is not null or code is not null or subject is not null or label is not null)"

@@ -27,9 +27,13 @@ def unwrapped(logs: DataFrame, readers: tuple[Reader, ...] = READERS, layers: in
 
 def reports(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """One row a log: tool, summary, failures, what other tools add, status and, without any failure, why there is none. logs: log_id, raw, argv, exit_code, signal."""
-    found = analysed(logs, readers)
+    return reports_of(logs, analysed(logs, readers))
+
+
+def reports_of(logs: DataFrame, found: DataFrame, pairs: int | None = None) -> DataFrame:
+    """As reports, of failures that analysed found; where they were written to a table, ownership.PAIRS keeps logs with many failures from being compared pair by pair."""
     own = found.where("role = 'own'").groupBy("log_id").agg(F.min("tool").alias("tool"), F.max((F.col("reader_name") == "generic").cast("int")).alias("g"), F.sort_array(F.collect_list(F.struct(*SHOWN))).alias("failures"))
-    more = ownership.secondaries(found).groupBy("log_id", F.col("tool").alias("t")).agg(F.count(F.lit(1)).alias("count")).groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct(F.col("t").alias("tool"), "count"))).alias("others"))
+    more = ownership.secondaries(found, pairs).groupBy("log_id", F.col("tool").alias("t")).agg(F.count(F.lit(1)).alias("count")).groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct(F.col("t").alias("tool"), "count"))).alias("others"))
     rows = logs.select("log_id", "exit_code", "signal", (F.trim(F.coalesce("raw", F.lit(""))) == "").alias("empty")).join(own, "log_id", "left").join(more, "log_id", "left")
     n = F.coalesce(F.size("failures"), F.lit(0))
     return rows.select(

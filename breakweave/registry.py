@@ -150,6 +150,17 @@ def secondaries(spark, sf_dir):
     return ownership.secondaries(ranked).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
 
 
+def secondaries_large(spark, sf_dir):
+    """Logs of 20,000 orders, in which another tool repeats every line item: at its place, without a place, or in or beside the lines that said it first. What is beside them remains."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("kind", F.expr("if(l_linenumber % 3 = 2, 2 + l_orderkey % 2, l_linenumber % 3)"))
+    facts = ["cast(l_orderkey div 20000 as string) as log_id", "cast(l_linenumber as int) as ord", "cast(l_linenumber as int) as line", "cast(null as int) as col", "cast(null as string) as title", "cast(null as string) as code", "'s' as subject", "cast(null as string) as label"]
+    said = "concat('order ', l_orderkey, ' line ', l_linenumber, ' is late')"
+    place = "array(named_struct('start', cast(2 * l_linenumber as int) + {0}, 'end', cast(2 * l_linenumber as int) + {0})) as places"
+    own = rows.selectExpr(*facts, "0 as reader", "'a' as reader_name", "'a' as tool", "'own' as role", "concat('f', l_orderkey, '.c') as file", f"{said} as message", place.format(0))
+    other = rows.selectExpr(*facts, "1 as reader", "'b' as reader_name", "'b' as tool", "'other' as role", "case when kind = 0 then concat('/x/f', l_orderkey, '.c') when kind > 1 then concat('o', l_orderkey, '.c') end as file", f"if(kind = 1, concat(l_orderkey, ' line ', l_linenumber, ' is'), {said}) as message", place.format("if(kind = 3, 1, 0)"))
+    return ownership.secondaries(own.unionByName(other), ownership.PAIRS).select("log_id", "file", "line", "message")
+
+
 #: What stands around diagnostics in captured logs; no reader may take it for a failure.
 BEFORE = "$ ./ci.sh check\nFetching 12 packages\n> web@1.4.0 check\n\ninfo: 3 files in cache\nNote: 0 errors in the last run\n"
 AFTER = "\n\nDone in 2.31s.\nUploading 4 artifacts, 0 failed\nProcess ended with code 1\n"
@@ -283,6 +294,7 @@ _ENTRIES = {
     "rollup": (rollup, f"select category, tool, count(*) as failures from {OWN} group by rollup(category, tool)"),
     "history_compare": (history_compare, f"with k as (select distinct tool as identity, {_CAUSE} as cause, cast(log_id as bigint) % 2 = 1 as now from {OWN}), g as (select identity, cause, bool_or(now) as n, bool_or(not now) as t from k group by 1, 2) select identity, count(*) filter (n and not t) as fresh, count(*) filter (n and t) as same, count(*) filter (t and not n) as gone from g group by 1"),
     "command_hints": (command_hints, "with k as (select distinct l_orderkey from lineitem) select cast(l_orderkey as varchar) as log_id, r as reader, h as hint from k join (values (0, 'pytest', 2), (0, 'python', 0), (1, 'tsc', 0)) v(m, r, h) on l_orderkey % 2 = m"),
+    "secondaries_large": (secondaries_large, "select distinct cast(l_orderkey // 20000 as varchar) as log_id, 'o' || l_orderkey || '.c' as file, cast(l_linenumber as int) as line, 'order ' || l_orderkey || ' line ' || l_linenumber || ' is late' as message from lineitem where l_linenumber % 3 = 2 and l_orderkey % 2 = 1"),
     "secondaries": (secondaries, f"select 'pyright' as tool, count(*) as n from (select distinct l_orderkey, file, line, col from ({ITEMS}) where l_orderkey % 2 = 1) having count(*) > 0 union all select 'tsc' as tool, count(*) as n from (select distinct l_orderkey, file, line, col, message from ({ITEMS})) having count(*) > 0"),
     "wrapped_logs": (wrapped_logs, f"select *, 1 as layers from {OWN}"),
     "failures_in_noise": (failures_in_noise, f"select * from {OWN}"),

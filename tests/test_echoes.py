@@ -38,6 +38,6 @@ def test_many_failures_on_both_sides(spark):
         "log_id", "1 as reader", "'b' as reader_name", "'b' as tool", "ord", "case ord % 3 when 0 then concat('/x/', file) when 1 then null else 'other.c' end as file", "if(ord % 3 = 1, null, line) as line", "col", "title",
         "code", "'s' as subject", "label", "if(ord % 3 = 1, concat('value ', ord, ' is'), message) as message", "if(ord % 3 = 2 and ord % 2 = 0, array(named_struct('start', 3 * ord + 2, 'end', 3 * ord + 2)), places) as places", "'other' as role",
     )
-    got = ownership.secondaries(own.unionByName(other)).groupBy("message").count().collect()
+    got = ownership.secondaries(own.unionByName(other), ownership.PAIRS).groupBy("message").count().collect()
     # what remains has the one message between the own lines that say it; rows alike in place and message are one
     assert [(r["message"], r["count"]) for r in got] == [("expected a value", 25)]

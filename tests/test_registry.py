@@ -7,7 +7,7 @@ import pytest
 from breakweave import registry
 
 D = "/root/testdata/sf0.001"
-SOME = ("failures", "causes", "annotations", "history_compare", "normalise", "exact_retry", "router", "reader_pytest", "reader_eslint", "reader_cargo", "reader_python", "repeats", "exit_status", "secondaries", "snippets", "raw_fallback", "bounded_capture", "document_azure_logissue")
+SOME = ("failures", "causes", "annotations", "history_compare", "normalise", "exact_retry", "router", "reader_pytest", "reader_eslint", "reader_cargo", "reader_python", "repeats", "exit_status", "secondaries", "secondaries_large", "snippets", "raw_fallback", "bounded_capture", "document_azure_logissue")
 
 
 def cells(rows):
