@@ -3,6 +3,8 @@
 import random
 
 from breakweave.operators import ownership
+from breakweave.operators.readers import READERS
+from breakweave.plans import report
 
 SCHEMA = "log_id string, reader int, reader_name string, tool string, ord int, file string, line int, col int, title string, code string, subject string, label string, message string, places array<struct<start:int,end:int>>, role string"
 
@@ -41,3 +43,15 @@ def test_many_failures_on_both_sides(spark):
     got = ownership.secondaries(own.unionByName(other), ownership.PAIRS).groupBy("message").count().collect()
     # what remains has the one message between the own lines that say it; rows alike in place and message are one
     assert [(r["message"], r["count"]) for r in got] == [("expected a value", 25)]
+
+
+def test_reports_of_written_failures(spark, tmp_path):
+    """The report over a table of failures, all logs by joins, is the report over the logs."""
+    two = tuple(r for r in READERS if r.name in ("shellcheck", "tsc"))
+    raws = ("a.ts(1,2): error TS1: missing value\n\nIn b.sh line 3:\necho $x\n     ^-- SC2086 (error): Quote this.", "fine", None)
+    logs = spark.createDataFrame([(str(i), r, None, 1, None) for i, r in enumerate(raws)], "log_id string, raw string, argv array<string>, exit_code int, signal string")
+    report.analysed(logs, two).write.parquet(f"{tmp_path}/failures")
+    found = spark.read.parquet(f"{tmp_path}/failures")
+    by_joins = report.reports_of(logs, found, pairs=0).orderBy("log_id").collect()
+    assert by_joins == report.reports(logs, two).orderBy("log_id").collect()
+    assert by_joins[0].failures and [o.tool for o in by_joins[0].others] and by_joins[1].fallback == "unrecognized-output"
