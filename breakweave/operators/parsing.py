@@ -20,14 +20,18 @@ WRAPPERS = (
 MARKED = "(?m)" + "|".join((CI_STAMP, *(p for _, p in WRAPPERS)))
 
 
-def _prefix(head: Column, share: float) -> Column:
-    """The pattern that lines are to lose, by the gates over the sampled lines; null if none opens."""
-    rate = lambda p: F.size(F.filter(head, lambda x: x.rlike(p))) / F.greatest(F.size(head), F.lit(1))
+def _gate(rate, share: float) -> Column:
+    """The pattern that lines are to lose, by the share of first lines that each pattern finds; null if no gate opens."""
     wrapper = F.coalesce(*(F.when(rate(p) >= share, F.lit(p[1:])) for _, p in WRAPPERS), F.lit(""))
     stamp = F.when(rate(CI_STAMP) >= 0.8, F.lit(CI_STAMP[1:])).otherwise("")
     return F.nullif(F.concat(stamp, wrapper), F.lit(""))
 
 
+def _prefix(head: Column, share: float) -> Column:
+    """The pattern that lines are to lose, by the gates over the sampled lines; null if none opens."""
+    return _gate(lambda p: F.size(F.filter(head, lambda x: x.rlike(p))) / F.greatest(F.size(head), F.lit(1)), share)
+
+
 def _head(raw: Column, sample: int) -> Column:
     return F.slice(F.filter(F.slice(F.split(raw, "\n", -1), 1, 2 * sample), lambda x: F.trim(x) != ""), 1, sample)
 
@@ -39,8 +43,8 @@ def unframed(raw: Column) -> Column:
     return F.when(raw.rlike(r"(?m)^ERROR: (?:[\w .]+: )?failed to solve:"), F.array_join(quoted, "------")).otherwise(raw)
 
 
-def normalised(logs: DataFrame) -> DataFrame:
-    """logs with raw normalised: BOM, redrawn lines and escape sequences gone, line ends unified, quoted build steps bare, an exact retry kept once.
+def normalised(logs: DataFrame, retries: bool = True) -> DataFrame:
+    """logs with raw normalised: BOM, redrawn lines and escape sequences gone, line ends unified, quoted build steps bare, an exact retry kept once (unless retries is off).
 
     Where lines are redrawn by bare CRs, a CI prefix stands once a physical line, so it goes before the CRs become line ends.
     """
@@ -51,7 +55,7 @@ def normalised(logs: DataFrame) -> DataFrame:
     redrawn = F.when(raw.contains("\r"), F.when(raw.rlike(r"\r(?!\n)"), _prefix(_head(raw, 200), 0.4)))
     logs = logs.withColumn("redrawn", redrawn).withColumn("raw", only(F.col("redrawn").isNotNull(), F.regexp_replace("raw", F.concat(F.lit("(?dm)^(?:"), "redrawn", F.lit(")")), F.lit("")))).drop("redrawn")
     logs = logs.withColumn("raw", only(raw.contains("\r"), T.unix_lines(raw))).withColumn("raw", only(raw.contains("failed to solve:"), unframed(raw)))
-    for sep in ("\n\n", "\n", "\n\n", "\n"):
+    for sep in ("\n\n", "\n", "\n\n", "\n") if retries else ():
         logs = logs.withColumn("raw", T.once(raw, sep))
     return logs
 
@@ -82,8 +86,8 @@ def unwrapped(logs: DataFrame) -> DataFrame:
     return logs.withColumn("raw", F.when(F.col("prefix").isNull(), F.col("raw")).otherwise(bare)).drop("prefix")
 
 
-def hits(units: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
-    """(log_id, line_no, hits): every role (reader, kind, fields, end_no, n) that a line has for an asked reader, and what documents say (doc), of lines that have one; one pass over the lines."""
+def hits(units: DataFrame, readers: tuple[Reader, ...] = READERS, *keep: str) -> DataFrame:
+    """(log_id, line_no, hits and what is to be kept): every role (reader, kind, fields, end_no, n) that a line has for an asked reader, and what documents say (doc), of lines that have one; one pass over the lines."""
     found = []
     for i, r in enumerate(readers):
         if r.block:
@@ -95,7 +99,7 @@ def hits(units: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     each = F.expr(f"array_compact(array({', '.join(found)}))")
     if "doc" in units.columns:
         each = F.when(F.col("doc").isNotNull(), F.array("doc")).otherwise(each)
-    return units.select("log_id", "line_no", each.alias("hits")).where("size(hits) > 0")
+    return units.select("log_id", "line_no", *keep, each.alias("hits")).where("size(hits) > 0")
 
 
 def narrowed(rows: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
@@ -183,17 +187,24 @@ def parsed(logs: DataFrame, readers: tuple[Reader, ...] = READERS, documents=Non
 
     A log is read once: its lines and what its documents say leave it as rows of one kind.
     """
-    rows = narrowed(unwrapped(gated(routed(normalised(logs), readers))), readers)
+    return read(narrowed(unwrapped(gated(routed(normalised(logs), readers))), readers), readers, documents)
+
+
+def read(rows: DataFrame, readers: tuple[Reader, ...], documents=None) -> DataFrame:
+    """Failures of rows whose text is ready: log_id, raw, asked and, where a log has several rows, first, the number of its lines before this row."""
+    first = ["first"] if "first" in rows.columns else []
     if documents is None:
-        units = lines(rows, "asked")
+        units = lines(rows, "asked", *first)
     else:
         rows = documents.found(rows)
         kind = rows.schema["docs"].dataType.elementType
         each = F.transform(F.split("raw", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("text"), F.lit(None).cast(kind).alias("doc")))
         docs = F.transform("docs", lambda d: F.struct(d["line_no"].alias("line_no"), F.lit(None).cast("string").alias("text"), d.alias("doc")))
-        units = rows.select("log_id", "asked", F.inline(F.concat(each, docs)))
+        units = rows.select("log_id", "asked", *first, F.inline(F.concat(each, docs)))
         units = units.withColumn("doc", F.col("doc").dropFields("line_no"))
-    found = hits(units, readers)
+    found = hits(units, readers, *first)
     # only lines with hits are shuffled, once: all that follows groups by log; hits are spread after the shuffle, so that lone lines and blocks read the same one
-    found = found.repartition("log_id").select("log_id", "line_no", F.inline("hits"))
+    found = found.repartition("log_id").select("log_id", "line_no", *first, F.inline("hits"))
+    if first:
+        found = found.withColumns({c: (F.col(c) + F.col("first")).cast("int") for c in ("line_no", "end_no")}).drop("first")
     return deduplicated(located(found, readers, documents.SOURCES if documents else ()))

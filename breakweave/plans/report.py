@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clusters as C
-from ..operators import documents, ownership, parsing, wrappers
+from ..operators import documents, ownership, parsing, pieces, wrappers
 from ..operators.readers import READERS, Reader
 from ..operators.status import status
 
@@ -19,6 +19,11 @@ def analysed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFram
     return ownership.winners(parsing.parsed(logs, readers, documents), ownership.hinted(logs, readers))
 
 
+def analysed_chunks(chunks: DataFrame, readers: tuple[Reader, ...] = READERS, logs: DataFrame | None = None) -> DataFrame:
+    """As analysed, of logs in many rows (log_id, chunk, raw), as sources.chunks reads them; logs (log_id, argv) says by what commands they came, where that is known."""
+    return ownership.winners(pieces.parsed(chunks, readers, documents), None if logs is None else ownership.hinted(logs, readers))
+
+
 def unwrapped(logs: DataFrame, readers: tuple[Reader, ...] = READERS, layers: int = wrappers.LAYERS) -> DataFrame:
     """As analysed, of logs whose lines may have prefixes of tasks or a shared beginning, up to so many layers; layers says how many of them were taken away."""
     tried = wrappers.candidates(logs.select("log_id", "raw", "argv"), layers)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import block_queries, document_queries
 from .functions import text as T
-from .operators import capture, clusters, history, ownership, parsing
+from .operators import capture, clusters, history, ownership, parsing, pieces
 from .operators.readers import READERS, Reader
 from .operators.status import CODES, SIGNALS, status
 from .plans import report, summary
@@ -262,6 +262,22 @@ def bounded_capture(spark, sf_dir):
     return capture.captured(lined.withColumn("text", F.regexp_replace("text", "error", "note")), 400, 2).groupBy("log_id").agg(F.count(F.lit(1)).alias("kept"), F.max("truncated").alias("truncated"))
 
 
+def elided_capture(spark, sf_dir):
+    """The same with markers: how many runs of lines each order's log lost, and how many characters."""
+    lined = parsing.lines(rendered(spark, sf_dir, (BY_NAME["tsc"],)).withColumn("raw", F.concat_ws("\n", *["raw"] * 4)))
+    rows = capture.elided(lined.withColumn("text", F.regexp_replace("text", "error", "note")), 400, 2)
+    return rows.groupBy("log_id").agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("elided") > 0).alias("gaps"), F.sum("elided").alias("elided"))
+
+
+def chunked_failures(spark, sf_dir):
+    """Failures of logs of a thousand orders, stamped by a CI system and cut into rows of 50 lines, with the lines where they stand in the whole log."""
+    logs = rendered(spark, sf_dir, (BY_NAME["tsc"],)).groupBy(F.floor(F.col("log_id").cast("long") / 1000).cast("string").alias("log_id"))
+    lined = logs.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("log_id").cast("long").alias("o"), "raw"))), lambda x: x["raw"]), "\n").alias("raw"))
+    stamped = lined.withColumn("raw", F.regexp_replace("raw", "(?m)^", "2024-05-01T10:00:00.0000000Z "))
+    found = report.analysed_chunks(pieces.cut(stamped, 50), (BY_NAME["tsc"],)).where("role = 'own'")
+    return found.select("log_id", "tool", "file", "line", "col", "code", "message", F.col("places")[0]["start"].alias("at"))
+
+
 def exit_status(spark, sf_dir):
     """Exit codes in words, the codes from order keys."""
     rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").select((F.col("o_orderkey") % 160).cast("int").alias("code")).distinct()
@@ -320,6 +336,12 @@ from f left join s on file = path"""),
     "bounded_capture": (bounded_capture, f"""with l as (select l_orderkey, k, line, file, col, message, code, length(file || '.ts(' || line || ',' || col || '): note TS' || line || ': ' || message) + 1 as s from ({ITEMS}), range(4) t(k)),
  w as (select *, sum(s) over (partition by l_orderkey order by k, line, file, col, message, code rows unbounded preceding) as h, sum(s) over (partition by l_orderkey) as t from l)
 select cast(l_orderkey as varchar) as log_id, count(*) as kept, max(t) > 400 as truncated from w where t <= 400 or h <= 100 or t - h + s <= 200 group by l_orderkey"""),
+    "elided_capture": (elided_capture, f"""with l as (select l_orderkey, k, line, file, col, message, code, length(file || '.ts(' || line || ',' || col || '): note TS' || line || ': ' || message) + 1 as s from ({ITEMS}), range(4) t(k)),
+ w as (select *, sum(s) over (partition by l_orderkey order by k, line, file, col, message, code rows unbounded preceding) as h, sum(s) over (partition by l_orderkey) as t from l),
+ j as (select *, t <= 400 or h <= 100 or t - h + s <= 200 as kept from w), e as (select *, not kept and coalesce(lag(kept) over (partition by l_orderkey order by h), true) as opens from j)
+select cast(l_orderkey as varchar) as log_id, count(*) filter (kept or opens) as shown, count(*) filter (opens) as gaps, cast(coalesce(sum(s) filter (not kept), 0) as bigint) as elided from e group by l_orderkey"""),
+    "chunked_failures": (chunked_failures, f"""with i as (select l_orderkey // 1000 as g, file || '.ts' as file, line, col, 'TS' || line as code, message, row_number() over (partition by l_orderkey // 1000 order by l_orderkey, line, file, col, message, code) as n from ({ITEMS}))
+select cast(g as varchar) as log_id, 'tsc' as tool, file, cast(line as int) as line, cast(col as int) as col, code, message, cast(min(n) as int) as at from i group by g, file, line, col, code, message"""),
     "exit_status": (exit_status, f"select code, case {_STATUS} end as says from (select distinct cast(o_orderkey % 160 as int) as code from orders)"),
     "skeletons": (skeletons, f"select {_SHAPE} as signature, count(*) as n from ({ITEMS}) group by 1"),
     "repeats": (repeats, "select o_orderkey, 'a' || chr(10) || case when o_orderkey % 6 + 1 >= 3 then 'same (x' || (o_orderkey % 6 + 1) || ')' when o_orderkey % 6 = 1 then 'same' || chr(10) || 'same' else 'same' end || chr(10) || 'b' as message from orders"),

@@ -18,8 +18,18 @@ def read(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataF
 
 
 def analyse(logs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs the batch plan on each micro-batch and hands its failures to sink, which can make each batch number count once."""
-    return logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(analysed(batch), n)).start()
+    """Runs the batch plan on each micro-batch and hands its failures to sink, which can make each batch number count once.
+
+    The plan reads a batch more than once, so it is kept for that time: a stateful step before it (assembly) runs once a batch.
+    """
+    def run(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            sink(analysed(batch), n)
+        finally:
+            batch.unpersist()
+
+    return logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()
 
 
 def error_rates(lined: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
