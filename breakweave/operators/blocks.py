@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import hunks
 from .readers import FIELDS, Block, Reader
 
 EVENT = "struct<Action string, Package string, ImportPath string, Test string, Output string>"
@@ -44,6 +45,8 @@ def roles(i: int, r: Reader) -> list[str]:
     b = r.block
     if b.events:
         return [_event(i)]
+    if b.hunks:
+        return [f"coalesce({', '.join(when(i, kind, pattern, groups) for kind, pattern, groups in hunks.tries(r))})"]
     opens, groups = (b.opens, b.opens_groups) if b.opens else (r.pattern, r.groups)
     tries = [
         ("close", b.closes, ()), ("open", opens, groups), ("head", r.heading, ("file",)), ("region", b.region, ()), ("key", b.keys, ("subject",)), ("place", r.at, r.at_groups), ("stop", b.stop, ()),
@@ -82,7 +85,7 @@ def _index(readers: tuple[Reader, ...], of) -> Column:
 
 def sessions(found: DataFrame, readers: tuple[Reader, ...]) -> DataFrame:
     """(log_id, reader, file, line, col, code, subject, label, severity, message, line_no, start, end) of every block, in rows of hits dealt by log."""
-    mine = [i for i, r in enumerate(readers) if r.block]
+    mine = [i for i, r in enumerate(readers) if r.block and not r.block.hunks]
     of = lambda f: _index(readers, lambda r: f(r.block or Block()))
     kind = F.col("kind")
     rows = found.where(F.col("reader").isin(mine) & kind.isin("open", "close", "head", "region", "key", "place", "stop", "name", "say", "spare"))

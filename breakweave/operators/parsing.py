@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import blocks
+from . import blocks, hunks
 from .readers import READERS, Reader
 
 CI_STAMP = r"^(?:[^\t\n]*\t){0,3}\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z ?"
@@ -143,7 +143,9 @@ def located(found: DataFrame, readers: tuple[Reader, ...] = READERS, sources: tu
         "log_id", "reader", file.alias("file"), F.coalesce("line", "near.line").alias("line"), F.coalesce("col", "near.col").alias("col"), "code", "subject", "label", "severity", "message", "line_no", "n",
         F.least("line_no", F.coalesce("near.n", "line_no")).alias("start"), F.greatest("line_no", F.coalesce("near.n", "end_no", "line_no")).alias("end"),
     )
-    if any(r.block for r in readers):
+    if any(r.block and r.block.hunks for r in readers):
+        rows = rows.unionByName(hunks.places(found, readers))
+    if any(r.block and not r.block.hunks for r in readers):
         rows = rows.unionByName(blocks.paired(blocks.sessions(found, readers), found, readers))
     number = lambda c: F.expr(f"try_cast({c} as int)")
     positive = lambda c: F.when(c >= 1, c)

@@ -18,6 +18,7 @@ class Block:
 
     closes: a line that ends a block; region: a line after which alone blocks count; says: a line of the message, of which the first most are kept; stop: a line after which nothing is said;
     spare: a line that is the message where nothing else is; names: lines right below the opening that go on with the name; keys: lines that name the test which the next ones belong to.
+    hunks: instead of all this, the pattern heads a diff whose hunks are places, and lines that hunks finds begin someone else's.
     last: the last place counts, not the first; needs: a block that says nothing and names no place is none; events: lines are test2json events.
     """
 
@@ -31,6 +32,7 @@ class Block:
     spare: str = ""
     names: str = ""
     keys: str = ""
+    hunks: str = ""
     last: bool = False
     needs: bool = False
     events: bool = False
@@ -116,7 +118,7 @@ READERS = (
     _r("mypy", "typecheck", [": error: "], r"^([^\s:]+\.pyi?):(\d+):(?:(\d+):)? (error|note): (.+?)(?:  \[([\w-]+)\])?$", "file line col severity message code", ["{file}.py:{line}:{col}: error: {message}  [{code}]"], commands=("mypy",)),
     _r("cmake", "build", ["CMake Error"], r"^CMake Error at ([^\s:]+):(\d+) \((\w+)\):$", "file line code", ["CMake Error at {file}:{line} ({code}):"], constants={"message": "configure error"}, alts=((r"^CMake Error(?: in [^:]+)?: (.+)$", "message"),), commands=("cmake",)),
     _r("terraform", "build", [".tf line ", "erraform", "│ Error: ", "tofu"], r"^[│╷ ]*Error: (.+)$", "message", ["│ Error: {message}", "│   on {file}.tf line {line}, in resource:"], at=r"on (\S+\.tf) line (\d+)", at_groups=("file", "line"), reach=6, constants={"label": "terraform"}, commands=("terraform", "tofu")),
-    _r("terraform fmt", "lint", ["--- old/", "+++ new/"], r"^--- old/(\S+\.(?:tf|tfvars|hcl))$", "file", ["--- old/{file}.tf", "+++ new/{file}.tf"], constants={"label": "format", "message": "not formatted"}, commands=("terraform", "tofu")),
+    _r("terraform fmt", "lint", ["--- old/", "+++ new/"], r"^--- old/(\S+\.(?:tf|tfvars|hcl))$", "file", ["--- old/{file}.tf", "+++ new/{file}.tf"], block=Block(hunks=r"^---"), constants={"label": "format", "message": "not formatted"}, commands=("terraform", "tofu")),
     _r("swift test", "test", ["Test Case '", "recorded an issue at"], r"^(\S+\.swift):(\d+): error: (?:-\[)?([\w.]+[. ]\w+)\]? : (.+)$", "file line subject message", ["Test Case '-[Shop {subject}]' started.", "{file}.swift:{line}: error: -[Shop {subject}] : {message}"], alts=((r"^✘ Test (.+?) recorded an issue at ([^\s:]+):(\d+):(\d+): (.+)$", "subject file line col message"),), commands=("swift",)),
     _r("swift", "compile", [".swift:"], r"^(\S+\.swift):(\d+):(\d+): (error|warning): (.+)$", "file line col severity message", ["{file}.swift:{line}:{col}: error: {message}"], constants={"label": "swift"}, commands=("swift", "swiftc")),
     _r("clang", "compile", [": error: ", ": fatal error: "], r"^([^\s:]+\.(?:c|cc|cpp|cxx|h|hpp|m|mm)):(\d+):(\d+): (?:fatal )?(error|warning): (.+?)(?: \[-W([\w-]+)\])?$", "file line col severity message code", ["{file}.c:{line}:{col}: error: {message}"], commands=("clang", "gcc", "cc", "g++")),
@@ -136,7 +138,7 @@ READERS = (
     _r("phpunit", "test", ["PHPUnit"], r"^\d+\) ([\w\\]+::\w+)$", "subject", ["PHPUnit 11", "1) Case::{subject}", "{file}:{line}"], at=r"^((?:/.+|[^\s:]+?)(?:\.php)?):(\d+)$", at_groups=("file", "line"), reach=20, constants={"message": "test failed"}, commands=("phpunit",)),
     _r("cargo fmt", "lint", ["Diff in "], r"^Diff in ([^\s:]+):(\d+):$", "file line", ["Diff in {file}:{line}:"], constants={"label": "format", "message": "not formatted"}, commands=("cargo",)),
     _r("cargo", "compile", ["error[E", " --> ", "panicked at ", "could not compile", "Compiling "], r"^error(?:\[(E\d{4})\])?: (.+)$", "code message", ["error[E00{line}0]: {message}", "  --> {file}:{line}:{col}"], at=r"^\s+--> ([^\s:]+):(\d+):(\d+)$", reach=4, alts=((r"^thread '(.+?)'(?: \(\d+\))? panicked at ([^\s:]+):(\d+):(\d+):$", "subject file line col"), (r"^thread '(.+?)' panicked at '(.+)', ([^\s:]+):(\d+):(\d+)$", "subject message file line col")), commands=("cargo", "rustc")),
-    _r("gofmt", "lint", ["diff ", ".orig"], r"^diff (\S+)\.orig \S+$", "file", ["diff {file}.orig {file}"], constants={"label": "format", "message": "not formatted"}, commands=("gofmt",)),
+    _r("gofmt", "lint", ["diff ", ".orig"], r"^diff (\S+)\.orig \S+$", "file", ["diff {file}.orig {file}"], block=Block(hunks=r"^---(?! \S+\.orig\s*$)"), constants={"label": "format", "message": "not formatted"}, commands=("gofmt",)),
     _r("go mod", "build", ["go.mod:"], r"^(?:go: errors parsing )?(go\.mod):(\d+): (.+)$", "file line message", ["go.mod:{line}: {message}"], constants={"label": "go.mod"}, commands=("go",)),
     _r("go test json", "test", ['"Action":"'], r'"Action":"fail",.*"Test":"([^"]+)"', "subject", ['{"Action":"output","Package":"p","Test":"{subject}","Output":"    {file}_test.go:{line}: {message}\\n"}', '{"Action":"fail","Package":"p","Test":"{subject}"}'],
        at=r'"Output":"\s+([^\s:]+_test\.go):(\d+): ([^"]*)\\n"', at_groups=("file", "line", "message"), block=Block(events=True, needs=True), constants={"tool": "go test"}, commands=("go",)),
