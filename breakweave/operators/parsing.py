@@ -55,8 +55,13 @@ def normalised(logs: DataFrame, retries: bool = True) -> DataFrame:
     redrawn = F.when(raw.contains("\r"), F.when(raw.rlike(r"\r(?!\n)"), _prefix(_head(raw, 200), 0.4)))
     logs = logs.withColumn("redrawn", redrawn).withColumn("raw", only(F.col("redrawn").isNotNull(), F.regexp_replace("raw", F.concat(F.lit("(?dm)^(?:"), "redrawn", F.lit(")")), F.lit("")))).drop("redrawn")
     logs = logs.withColumn("raw", only(raw.contains("\r"), T.unix_lines(raw))).withColumn("raw", only(raw.contains("failed to solve:"), unframed(raw)))
-    for sep in ("\n\n", "\n", "\n\n", "\n") if retries else ():
-        logs = logs.withColumn("raw", T.once(raw, sep))
+    return once(logs) if retries else logs
+
+
+def once(logs: DataFrame) -> DataFrame:
+    """logs in which an exact retry of the whole output is kept once."""
+    for sep in ("\n\n", "\n", "\n\n", "\n"):
+        logs = logs.withColumn("raw", T.once(F.col("raw"), sep))
     return logs
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .parsing import merged_spans, normalised
+from .parsing import merged_spans, normalised, once
 
 #: A line's task: in brackets, before a bar, or package and script before a colon.
 TASK = r"^(?:\[([\w@][\w@./:-]*)\] ?|([\w@][\w@./-]*) +\| ?|([\w@][\w@./-]*[:#][\w:-]+): ?)"
@@ -53,7 +53,10 @@ def less_literal(lines: Column) -> Column:
 
 def candidates(logs: DataFrame, layers: int = LAYERS) -> DataFrame:
     """logs and their candidates: log_id names both, log is the log's own id, layer how many prefixes are gone, origin the log's line of each line (null where nothing moved)."""
-    rows = normalised(logs.withColumn("log", F.col("log_id"))).withColumn("l0", _numbered(F.col("raw")))
+    rows = once(normalised(logs.withColumn("log", F.col("log_id")), retries=False).withColumn("whole", F.col("raw")))
+    # a line that came more than once shows what its lines share; its retries go when the candidate is parsed
+    rows = rows.withColumn("raw", F.when(F.col("raw").contains("\n"), F.col("raw")).otherwise(F.col("whole"))).drop("whole")
+    rows = rows.withColumn("l0", _numbered(F.col("raw")))
     for k in range(1, layers + 1):
         before = F.col(f"l{k - 1}")
         rows = rows.withColumn(f"l{k}", F.when(before.isNotNull(), F.coalesce(by_task(before), less_literal(before))))

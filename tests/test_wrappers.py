@@ -39,3 +39,10 @@ def test_best_candidate_of_each_log(spark):
     assert got["plain"] == [("tsc", "src/a.ts", 1, 0, [(1, 1)]), ("tsc", "src/b.ts", 3, 0, [(2, 2)])]
     assert [x[:4] for x in got["indented"]] == [("ruff", "src/a.py", 3, 1), ("ruff", "src/b.py", 4, 1)]
     assert "empty" not in got and "null" not in got
+
+
+def test_single_line_that_came_twice(spark):
+    raw = "ci> src/a.ts(1,2): error TS1: bad\nci> src/a.ts(1,2): error TS1: bad"
+    logs = spark.createDataFrame([("twice", raw, None), ("once", raw.split("\n")[0], None)], "log_id string, raw string, argv array<string>")
+    rows = report.unwrapped(logs).where("role = 'own'").collect()
+    assert [(r.log_id, r.tool, r.file, r.line, r.layers) for r in rows if r.tool == "tsc"] == [("twice", "tsc", "src/a.ts", 1, 1)]
