@@ -85,3 +85,13 @@ def test_history(spark):
     a = spark.createDataFrame([("i", "1"), ("i", "2")], "identity string, cause string")
     b = spark.createDataFrame([("i", "2"), ("i", "3")], "identity string, cause string")
     assert tuple(history.compared(a, b).first()) == ("i", 1, 1, 1)
+
+
+def test_lines_are_read_once_and_by_asked_readers_alone(spark, capsys):
+    rows = spark.createDataFrame([("a", "src/a.ts(1,2): error TS1: bad", [1]), ("b", "src/a.ts(1,2): error TS1: bad", [0])], "log_id string, raw string, asked array<int>")
+    readers = tuple(r for r in READERS if r.name in ("tsc", "flake8"))
+    tsc = [r.name for r in readers].index("tsc")
+    found = parsing.hits(rows, readers)
+    assert [(r.log_id, r.line_no, [h.reader for h in r.hits]) for r in found.collect()] == [("a" if tsc else "b", 0, [tsc])]
+    found.where("size(hits) > 0").explain()
+    assert len([x for x in capsys.readouterr().out.splitlines() if "RLIKE" in x]) == 1
