@@ -2,6 +2,7 @@
 
 import random
 
+from breakweave.operators import echoes
 from breakweave.operators import ownership
 from breakweave.operators.readers import READERS
 from breakweave.plans import report
@@ -55,3 +56,13 @@ def test_reports_of_written_failures(spark, tmp_path):
     by_joins = report.reports_of(logs, found, pairs=0).orderBy("log_id").collect()
     assert by_joins == report.reports(logs, two).orderBy("log_id").collect()
     assert by_joins[0].failures and [o.tool for o in by_joins[0].others] and by_joins[1].fallback == "unrecognized-output"
+
+
+def test_long_messages_meet_by_few_marks(spark):
+    texts = [f"order {n} line {n % 7} is late" for n in range(1000000, 1000400)]
+    parts = spark.createDataFrame([("a", t[6:20]) for t in texts] + [("a", t[3:]) for t in texts], "log_id string, message string").distinct()
+    wholes = spark.createDataFrame([("a", t) for t in texts], "log_id string, message string")
+    asked = {r.message for r in parts.collect()}
+    assert {(r.part, r.whole) for r in echoes.held(parts, wholes).collect()} == {(p, w) for p in asked for w in texts if p in w}
+    marks = wholes.selectExpr(f"size({echoes._marks()}) as n").agg({"n": "avg"}).first()[0]
+    assert marks < 6
