@@ -2,8 +2,7 @@
 
 import random
 
-from breakweave.operators import echoes
-from breakweave.operators import ownership
+from breakweave.operators import echoes, ownership
 from breakweave.operators.readers import READERS
 from breakweave.plans import report
 
