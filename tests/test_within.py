@@ -1,6 +1,7 @@
 """Failures found within a log's row: the same as by shuffled hits, and without a shuffle."""
 
-from breakweave.operators import parsing
+from breakweave.functions import text as T
+from breakweave.operators import parsing, within
 from breakweave.operators.readers import READERS
 
 BY_NAME = {r.name: r for r in READERS}
@@ -35,3 +36,12 @@ def test_nothing_is_shuffled(spark):
     logs = spark.createDataFrame([("1", LOGS[3])], "log_id string, raw string")
     plan = parsing.parsed(logs, (BY_NAME["tsc"], BY_NAME["mocha"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan.replace("sort_array", "")
+
+
+def test_named_values_are_not_copied(spark):
+    """An element of a transformed array is copied whole at every level; the last step of a fold is not."""
+    assert ")[0]" not in within.failures(MINE)
+    rows = spark.createDataFrame([("a\na\na\nb\nb\n \n \n ",), ("x",), ("",)], "t string")
+    got = rows.selectExpr(f"{T.collapsed('t')} as got", "t")
+    assert [r.got for r in got.collect()] == ["a (x3)\nb\nb\n \n \n ", "x", ""]
+    assert got.where(got.got != T.collapse_repeats(got.t)).count() == 0
