@@ -1,5 +1,6 @@
 """Failures found within a log's row: the same as by shuffled hits, and without a shuffle."""
 
+from breakweave import registry
 from breakweave.functions import text as T
 from breakweave.operators import parsing, within
 from breakweave.operators.readers import READERS
@@ -45,3 +46,13 @@ def test_named_values_are_not_copied(spark):
     got = rows.selectExpr(f"{T.collapsed('t')} as got", "t")
     assert [r.got for r in got.collect()] == ["a (x3)\nb\nb\n \n \n ", "x", ""]
     assert got.where(got.got != T.collapse_repeats(got.t)).count() == 0
+
+
+def test_what_others_add_is_found_in_the_row(spark, tmp_path):
+    """Shuffles: the lines of a log, to make it; then only counts of tools."""
+    fields = "cast(1 as bigint) as l_orderkey, cast(2 as bigint) as l_partkey, cast(3 as bigint) as l_suppkey, cast(1 as int) as l_linenumber, cast(5 as double) as l_quantity"
+    spark.sql(f"select {fields}").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = registry.secondaries(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("pyright", 1), ("tsc", 1)]
