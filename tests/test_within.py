@@ -56,3 +56,19 @@ def test_what_others_add_is_found_in_the_row(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("pyright", 1), ("tsc", 1)]
+
+
+def test_one_search_gives_all_groups(spark):
+    """The groups are those of the first match, as regexp_extract has them, and a line is searched once."""
+    cases = [
+        (r"^([^\s:]+):(\d+)(?::(\d+))?$", "a:1", "a:1:2", "b a:1", "a:1 ", "", "a:1\u0001"), (r"(\w+)=(\d*)", "x=1, yy=22", "none", "=", "$1=2 \\=3"),
+        (r"^a(b)?|(c)d", "ab", "xcd", "a", "cdcd", "zz"), (r"^(?:x|y)(\|)?", "x|", "y", "z"), (r"(?i)^((?:.*\b)?error\b.*)$", "An ERROR here", "no"),
+    ]
+    for pattern, *lines in cases:
+        n = pattern.replace("(?", "").replace(r"\(", "").count("(")
+        rows = spark.createDataFrame([(x,) for x in lines], "t string")
+        want = f"if(t rlike {T.quoted(pattern)}, array({', '.join(f'regexp_extract(t, {T.quoted(pattern)}, {i + 1})' for i in range(n))}), null)"
+        for r in rows.selectExpr("t", f"{T.matched('t', pattern, n, f'slice(m, 2, {n})')} as got", f"{want} as want").collect():
+            assert r.got == r.want or n == 0 and (r.got is None) == (r.want is None), (pattern, r)
+    tsc = within.failures((BY_NAME["tsc"],))
+    assert tsc.count("regexp_replace(text") == 1 and "regexp_extract" not in tsc and "rlike" not in tsc
