@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 from . import blocks, hunks, within
 from .readers import READERS, Reader
 
@@ -19,6 +22,9 @@ WRAPPERS = (
 #: Whether any line opens with a stamp or a wrapper: without one, no gate can open.
 MARKED = "(?m)^(?:" + "|".join(p[1:] for p in (CI_STAMP, *(p for _, p in WRAPPERS))) + ")"
 
+#: Characters that most text is made of, twice: what is left of a text without the one or the other is short.
+PLAIN = (("marks", "[a-z0-9 \n]+"), ("letters", "[^bdfgjkmpquvwxyz]+"))
+
 
 def _gate(rate, share: float) -> Column:
     """The pattern that lines are to lose, by the share of first lines that each pattern finds; null if no gate opens."""
@@ -66,9 +72,22 @@ def once(logs: DataFrame) -> DataFrame:
 
 
 def routed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
-    """Adds asked, the positions of the readers one of whose signals the log holds; readers without signals are always asked."""
-    holds = lambda r: " or ".join(f"contains(raw, {T.quoted(s)})" for s in r.signals) or "true"
-    return logs.withColumn("asked", F.expr(f"array_compact(array({', '.join(f'if({holds(r)}, {i}, null)' for i, r in enumerate(readers))}))"))
+    """Adds asked, the positions of the readers one of whose signals the log holds; readers without signals are always asked.
+
+    What a text holds, its marks hold without their common characters (see PLAIN), and these are a small part of it, so most signals are looked for there alone.
+    """
+    few = len(readers) < 12  # so many signals that the two passes pay
+
+    def held(signal: str) -> str:
+        sparse = "" if few else "".join(f"contains({name}, {T.quoted(rest)}) and " for name, kind in PLAIN if (rest := re.sub(kind, "", signal)))
+        return f"({sparse}contains(raw, {T.quoted(signal)}))"
+
+    holds = lambda r: " or ".join(map(held, r.signals)) or "true"
+    asked = f"array_compact(array({', '.join(f'if({holds(r)}, {i}, null)' for i, r in enumerate(readers))}))"
+    if not few:
+        for name, kind in PLAIN:
+            asked = let(name, f"regexp_replace(raw, {T.quoted(kind)}, '')", asked)
+    return logs.withColumn("asked", F.expr(asked))
 
 
 def lines(logs: DataFrame, *keep: str) -> DataFrame:

@@ -95,3 +95,13 @@ def test_lines_are_read_once_and_by_asked_readers_alone(spark, capsys):
     assert [(r.log_id, r.line_no, [h.reader for h in r.hits]) for r in found.collect()] == [("a" if tsc else "b", 0, [tsc])]
     found.where("size(hits) > 0").explain()
     assert len([x for x in capsys.readouterr().out.splitlines() if "RLIKE" in x]) == 1
+
+
+def test_marks_hide_no_signal(spark):
+    """A log that holds a signal alone is routed to its readers, whatever the signal is made of; few signals are looked for without marks."""
+    signals = sorted({s for r in READERS for s in r.signals})
+    logs = spark.createDataFrame([(s, f"x{s}y\n") for s in signals], "log_id string, raw string")
+    got = {r.log_id: r.asked for r in parsing.routed(logs).collect()}
+    assert all(got[s] == [i for i, r in enumerate(READERS) if not r.signals or any(x in f"x{s}y\n" for x in r.signals)] for s in signals)
+    asked = parsing.routed(logs)._jdf.queryExecution().analyzed().toString()
+    assert "marks" in asked and "marks" not in parsing.routed(logs, READERS[:3])._jdf.queryExecution().analyzed().toString()
