@@ -11,7 +11,7 @@ scores. No labelled row of one class: the share of class 1 (1 without any labell
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -94,27 +94,34 @@ class QualityModel:
         return self.w0 + x @ self.w + 0.5 * ((s * s).sum(1) - ((x * x) @ (self.v * self.v)).sum(1))
 
 
-def train(rows: list[tuple[str, object, int]], buckets: int = 4096, rank: int = 8, epochs: int = 30, bins: int = 8, seed: int = 7) -> QualityModel:
-    """Fits the machine on (text, n_chars, label) rows with Adam on the logistic loss."""
-    y = np.array([r[2] for r in rows], dtype=np.float32)
+def train(rows: Iterable[tuple[str, object, int]], buckets: int = 4096, rank: int = 8, epochs: int = 30, bins: int = 8, seed: int = 7) -> QualityModel:
+    """Fits the machine on (text, n_chars, label) rows with Adam on the logistic loss. Of a row only its words' weights stay; whole vectors are made for a batch at a time."""
+    cache, stats, words, y = WordBuckets(buckets), [], [], []
+    for text, n, label in rows:
+        known, vec = featurise(text or "", n, cache)
+        at = np.flatnonzero(vec)
+        stats.append(known)
+        words.append((at.astype(np.int32), vec[at].astype(np.float32)))
+        y.append(label)
+    y = np.array(y, dtype=np.float32)
     model = QualityModel(buckets, bins, prior=float(y.mean()) if len(y) else 1.0)
     if not len(y) or model.prior in (0.0, 1.0):
         return model
-    cache = WordBuckets(buckets)
-    stats, x = np.empty((len(rows), len(STATS))), model.empty(len(rows))
-    for i, (text, n, _) in enumerate(rows):
-        stats[i], x[i, :buckets] = featurise(text or "", n, cache)
+    stats = np.array(stats)
     model.edges = [np.unique(np.quantile(stats[:, j], np.arange(1, bins) / bins)) for j in range(stats.shape[1])]
-    model.fill(x, stats)
+    width = buckets + len(STATS) * bins
     rng = np.random.default_rng(seed)
-    params = [np.zeros(1, np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.005, (x.shape[1], rank)).astype(np.float32)]
+    params = [np.zeros(1, np.float32), np.zeros(width, np.float32), rng.normal(0, 0.005, (width, rank)).astype(np.float32)]
     params[0][:] = np.log(model.prior / (1 - model.prior))
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 128):
             at = order[lo : lo + 128]
-            b, v = x[at], params[2]
+            b, v = model.empty(len(at)), params[2]
+            for i, k in enumerate(at.tolist()):
+                b[i, words[k][0]] = words[k][1]
+            model.fill(b, stats[at])
             model.w0, model.w, model.v = float(params[0][0]), params[1], v
             g = (1 / (1 + np.exp(-np.clip(model.logit(b), -30, 30))) - y[at]) / len(at)
             s = b @ v
@@ -130,8 +137,9 @@ def train(rows: list[tuple[str, object, int]], buckets: int = 4096, rank: int =
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, max_rows: int = 3000, max_bytes: int = 10_000_000, **options) -> QualityModel:
     """Learns from at most max_rows labelled rows, and max_bytes of text, of either class (lowest hash of the id) for which learn holds."""
-    chosen = labelled_sample(docs, labels, "quality", learn, max_rows, max_bytes, ("n_chars",)).orderBy("doc_id", "text").select("text", F.col("n_chars").cast("long"), "y").collect()
-    return train([tuple(r) for r in chosen], **options)
+    chosen = labelled_sample(docs, labels, "quality", learn, max_rows, max_bytes, ("n_chars",)).orderBy("doc_id", "text").select("text", F.col("n_chars").cast("long"), "y")
+    # the texts are featurised as they come, a partition at a time
+    return train(map(tuple, chosen.toLocalIterator()), **options)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ()) -> DataFrame:

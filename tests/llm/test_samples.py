@@ -47,3 +47,12 @@ def test_classifiers_learn_beside_a_long_row(spark, fit, score):
     docs, labels = tables(spark, texts)
     scores = {r.doc_id: r.score for r in score(docs, fit(docs, labels, F.lit(True), max_bytes=50_000)).collect()}
     assert sum(scores[i] >= 0.5 for i in range(3, 120, 2)) > 55 and sum(scores[i] < 0.5 for i in range(0, 120, 2)) > 55
+
+
+def test_quality_learns_from_rows_as_they_come():
+    """Rows are read once and not held, and the model is the same as from a list."""
+    from breakweave.llm import quality
+
+    rows = [(f"good w{i} text" if i % 2 else f"bad x{i} | |", None if i % 5 == 0 else i, i % 2) for i in range(60)]
+    a, b = quality.train(iter(rows), epochs=3), quality.train(rows, epochs=3)
+    assert a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all()
