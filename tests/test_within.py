@@ -4,6 +4,7 @@ from breakweave import registry
 from breakweave.functions import text as T
 from breakweave.operators import parsing, within
 from breakweave.operators.readers import READERS
+from breakweave.plans import report
 
 BY_NAME = {r.name: r for r in READERS}
 MINE = tuple(BY_NAME[n] for n in ("pytest", "jest", "mocha", "eslint", "shellcheck", "cargo", "gofmt", "go test json", "go test", "tsc"))
@@ -72,3 +73,29 @@ def test_one_search_gives_all_groups(spark):
             assert r.got == r.want or n == 0 and (r.got is None) == (r.want is None), (pattern, r)
     tsc = within.failures((BY_NAME["tsc"],))
     assert tsc.count("regexp_replace(text") == 1 and "regexp_extract" not in tsc and "rlike" not in tsc
+
+
+def test_owner_alone_is_what_the_analysis_gives(spark):
+    """The failures of a log's owner, found without asking those after it: hints, guesses, a build's own last line and documents as in the whole analysis."""
+    mine = tuple(BY_NAME[n] for n in ("pytest", "shellcheck", "docker", "tsc", "generic"))
+    build = 'ERROR: failed to solve: process "/bin/sh" did not complete\n'
+    document = '[{"filePath":"a.js","messages":[{"ruleId":"r","severity":%d,"line":1,"column":2,"message":"m"}]}]\n'
+    raws = (*LOGS, build, build + "a.ts(1,2): error TS1: x", build + "some error", "some error\nERROR: failed to push", document % 2 + LOGS[3], document % 1 + LOGS[3], LOGS[7] + "\n" + LOGS[3] + "\n" + LOGS[6])
+    rows = [(f"{i} {argv}", raw, argv and argv.split()) for i, raw in enumerate(raws) for argv in (None, "npx tsc", "docker build", "shellcheck a.sh")]
+    logs = spark.createDataFrame(rows, "log_id string, raw string, argv array<string>")
+    # a guess comes last wherever it stands
+    for readers in (mine, mine[::-1]):
+        want, got = report.analysed(logs, readers).where("role = 'own'"), report.owned(logs, readers)
+        assert got.columns == want.columns
+        cells = sorted(map(repr, got.collect()))
+        assert cells == sorted(map(repr, want.collect())) and len(cells) > 40
+    assert {r.tool for r in report.owned(logs, mine).select("tool").distinct().collect()} == {"pytest", "shellcheck", "docker", "tsc", "generic", "eslint"}
+
+
+def test_text_without_a_diagnostic_is_searched_once(spark):
+    """Each reader's gate over a whole text lets all of its samples pass, wherever they stand."""
+    facts = dict(file="src/a", line="3", col="4", code="K1", message="value 3 too large", subject="case_1")
+    for r in READERS:
+        text = "before\n" + "\n".join(r.sample if r.name == "go test json" else [x.format_map(facts) for x in r.sample]) + "\nafter\n"
+        assert spark.createDataFrame([(text,)], "raw string").selectExpr(f"({within.gate(r)}) as g").first().g, r.name
+    assert not spark.createDataFrame([("a: 1\n",)], "raw string").selectExpr(f"({within.gate(BY_NAME['flake8'])}) as g").first().g
