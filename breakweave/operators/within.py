@@ -261,13 +261,18 @@ FOUND = ("reader", "file", "line", "col", "title", "message", "line_no", "code",
 _KEY = ("reader", "file", "line", "col", "title", "message")
 
 
+def merged_spans(spans: str) -> str:
+    """Sorted line ranges, those that touch as one; the first eight."""
+    # spans are sorted, so one beyond the first eight that touches none of them can't reach what is kept
+    span = "if(size(acc) > 0 and s.start <= get(acc, size(acc) - 1).end + 1, array_append(slice(acc, 1, size(acc) - 1), named_struct('start', get(acc, size(acc) - 1).start, 'end', greatest(get(acc, size(acc) - 1).end, s.end))), if(size(acc) > 8, acc, array_append(acc, s)))"
+    return f"slice(aggregate({spans}, cast(array() as {_SPANS}), (acc, s) -> {span}), 1, 8)"
+
+
 def _merged() -> str:
     """The failures c of one reader in order, one for each place, title and message: the first, with the places of all."""
     key = ", ".join(f"'{k}', x.{k}" for k in _KEY)
     same = " and ".join(f"get(ks, i).{k} <=> get(ks, i - 1).{k}" for k in _KEY)
-    span = "if(size(acc) > 0 and s.start <= get(acc, size(acc) - 1).end + 1, array_append(slice(acc, 1, size(acc) - 1), named_struct('start', get(acc, size(acc) - 1).start, 'end', greatest(get(acc, size(acc) - 1).end, s.end))), if(size(acc) > 8, acc, array_append(acc, s)))"
-    # spans are sorted, so one beyond the first eight that touches none of them can't reach what is kept
-    places = f"slice(aggregate(sort_array(flatten(transform(g, y -> y.x.places))), cast(array() as {_SPANS}), (acc, s) -> {span}), 1, 8)"
+    places = merged_spans("sort_array(flatten(transform(g, y -> y.x.places)))")
     fields = ("line_no", "n", "title", "message", "file", "line", "col", "reader", "code", "subject", "label")
     one = f"named_struct({', '.join(f"'{f}', get(g, 0).x.{f}" for f in fields)}, 'places', {places})"
     group = let("g", "slice(ks, q + 1, coalesce(get(qs, k + 1), size(ks)) - q)", f"if(size(g) = 1, get(g, 0).x, {one})")

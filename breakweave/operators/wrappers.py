@@ -8,13 +8,19 @@ it came: each line of a candidate knows its number there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parsing import merged_spans, normalised, once
+from ..functions import text as T
+from ..functions.text import let
+from . import within
+from .parsing import normalised, once
 
 #: A line's task: in brackets, before a bar, or package and script before a colon.
 TASK = r"^(?:\[([\w@][\w@./:-]*)\] ?|([\w@][\w@./-]*) +\| ?|([\w@][\w@./-]*[:#][\w:-]+): ?)"
+REST = r"([\s\S]*)"
+#: What two lines begin with, and the first word or the indentation of it.
+SHARED, WORD = r"^([^\n]*)[^\n]*\n\1", r"^(\s+|\S+\s)"
 #: Words in brackets that are levels, not tasks.
 LEVELS = ("info", "warn", "warning", "error", "debug", "trace", "fatal", "notice")
 LAYERS, SHARE, MOST = 3, 0.6, 60
@@ -25,30 +31,27 @@ def _numbered(raw: Column) -> Column:
     return F.transform(F.split(raw, "\n", -1), lambda x, i: F.struct(i.cast("int").alias("no"), x.alias("text")))
 
 
-def _task(text: Column) -> Column:
-    name = F.coalesce(*(F.nullif(F.regexp_extract(text, TASK, i), F.lit("")) for i in (1, 2, 3)))
-    return F.when(~F.lower(name).isin(*LEVELS), name)
-
-
-def by_task(lines: Column) -> Column:
+def _by_task(lines: str) -> str:
     """The lines of each task together, tasks in the order of their first line; a line without a task goes with the lines before all. Null unless enough lines name one."""
-    said = F.filter(lines, lambda x: F.trim(x["text"]) != "")
-    enough = F.size(F.filter(said, lambda x: _task(x["text"]).isNotNull())) >= SHARE * F.size(said)
-    tasks = F.array_distinct(F.transform(lines, lambda x: F.coalesce(_task(x["text"]), F.lit(""))))
-    keyed = F.transform(lines, lambda x: F.struct(F.array_position(tasks, F.coalesce(_task(x["text"]), F.lit(""))).alias("task"), x["no"].alias("no"), F.when(_task(x["text"]).isNull(), x["text"]).otherwise(F.regexp_replace(x["text"], TASK, "")).alias("text")))
-    return F.when(enough & (F.size(said) > 0), F.transform(F.array_sort(keyed), lambda x: F.struct(x["no"].alias("no"), x["text"].alias("text"))))
-
-
-def less_literal(lines: Column) -> Column:
+    levels = ", ".join(T.quoted(x) for x in LEVELS)
+    name = "coalesce(nullif(get(m, 1), ''), nullif(get(m, 2), ''), nullif(get(m, 3), ''))"
+    task = let("t", name, f"if(t is null or lower(t) in ({levels}), null, named_struct('name', t, 'rest', get(m, 4)))")
+    named = f"transform({lines}, x -> named_struct('no', x.no, 'text', x.text, 't', {T.matched('x.text', TASK + REST, 4, task)}))"
+    said = "filter(ns, x -> trim(x.text) <> '')"
+    enough = let("said", said, f"size(said) > 0 and size(filter(said, x -> x.t is not null)) >= {SHARE} * size(said)")
+    keyed = "transform(ns, x -> named_struct('task', array_position(ts, coalesce(x.t.name, '')), 'no', x.no, 'text', coalesce(x.t.rest, x.text)))"
+    moved = let("ts", "array_distinct(transform(ns, x -> coalesce(x.t.name, '')))", f"transform(array_sort({keyed}), x -> named_struct('no', x.no, 'text', x.text))")
+    return let("ns", named, f"if({enough}, {moved}, null)")
+
+
+def _less_literal(lines: str) -> str:
     """The lines without the first word that all of them begin with, or their shared indentation, blank lines aside; null if that is under two characters, or for a single line."""
-    said = F.filter(F.transform(lines, lambda x: x["text"]), lambda t: F.trim(t) != "")
-    low, high = F.array_min(said), F.array_max(said)
     # what the first and the last in order share, all share
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.length(low) >= k) & (F.substring(low, F.lit(1), k) == F.substring(high, F.lit(1), k)), k).otherwise(n))
+    both = f"concat(left(array_min(said), {MOST}), '\\n', left(array_max(said), {MOST}))"
     # its first word and one blank, or its indentation: what the lines themselves begin with stays; more words are further layers
-    same = F.length(F.regexp_extract(F.substring(low, F.lit(1), same), r"^(\s+|\S+\s)", 1))
-    cut = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), F.when(F.trim(x["text"]) == "", x["text"]).otherwise(F.substring(x["text"], same + 1, F.length(x["text"]))).alias("text")))
-    return F.when((F.size(said) > 1) & (same >= 2), cut)
+    same = f"length(regexp_extract(regexp_extract({both}, {T.quoted(SHARED)}, 1), {T.quoted(WORD)}, 1))"
+    cut = f"transform({lines}, x -> named_struct('no', x.no, 'text', if(trim(x.text) = '', x.text, substr(x.text, same + 1))))"
+    return let("said", f"filter(transform({lines}, x -> x.text), t -> trim(t) <> '')", f"if(size(said) > 1, {let('same', same, f'if(same >= 2, {cut}, null)')}, null)")
 
 
 def candidates(logs: DataFrame, layers: int = LAYERS) -> DataFrame:
@@ -58,8 +61,8 @@ def candidates(logs: DataFrame, layers: int = LAYERS) -> DataFrame:
     rows = rows.withColumn("raw", F.when(F.col("raw").contains("\n"), F.col("raw")).otherwise(F.col("whole"))).drop("whole")
     rows = rows.withColumn("l0", _numbered(F.col("raw")))
     for k in range(1, layers + 1):
-        before = F.col(f"l{k - 1}")
-        rows = rows.withColumn(f"l{k}", F.when(before.isNotNull(), F.coalesce(by_task(before), less_literal(before))))
+        before = f"l{k - 1}"
+        rows = rows.withColumn(f"l{k}", F.expr(f"if({before} is null, null, coalesce({_by_task(before)}, {_less_literal(before)}))"))
     made = F.array_compact(F.array(*(F.when(F.col(f"l{k}").isNotNull(), F.struct(F.lit(k).alias("layer"), F.col(f"l{k}").alias("lines"))) for k in range(1, layers + 1))))
     asis = F.struct(F.lit(0).alias("layer"), F.lit(None).cast(LINE).alias("lines"))
     rows = rows.withColumn("c", F.explode(F.concat(F.array(asis), made)))
@@ -70,19 +73,15 @@ def candidates(logs: DataFrame, layers: int = LAYERS) -> DataFrame:
     )
 
 
-def best(ranked: DataFrame, tried: DataFrame) -> DataFrame:
-    """The failures of each log's best candidate, under the log's own id and lines, and layers, how many prefixes it lost. ranked: failures of candidates, with their role."""
-    named = (F.col("role") == "own") & (F.col("reader_name") != "generic")
-    at = F.struct(F.split("log_id", "\u0001", 2).alias("p")).getField("p")
-    rows = ranked.withColumn("log", F.get(at, 1)).withColumn("layers", F.get(at, 0).cast("int"))
-    one = Window.partitionBy("log", "layers")
-    located, known = F.sum((named & F.col("line").isNotNull()).cast("int")).over(one), F.sum(named.cast("int")).over(one)
+def best(tried: DataFrame, name: str) -> DataFrame:
+    """(log_id, layers, first, said) of each log's best candidate, under the log's own id and lines; layers says how many prefixes it lost. tried: candidates with said, their failures, and first, the reader that owns them; name: the name of the reader of a failure f, as SQL."""
+    known = F.expr(f"filter(said, f -> f.reader = first and {name} <> 'generic')")
     # of equal candidates the one with fewer layers gone, so that the log as it is stays unless another gains
-    rows = rows.withColumn("score", F.struct(located.alias("located"), known.alias("known"), (-F.col("layers")).alias("less")))
-    rows = rows.withColumn("top", F.max("score").over(Window.partitionBy("log"))).where(F.col("score") == F.col("top"))
-    moved = tried.where("origin is not null").select(F.col("log_id").alias("moved_id"), "origin")
-    rows = rows.join(moved, F.col("log_id") == F.col("moved_id"), "left")
-    back = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(p["start"], p["end"]), lambda k: F.get("origin", k - 1) + 1)))
-    spans = F.transform(F.array_sort(F.array_distinct(back)), lambda k: F.struct(k.alias("start"), k.alias("end")))
-    rows = rows.withColumn("places", F.when(F.col("origin").isNull(), F.col("places")).otherwise(merged_spans(spans)))
-    return rows.withColumn("log_id", F.col("log")).select(*ranked.columns, "layers")
+    rows = tried.withColumn("known", known)
+    # a filter over said would be pushed below it and make it again
+    rows = rows.select("log", F.when(F.size("said") > 0, F.struct(F.expr("size(filter(known, f -> f.line is not null))").alias("located"), F.size("known").alias("known"), (-F.col("layer")).alias("less"), "first", "said", "origin")).alias("c"))
+    # candidates meet by log once, with what was read of them alone
+    rows = rows.groupBy("log").agg(F.max("c").alias("c")).select(F.col("log").alias("log_id"), (-F.col("c.less")).alias("layers"), "c.first", "c.said", "c.origin")
+    lines = "array_sort(array_distinct(flatten(transform(f.places, p -> transform(sequence(p.start, p.end), k -> get(origin, k - 1) + 1)))))"
+    cells = ", ".join(f"'{c}', " + (within.merged_spans(f"transform({lines}, k -> named_struct('start', k, 'end', k))") if c == "places" else f"f.{c}") for c in (*within.FOUND, "ord"))
+    return rows.withColumn("said", F.expr(f"if(origin is null, said, transform(said, f -> named_struct({cells})))")).drop("origin")

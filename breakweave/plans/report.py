@@ -17,8 +17,12 @@ SHOWN = ("ord", "file", "line", "col", "title", "code", "subject", "label", "cat
 
 def analysed(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
     """Failures of all logs with their role. logs: log_id, raw, argv."""
-    rows = whole(logs, readers).select("log_id", "first", F.inline(parsing.each("said")))
-    return parsing.spread(rows.withColumn("role", F.expr("if(reader = first, 'own', 'other')")), readers, documents.SOURCES, "role")
+    return _spread(whole(logs, readers), readers)
+
+
+def _spread(rows: DataFrame, readers: tuple[Reader, ...], *more: str) -> DataFrame:
+    rows = rows.select("log_id", "first", *more, F.inline(parsing.each("said")))
+    return parsing.spread(rows.withColumn("role", F.expr("if(reader = first, 'own', 'other')")), readers, documents.SOURCES, "role", *more)
 
 
 def owned(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:
@@ -46,8 +50,8 @@ def analysed_chunks(chunks: DataFrame, readers: tuple[Reader, ...] = READERS, lo
 
 def unwrapped(logs: DataFrame, readers: tuple[Reader, ...] = READERS, layers: int = wrappers.LAYERS) -> DataFrame:
     """As analysed, of logs whose lines may have prefixes of tasks or a shared beginning, up to so many layers; layers says how many of them were taken away."""
-    tried = wrappers.candidates(logs.select("log_id", "raw", "argv"), layers)
-    return wrappers.best(analysed(tried, readers), tried)
+    tried = whole(wrappers.candidates(logs.select("log_id", "raw", "argv"), layers), readers)
+    return _spread(wrappers.best(tried, parsing.named(lambda *x: x[0], readers, documents.SOURCES, "f.reader")), readers, "layers")
 
 
 def reports(logs: DataFrame, readers: tuple[Reader, ...] = READERS) -> DataFrame:

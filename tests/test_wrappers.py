@@ -1,5 +1,7 @@
 """Logs under prefixes: tasks that write at once, a shared beginning, layers of both; a candidate must gain something to be kept."""
 
+from breakweave.operators import wrappers
+from breakweave.operators.readers import READERS
 from breakweave.plans import report
 
 GO = ["--- FAIL: TestA (0.00s)", "    a_test.go:7: bad a", "FAIL", "FAIL\tp\t0.1s"]
@@ -46,3 +48,21 @@ def test_single_line_that_came_twice(spark):
     logs = spark.createDataFrame([("twice", raw, None), ("once", raw.split("\n")[0], None)], "log_id string, raw string, argv array<string>")
     rows = report.unwrapped(logs).where("role = 'own'").collect()
     assert [(r.log_id, r.tool, r.file, r.line, r.layers) for r in rows if r.tool == "tsc"] == [("twice", "tsc", "src/a.ts", 1, 1)]
+
+
+def test_candidates_are_read_once(spark):
+    """What was read of a log's candidates meets by log once; no log is parsed again to give lines back."""
+    logs = spark.createDataFrame([(k, v, None) for k, v in LOGS.items()], "log_id string, raw string, argv array<string>")
+    plan = report.unwrapped(logs, tuple(r for r in READERS if r.name in ("tsc", "go test")), 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_shared_beginning(spark):
+    """The first word that all lines begin with, by characters, whatever they are; a line end of another kind stays in its line."""
+    cut = lambda text: [(r.layer, r.raw) for r in wrappers.candidates(spark.createDataFrame([("a", text, None)], "log_id string, raw string, argv array<string>"), 1).orderBy("layer").collect()][1:]
+    assert cut("ci> a\nci> b\n\nci> c") == [(1, "a\nb\n\nc")]
+    assert cut("\U0001f600\U0001f600 a\n\U0001f600\U0001f601 b") == []
+    assert cut("\U0001f600\U0001f600 a\n\U0001f600\U0001f600 b") == [(1, "a\nb")]
+    assert cut("x" * 70 + " a\n" + "x" * 70 + " b") == [] and cut("a b\nc d") == [] and cut("ci> a") == []
+    assert cut("   a\n     b") == [(1, "a\n  b")]
+    assert cut("api | a b\nweb | c\napi | d") == [(1, "a b\nd\nc")]
